@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,7 +80,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most_bytes:
     """Cut record batches so that a piece holds at most most_bytes of text, or one row."""
     for batch in batches:
         at = size = 0
-        for i, n in enumerate(pa.compute.binary_length(batch.column(column)).to_pylist()):
+        for i, n in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
             if size and size + (n or 0) > most_bytes:
                 yield batch.slice(at, i - at)
                 at, size = i, 0
