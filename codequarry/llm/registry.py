@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from .piece_bpe import op3_piece_bpe
 from .simhash import op2_simhash
+from .substring_dedup import op7_substring_dedup
 
 QUERIES = {
     "op2_simhash": op2_simhash,
+    "op3_piece_bpe": op3_piece_bpe,
+    "op7_substring_dedup": op7_substring_dedup,
 }
 ORACLE: dict[str, str] = {}
