@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from .chat import ORACLE_OP10, op10_chat
 from .piece_bpe import op3_piece_bpe
+from .sharding import op4_sharding
 from .simhash import op2_simhash
 from .substring_dedup import op7_substring_dedup
 
 QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_piece_bpe": op3_piece_bpe,
+    "op4_sharding": op4_sharding,
     "op7_substring_dedup": op7_substring_dedup,
+    "op10_chat": op10_chat,
+}
+ORACLE: dict[str, str] = {
+    "op10_chat": ORACLE_OP10,
 }
-ORACLE: dict[str, str] = {}
