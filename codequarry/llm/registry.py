@@ -7,14 +7,17 @@ from .piece_bpe import op3_piece_bpe
 from .sharding import op4_sharding
 from .simhash import op2_simhash
 from .substring_dedup import op7_substring_dedup
+from .toxicity import op8_toxicity
 
 QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_piece_bpe": op3_piece_bpe,
     "op4_sharding": op4_sharding,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_toxicity": op8_toxicity,
     "op10_chat": op10_chat,
 }
 ORACLE: dict[str, str] = {
+    "op8_toxicity": op8_toxicity,
     "op10_chat": ORACLE_OP10,
 }
