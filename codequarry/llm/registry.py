@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import ORACLE_OP10, op10_chat
+from .decontaminate import op1_decontaminate
 from .piece_bpe import op3_piece_bpe
 from .sharding import op4_sharding
 from .simhash import op2_simhash
@@ -10,6 +11,7 @@ from .substring_dedup import op7_substring_dedup
 from .toxicity import op8_toxicity
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_simhash": op2_simhash,
     "op3_piece_bpe": op3_piece_bpe,
     "op4_sharding": op4_sharding,
