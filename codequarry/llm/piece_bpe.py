@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -166,14 +167,15 @@ def public_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
-def encoded(docs: DataFrame, path: str, keep: bool = True) -> DataFrame:
+def encoded(docs: DataFrame, path: str, keep: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
     """Encode every whole text of docs (doc_id, text; other columns are ignored) and decode it again.
 
-    Returns doc_id, n_tokens, ids_sha256, decoded_sha256 and, if keep, ids (array<int>) and decoded. Null and empty texts have no ids
+    Returns doc_id, n_tokens, ids_sha256, decoded_sha256 and what keep names of ids (array<int>) and decoded. Null and empty texts have no ids
     and decode to the empty text. Rows come out one for one, repeated rows and null ids included.
     """
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
-    fields += [("ids", pa.list_(pa.int32())), ("decoded", pa.string())] if keep else []
+    more = {"ids": (pa.list_(pa.int32()), "array<int>"), "decoded": (pa.string(), "string")}
+    fields += [(k, more[k][0]) for k in keep]
     schema = pa.schema(fields)
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
 
@@ -184,13 +186,13 @@ def encoded(docs: DataFrame, path: str, keep: bool = True) -> DataFrame:
             for d, t in zip(b.column("doc_id").to_pylist(), text_bytes(b), strict=True):
                 ids = m.encode((t or b"").decode("utf-8", "replace"))
                 back = m.decode(ids)
-                row = (d, ids.count(",") + bool(ids), sha(ids), sha(back))
-                rows.append(row + ([int(i) for i in ids.split(",")] if ids else [], back) if keep else row)
+                full = {"ids": np.fromstring(ids, np.int32, sep=",") if "ids" in keep and ids else [], "decoded": back}
+                rows.append((d, ids.count(",") + bool(ids), sha(ids), sha(back), *(full[k] for k in keep)))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for f, c in zip(schema, zip(*rows, strict=True), strict=True)], schema=schema)
 
-    kinds = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep
+    kinds = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + "".join(f", {k} {more[k][1]}" for k in keep)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, kinds)
 
 
 def op3_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encoded(table(spark, sf_dir, "documents"), public_path(), keep=False)
+    return encoded(table(spark, sf_dir, "documents"), public_path(), keep=())

@@ -190,6 +190,19 @@ def scored(docs: DataFrame, lexicon: Lexicon, calibration: Calibration, threshol
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, kinds)
 
 
+def without_toxic(docs: DataFrame, lexicon: Lexicon, calibration: Calibration, threshold: float = THRESHOLD) -> DataFrame:
+    """docs (doc_id, text and any other columns) without the rows whose probability reaches the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast((lexicon, calibration))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon, calibration = shared.value
+        for piece in slices(batches):
+            p = [calibration.probability(calibration.evidence(found, n)) for found, n, *_ in _texts_scored(lexicon, piece)]
+            yield piece.filter(pa.array([x < threshold for x in p]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = scored(docs, *fitted(docs, table(spark, sf_dir, "labels")))
