@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import ORACLE_OP10, op10_chat
 from .decontaminate import op1_decontaminate
+from .mpeg_audio import op9_mpeg_audio
 from .piece_bpe import op3_piece_bpe
 from .sharding import op4_sharding
 from .simhash import op2_simhash
@@ -17,9 +18,11 @@ QUERIES = {
     "op4_sharding": op4_sharding,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_toxicity": op8_toxicity,
+    "op9_mpeg_audio": op9_mpeg_audio,
     "op10_chat": op10_chat,
 }
 ORACLE: dict[str, str] = {
     "op8_toxicity": op8_toxicity,
+    "op9_mpeg_audio": op9_mpeg_audio,
     "op10_chat": ORACLE_OP10,
 }
