@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import ORACLE_OP10, op10_chat
 from .decontaminate import op1_decontaminate
+from .lm_score import op5_lm_score
 from .mpeg_audio import op9_mpeg_audio
 from .piece_bpe import op3_piece_bpe
 from .sharding import op4_sharding
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_piece_bpe": op3_piece_bpe,
     "op4_sharding": op4_sharding,
+    "op5_lm_score": op5_lm_score,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_mpeg_audio": op9_mpeg_audio,
