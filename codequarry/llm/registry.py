@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import ORACLE_OP10, op10_chat
 from .decontaminate import op1_decontaminate
+from .language_id import op6_language_id
 from .lm_score import op5_lm_score
 from .mpeg_audio import op9_mpeg_audio
 from .piece_bpe import op3_piece_bpe
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_piece_bpe": op3_piece_bpe,
     "op4_sharding": op4_sharding,
     "op5_lm_score": op5_lm_score,
+    "op6_language_id": op6_language_id,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_mpeg_audio": op9_mpeg_audio,
