@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
@@ -43,11 +42,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Spark's setting to delete an execution's shuffle files when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df to a new table in the shared folder and read it back."""
+    """Cut the lineage: write df to a new table in the shared folder and read it back. The shuffle files of the write go at its end."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -60,12 +68,6 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Ask the driver's JVM to forget plans that are no longer referenced, so that Spark deletes their shuffle files."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def crc32_of_id(col: str = "doc_id") -> Column:
     """CRC-32 of an id written as decimal text."""
     return F.crc32(F.col(col).cast("string").cast("binary"))

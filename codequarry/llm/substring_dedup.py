@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, release_shuffles, slices, table, text_bytes, written
+from .common import dropped, slices, table, text_bytes, written
 from .words import Words, windows
 
 WINDOW, BLOCK = 13, 7
@@ -224,15 +224,13 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, keep_text: bool = T
             at = at[np.diff(w.first)[doc[at]] >= window]
             yield _packed(list(_deal(windows(w.hash, BLOCK)[at], ids[at], place[at], buckets, "<u4")))
 
-    spark, packed = docs.sparkSession, "key int, payload binary"
+    packed = "key int, payload binary"
     anchors = known.mapInArrow(probes, packed).groupBy("key").applyInArrow(lambda t: _anchors(t.column("payload").to_pylist(), groups), packed)
     anchors = written(anchors, "anchors")
-    release_shuffles(spark)  # the probes' files
     keyed = known.withColumn("key", F.pmod("doc_id", F.lit(groups)).cast("int"))
     looked = keyed.groupBy("key").cogroup(anchors.groupBy("key")).applyInArrow(lambda a, b: _compare(a, b, window, buckets), _KIND)
     looked = written(looked, "compared")
     dropped(anchors)
-    release_shuffles(spark)  # the texts' files
     repeats = looked.where(F.col("kind") == _LOOK).select("key", "payload").groupBy("key").applyInArrow(lambda t: _repeats(t.column("payload").to_pylist(), groups), packed)
     left = looked.where(F.col("kind") == _TEXT).select("doc_id", "n_words", "payload", F.pmod("doc_id", F.lit(groups)).cast("int").alias("key"))
     done = left.groupBy("key").cogroup(repeats.groupBy("key")).applyInArrow(lambda a, b: _cut(a, b, window, keep_text), _DONE)
