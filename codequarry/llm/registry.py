@@ -25,8 +25,4 @@ QUERIES = {
     "op9_mpeg_audio": op9_mpeg_audio,
     "op10_chat": op10_chat,
 }
-ORACLE: dict[str, str] = {
-    "op8_toxicity": op8_toxicity,
-    "op9_mpeg_audio": op9_mpeg_audio,
-    "op10_chat": ORACLE_OP10,
-}
+ORACLE: dict[str, str] = {"op10_chat": ORACLE_OP10}
