@@ -20,7 +20,7 @@ def test_library_name(spark, stem, name):
 
 def test_comment_and_signature(spark):
     assert value(spark, T.cleaned_comment(F.col("s")), s="/** First\n * second\n *\n// third */") == "First\nsecond\nthird"
-    assert value(spark, T.signature_stub(F.col("s"), F.lit(9), F.lit(20), " ..."), s="def f(x): return x+10 ") == "def f(x): ... "
+    assert value(spark, T.signature_stub(F.col("s"), F.lit(9), F.lit(21), " ..."), s="def f(x): return x+10 ") == "def f(x): ... "
     assert value(spark, T.embedding_text(F.col("s"), F.lit("function"), F.lit("n"), F.lit("sig()"), F.lit("d")), s="") == "function n sig() d"
     assert value(spark, T.output_path(F.col("s"), "/r"), s="src/a.py") == "/r/src/a.py" and value(spark, T.output_path(F.col("s"), "/r"), s="C:/a.py") == "C:/a.py"
     assert value(spark, T.version_key(F.col("s")), s="lib-1.10.2.jar") == [1, 10, 2]
