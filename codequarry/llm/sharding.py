@@ -22,7 +22,7 @@ _BITS = 60
 
 
 def _ranked(rows: DataFrame, group: list[str], cell: str, order: list[Column], name: str) -> DataFrame:
-    """rows with `name`: the rank from 0 by (cell, *order) inside each group."""
+    """rows with `name`, the rank from 0 by (cell, *order) inside each group, and `of`, the size of the group (if there is a group)."""
     sizes = rows.groupBy(*group, cell).agg(F.count(F.lit(1)).alias("_n"))
     # Running totals by blocks of cells first, so that no task adds up more than about the square root of the cells.
     block = sizes.withColumn("_block", F.floor(F.col(cell) / 1024))
@@ -32,6 +32,8 @@ def _ranked(rows: DataFrame, group: list[str], cell: str, order: list[Column], n
     of_block = of_block.withColumn("_skip", F.coalesce(F.sum("_b").over(up(part(*group), "_block")), F.lit(0))).drop("_b")
     inner = block.withColumn("_in", F.coalesce(F.sum("_n").over(up(part(*group, "_block"), cell)), F.lit(0)))
     base = inner.join(of_block, [*group, "_block"]).select(*group, cell, (F.col("_skip") + F.col("_in")).alias("_base"))
+    if group:  # a group's size reaches its rows by way of its cells, so that a hot group isn't joined in one task
+        base = base.join(sizes.groupBy(*group).agg(F.sum("_n").alias("of")), group)
     inside = rows.withColumn("_at", F.row_number().over(Window.partitionBy(*group, cell).orderBy(*order)) - 1)
     return inside.join(base, [*group, cell]).withColumn(name, (F.col("_base") + F.col("_at")).cast("long")).drop("_base", "_at")
 
@@ -58,8 +60,7 @@ def interleaved(docs: DataFrame, shards: int = SHARDS, seed: str = SEED, cell: i
     order = [F.col(c) for c in ("draw", "doc_id", "text_crc32", "size")]
     rows = rows.withColumn("cell", F.floor(F.col("draw") / F.lit((1 << _BITS) // cells + 1)))
     rows = written(_ranked(rows, ["stratum"], "cell", order, "rank"), "interleave")
-    sizes = rows.groupBy("stratum").agg(F.count(F.lit(1)).alias("of"))
-    rows = rows.drop("cell").join(sizes, "stratum")
+    rows = rows.drop("cell")
     # (rank + 1/2) / of, as a 40-bit whole number: exact, so that every engine sorts alike.
     rows = rows.withColumn("fraction", F.expr("cast((2 * rank + 1) * 1099511627776 div (2 * of) as long)"))
     rows = rows.withColumn("cell", F.floor(F.col("fraction") / F.lit((1 << 40) // cells + 1)))
