@@ -8,7 +8,7 @@ cosine with a segment reaches the bar become candidates. A candidate is confirme
 subsequence of the item and the surroundings of the window must cover most of the item, or a good part of it and the item's answer.
 
 Words outside the benchmark have no weight in any comparison, so vectors have one dimension for each benchmark word of a block. The
-benchmark is taken in blocks of at most BLOCK items, which bounds what is broadcast; the corpus is never joined or shuffled, only sums of
+benchmark is taken in blocks of at most BLOCK items and about BLOCK_BYTES bytes, which bounds what is broadcast; the corpus is never joined or shuffled, only sums of
 bounded size are.
 """
 
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import slices, table, text_bytes
 from .words import ALNUM, Words
 
-#: Words of a chunk; chunks of a window; words of a benchmark segment; items of a block; words of an item that count.
-CHUNK, CHUNKS, SEGMENT, BLOCK, LONGEST = 16, 3, 32, 1_000, 4_096
+#: Words of a chunk; chunks of a window; words of a benchmark segment; most items and most text bytes of a block.
+CHUNK, CHUNKS, SEGMENT, BLOCK, BLOCK_BYTES = 16, 3, 32, 1_000, 2 << 20
 SPAN = CHUNK * CHUNKS
 #: Rank and oversampling of the decomposition; a word in more than this share of passages has no weight unless a segment needs it.
 RANK, EXTRA, COMMON, NEEDED = 128, 16, 0.02, 8
@@ -87,20 +87,22 @@ def blocks(items: DataFrame, answer: str | None = None, size: int = BLOCK) -> It
     """Read items (item_id, text) block by block; items without words are passed over."""
     rows = items.select(F.col("item_id").cast("long"), F.col("text").cast("string"), (F.col(answer) if answer else F.lit(None)).cast("string").alias("answer"))
     held: list = []
+    total = 0
 
     def block() -> Block:
         w = Words([t for _, t, _ in held], ALNUM, lower=True)
         a = Words([x for _, _, x in held], ALNUM, lower=True)
-        cut = lambda w, k: w.hash[w.first[k] : w.first[k + 1]][:LONGEST]
+        cut = lambda w, k: w.hash[w.first[k] : w.first[k + 1]]
         keep = [k for k in range(len(held)) if len(cut(w, k))]
         return Block([held[k][0] for k in keep], [cut(w, k) for k in keep], [cut(a, k) for k in keep])
 
     for r in rows.where("text IS NOT NULL").orderBy("item_id", "text").toLocalIterator():
         text = r.text.encode()
         held.append((r.item_id, text, _answer(text, r.answer and r.answer.encode())))
-        if len(held) == size:
+        total += len(text)
+        if len(held) == size or total >= BLOCK_BYTES:
             yield block()
-            held = []
+            held, total = [], 0
     if held:
         yield block()
 

@@ -40,4 +40,7 @@ def test_planted_items(spark):
     bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items] + [(90, None), (91, ""), (None, "!!!")], "item_id long, text string")
     rows = contaminated(frame, bench).collect()
     assert {(r.doc_id, r.item_id) for r in rows} == want and len(rows) == len(want) + 1
+    long = words(6_000)
+    both = contaminated(spark.createDataFrame([(1, " ".join(words(50) + long))], "doc_id long, text string"), spark.createDataFrame([(5, " ".join(long)), (6, " ".join(words(30)))], "item_id long, text string"))
+    assert [(r.doc_id, r.item_id) for r in both.collect()] == [(1, 5)]
     assert contaminated(frame.limit(0), bench).count() == 0 and contaminated(frame, bench.limit(0)).count() == 0
