@@ -57,14 +57,20 @@ def hash_multisets(units: DataFrame, group: str = "path", hash: str = "code_hash
 
 
 def matched_groups(old: DataFrame, new: DataFrame, group: str = "path", hash: str = "code_hash") -> DataFrame:
-    """old_group, new_group: groups with equal multisets of hashes, paired in order, each used once."""
+    """old_group, new_group: groups with equal multisets of hashes, paired in order, each used once.
+
+    A multiset is compared by its size and four sums over the digests of its members, so that no group is collected. What is ordered
+    for the pairing is a name and these sums, once for each group.
+    """
+    digest = F.sha2(F.to_json(F.struct(hash, "n")), 256)
+    sums = [F.sum(F.conv(F.substring(digest, 16 * k + 1, 16), 16, 10).cast("decimal(20,0)")).alias(f"_s{k}") for k in range(4)]
+    same = ["_n", *[f"_s{k}" for k in range(4)]]
 
     def ranked(units: DataFrame, name: str) -> DataFrame:
-        sets = hash_multisets(units, group, hash).groupBy(group).agg(F.sha2(F.to_json(F.sort_array(F.collect_list(F.struct(hash, "n")))), 256).alias("multiset"))
-        order = Window.partitionBy("multiset").orderBy(group)
-        return sets.select("multiset", F.row_number().over(order).alias("nth"), F.col(group).alias(name))
+        sets = hash_multisets(units, group, hash).groupBy(group).agg(F.sum("n").alias("_n"), *sums)
+        return sets.select(*same, F.row_number().over(Window.partitionBy(*same).orderBy(group)).alias("nth"), F.col(group).alias(name))
 
-    return ranked(old, "old_group").join(ranked(new, "new_group"), ["multiset", "nth"]).select("old_group", "new_group")
+    return ranked(old, "old_group").join(ranked(new, "new_group"), [*same, "nth"]).select("old_group", "new_group")
 
 
 def reachable(edges: DataFrame, start: DataFrame, depth: int = 3) -> DataFrame:

@@ -157,11 +157,11 @@ def delta_detect(spark, sf_dir):
     return both.select("id", M.must_distill(F.col("code_hash"), F.col("old_hash"), F.col("old_summary")).alias("distill"))
 
 
-@query(f"""SELECT u.id, old_hash IS NULL OR NOT (code_hash IS NOT DISTINCT FROM old_hash AND (CASE WHEN id % 2 = 0 THEN left(text, 20) END) IS NOT DISTINCT FROM old_summary
-AND id IN (SELECT vec_id FROM embeddings)) AS embed FROM ({_UNITS}) u LEFT JOIN ({_STORED}) s USING (id)""")
+@query(f"""SELECT u.id, old_hash IS NULL OR NOT (code_hash IS NOT DISTINCT FROM old_hash AND (CASE WHEN source <> 'src0' THEN left(text, 20) END) IS NOT DISTINCT FROM old_summary
+AND id IN (SELECT vec_id FROM embeddings)) AS embed FROM ({_UNITS.replace("source AS path", "source")}) u LEFT JOIN ({_STORED}) s USING (id)""")
 def needs_embedding(spark, sf_dir):
     v = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.lit(True).alias("has"))
-    units = _units(spark, sf_dir).withColumn("summary", F.when(F.col("id") % 2 == 0, F.left("text", F.lit(20)))).drop("text")
+    units = _units(spark, sf_dir).withColumn("summary", F.when(F.col("path") != "src0", F.left("text", F.lit(20)))).drop("text")
     both = units.join(_stored(spark, sf_dir), "id", "left").join(v, "id", "left")
     return both.select("id", M.must_embed(F.col("code_hash"), F.col("summary"), F.col("old_hash"), F.col("old_summary"), F.coalesce("has", F.lit(False))).alias("embed"))
 
@@ -171,13 +171,12 @@ def hash_multiset(spark, sf_dir):
     return M.hash_multisets(_units(spark, sf_dir))
 
 
-@query("""WITH o AS (SELECT g, list_sort(list(role || '=' || n)) AS m FROM (SELECT conv_id AS g, role, count(*) AS n FROM conversations GROUP BY ALL) WHERE g % 2 = 0 GROUP BY g),
-n AS (SELECT g, list_sort(list(role || '=' || n)) AS m FROM (SELECT conv_id AS g, role, count(*) AS n FROM conversations GROUP BY ALL) WHERE g % 2 = 1 GROUP BY g),
-ro AS (SELECT g, m, row_number() OVER (PARTITION BY m ORDER BY g) AS k FROM o), rn AS (SELECT g, m, row_number() OVER (PARTITION BY m ORDER BY g) AS k FROM n)
+@query("""WITH o AS (SELECT g, list_sort(list(role || '=' || n)) AS m FROM (SELECT conv_id AS g, role, count(*) AS n FROM conversations GROUP BY ALL) GROUP BY g),
+ro AS (SELECT g, m, row_number() OVER (PARTITION BY m ORDER BY g) AS k FROM o), rn AS (SELECT 'moved/' || g AS g, m, row_number() OVER (PARTITION BY m ORDER BY 'moved/' || g) AS k FROM o)
 SELECT ro.g AS old_group, rn.g AS new_group FROM ro JOIN rn ON ro.m = rn.m AND ro.k = rn.k""")
 def multiset_match(spark, sf_dir):
-    c = _t(spark, sf_dir, "conversations").select(F.col("conv_id").alias("path"), F.col("role").alias("code_hash"))
-    return M.matched_groups(c.where("path % 2 = 0"), c.where("path % 2 = 1"))
+    old = _t(spark, sf_dir, "conversations").select(F.col("conv_id").alias("path"), F.col("role").alias("code_hash"))
+    return M.matched_groups(old, old.withColumn("path", F.concat(F.lit("moved/"), F.col("path").cast("string"))))
 
 
 @query("SELECT doc_id AS id, sha256(text) AS code_hash FROM documents")
