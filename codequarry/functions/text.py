@@ -42,9 +42,13 @@ def prefix_rewritten(value: Column, old: str, new: str) -> Column:
     return F.when(F.startswith(value, F.lit(old)), F.concat(F.lit(new), F.substring(value, F.lit(len(old) + 1), F.length(value)))).otherwise(value)
 
 
+def is_absolute(path: Column) -> Column:
+    return path.rlike(r"^([A-Za-z]:)?[/\\]")
+
+
 def output_path(path: Column, root: str) -> Column:
     """Absolute paths stay, relative ones are joined to the root."""
-    return F.when(path.rlike(r"^([A-Za-z]:)?[/\\]"), path).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), path))
+    return F.when(is_absolute(path), path).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), path))
 
 
 def library_name(stem: Column) -> Column:

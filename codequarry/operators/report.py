@@ -25,3 +25,22 @@ def markdown(rows: DataFrame, file: str, line: str, most: int) -> DataFrame:
         file, F.size("lines").cast("long").alias("n_lines"),
         F.concat(F.lit("# "), F.col(file), F.lit("\n"), F.array_join(F.transform("lines", lambda x: F.concat(F.lit("- "), x)), "\n")).alias("report"),
     )
+
+
+def library_api(units: DataFrame, library: str, files: int = 5, most: int = 100) -> DataFrame:
+    """report: one row, the classes and top-level functions of the first files (__init__ first, then by name), in at most `most` lines.
+
+    units are rows of sources.files.units. What is brought together is bounded by `files` and `most`.
+    """
+    name = F.substring_index("path", "/", -1)
+    shown = units.where(F.col("error").isNull() & ((F.col("kind") == "class") | ~F.substring_index("id", ":", -1).contains(".")))
+    first = units.select("path", F.struct(name != "__init__.py", name, F.col("path")).alias("place")).distinct().orderBy("place").limit(files)
+    at = F.struct("place", F.get_json_object("metadata", "$.start_line").cast("int"), F.col("id")).alias("at")
+    top = shown.join(F.broadcast(first), "path").select(at, name.alias("file"), "kind", "name", "signature").orderBy("at").limit(most)
+    rows = F.sort_array(F.collect_list(F.struct("at", "file", "kind", "name", "signature")))
+    lines = F.flatten(F.transform("rows", lambda x, k: F.concat(
+        F.when((k > 0) & (F.col("rows")[F.greatest(k - 1, F.lit(0))]["at"]["place"] == x["at"]["place"]), F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("\n## From "), x["file"], F.lit(":")))),
+        F.array(F.concat(F.lit("- **"), F.initcap(x["kind"]), F.lit(": "), x["name"], F.lit("**")), F.concat(F.lit("  `"), x["signature"], F.lit("`"))),
+    )))
+    head = F.lit(f"# Public API for Python Library '{library}' (Static Analysis):")
+    return top.agg(rows.alias("rows")).select(F.array_join(F.slice(F.concat(F.array(head), lines), 1, most), "\n").alias("report"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -20,12 +21,12 @@ class Plan:
     rejects: DataFrame
 
 
-def planned(found: DataFrame, stored: DataFrame, embedded: DataFrame, scanned: DataFrame, force: bool = False) -> Plan:
+def planned(found: DataFrame, stored: DataFrame, embedded: DataFrame, scanned: DataFrame, force: bool = False, summaries: Callable[[DataFrame], DataFrame] | None = None) -> Plan:
     """Compare units found in files (with `error`) with stored units and the ids that have a vector (id).
 
     Stored units of the scanned files (path) that weren't found are stale, but for files with an error, which stay as they are; files
     that weren't scanned stay too. A found unit keeps its stored summary unless it changed or force is set; those to distil have
-    `distill` set in pending and units.
+    `distill` set in pending and units. summaries makes (id, summary) of those (id, name, code); where it gives null, what was kept stays.
     """
     rejects = found.where("error IS NOT NULL").select("path", "error")
     new = found.where("error IS NULL").drop("error")
@@ -33,6 +34,9 @@ def planned(found: DataFrame, stored: DataFrame, embedded: DataFrame, scanned: D
     both = new.join(old, "id", "left").join(embedded.select("id", F.lit(True).alias("has")), "id", "left")
     distill = must_distill(F.col("code_hash"), F.col("old_hash"), F.col("old_summary"), force)
     both = both.withColumn("distill", distill).withColumn("summary", F.when(F.col("code_hash").eqNullSafe(F.col("old_hash")) & ~F.lit(force), F.col("old_summary")))
+    if summaries is not None:
+        fresh = summaries(both.where("distill").select("id", "name", "code")).select("id", F.col("summary").alias("fresh"))
+        both = both.join(fresh, "id", "left").withColumn("summary", F.coalesce("fresh", "summary")).drop("fresh")
     embed = must_embed(F.col("code_hash"), F.col("summary"), F.col("old_hash"), F.col("old_summary"), F.coalesce("has", F.lit(False)))
     both = both.withColumn("embed", embed).drop("old_hash", "old_summary", "has")
     good = scanned.select("path").join(rejects, "path", "left_anti")

@@ -6,11 +6,13 @@ import ast
 import hashlib
 import io
 import json
+import os
 import re
 import tokenize
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Mapping
 
 import pandas as pd
+from pyarrow.fs import FileSelector, FileSystem, FileType
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,16 +64,64 @@ def ignored(path: Column, lines: Iterable[str]) -> Column:
     return out
 
 
-def scan(spark: SparkSession, root: str, rules: Iterable[str] = ()) -> DataFrame:
-    """path (relative to root), language, content of every file below root that has a known extension and isn't ignored."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = re.escape(re.sub(r"^[a-z]+:/*", "/", root).rstrip("/"))
-    path = F.regexp_replace(F.col("path"), f"^(?:[a-z]+:(?://[^/]*)?)?/*{base.lstrip('/')}/", "")
+def _known(files: DataFrame, rules: Iterable[str]) -> DataFrame:
+    """files with a known extension that no rule ignores, with their language."""
     known = F.create_map(*[F.lit(x) for name, all in LANGUAGES.items() for e in all.split() for x in (e, name)])
-    files = files.select(path.alias("path"), F.try_element_at(known, extension(path)).alias("language"), "content")
+    files = files.withColumn("language", F.try_element_at(known, extension(F.col("path"))))
     return files.where(F.col("language").isNotNull() & ~ignored(F.col("path"), [*rules, *IGNORED]))
 
 
+def named(files: DataFrame, root: str, rules: Iterable[str] = ()) -> DataFrame:
+    """path (relative to root), language, content of rows of Spark's binary file source."""
+    base = re.escape(re.sub(r"^[a-z]+:/*", "/", root).rstrip("/"))
+    path = F.regexp_replace(F.col("path"), f"^(?:[a-z]+:(?://[^/]*)?)?/*{base.lstrip('/')}/", "")
+    return _known(files.select(path.alias("path"), "content"), rules).select("path", "language", "content")
+
+
+def root_rules(root: str) -> list[str]:
+    """The lines of the ignore file of a tree; none if there is no such file."""
+    fs, base = FileSystem.from_uri(root)
+    if fs.get_file_info(f"{base}/.gitignore").type != FileType.File:
+        return []
+    with fs.open_input_stream(f"{base}/.gitignore") as f:
+        return f.read().decode("utf-8", "replace").splitlines()
+
+
+def listed(spark: SparkSession, root: str) -> DataFrame:
+    """path (relative to root) of every file below root, folder by folder. root is an absolute path or an address that Arrow opens.
+
+    Spark's own file sources leave out names that begin with _ or a dot, so they would miss modules such as __init__.py.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _ in frames:
+            fs, base = FileSystem.from_uri(root)
+            folders = [base.rstrip("/")]
+            while folders:
+                found = fs.get_file_info(FileSelector(folders.pop()))
+                folders += [x.path for x in found if x.type == FileType.Directory and not os.path.islink(x.path)]
+                yield pd.DataFrame({"path": [x.path[len(base.rstrip("/")) + 1 :] for x in found if x.type == FileType.File]}, dtype=object)
+
+    return spark.range(0, 1, 1, 1).mapInPandas(run, "path string")
+
+
+def scan(spark: SparkSession, root: str, rules: Iterable[str] = ()) -> DataFrame:
+    """path (relative to root), language, content of every file below root that has a known extension and isn't ignored.
+
+    Only these are read, in as many tasks as a shuffle has partitions.
+    """
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, base = FileSystem.from_uri(root)
+        for f in frames:
+            for path, language in zip(f["path"], f["language"], strict=True):
+                with fs.open_input_stream(f"{base.rstrip('/')}/{path}") as source:
+                    yield pd.DataFrame({"path": [path], "language": [language], "content": [source.read()]})
+
+    files = _known(listed(spark, root), rules).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
+    return files.mapInPandas(read, "path string, language string, content binary")
+
+
 _DEF = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
 
 
@@ -102,7 +152,7 @@ def python_units(path: str, source: bytes) -> Iterator[dict]:
             yield {
                 "id": f"{path}:{scope}", "kind": "class" if isinstance(node, ast.ClassDef) else "function", "name": node.name, "path": path,
                 "signature": source[start:body].decode("utf-8", "replace") + " ...", "docstring": "\n".join(filter(None, own)) or None,
-                "code_hash": hashlib.sha256(text.encode()).hexdigest(),
+                "code": text, "code_hash": hashlib.sha256(text.encode()).hexdigest(),
                 "metadata": json.dumps({"start_line": node.lineno, "end_line": node.end_lineno, "node_type": "class_definition" if isinstance(node, ast.ClassDef) else "function_definition"}),
             }
         for name, value in ast.iter_fields(node):
@@ -115,25 +165,30 @@ def python_units(path: str, source: bytes) -> Iterator[dict]:
     yield from walk(tree, "", {}, None)
 
 
-_UNITS = "id string, kind string, name string, path string, signature string, docstring string, code_hash string, metadata string, error string"
+_UNITS = "id string, kind string, name string, path string, signature string, docstring string, code string, code_hash string, metadata string, error string"
+
+
+#: A file's path and bytes to its units as dicts of _UNITS; SyntaxError or ValueError for a file that doesn't parse.
+Parser = Callable[[str, bytes], Iterable[dict]]
 
 
-def units(files: DataFrame) -> DataFrame:
+def units(files: DataFrame, parsers: Mapping[str, Parser] | None = None) -> DataFrame:
     """Units of files (path, language, content), with `error` instead for a file of a language without a parser.
 
-    A file that doesn't parse has no units and no error, so that what an index has of it becomes stale.
+    parsers are those of further languages. A file that doesn't parse has no units and no error, so that what an index has of it
+    becomes stale.
     """
-    names = [c.split()[0] for c in _UNITS.split(", ")]
+    names, known = [c.split()[0] for c in _UNITS.split(", ")], {"python": python_units} | dict(parsers or {})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows: list[dict] = []
             for path, language, content in zip(b["path"], b["language"], b["content"], strict=True):
-                if language != "python":
+                if language not in known:
                     rows.append({"path": path, "error": f"no parser for {language}"})
                     continue
                 try:
-                    rows += python_units(path, bytes(content))
+                    rows += known[language](path, bytes(content))
                 except (SyntaxError, ValueError, tokenize.TokenError):
                     continue
             yield pd.DataFrame(rows, columns=names, dtype=object)
