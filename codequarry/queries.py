@@ -16,6 +16,7 @@ from .functions.vectors import l2_normalised
 from .operators import maintain as M
 from .operators import report as R
 from .operators.search import nearest, with_relations
+from .plans.moves import moved, moves
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -179,6 +180,26 @@ def multiset_match(spark, sf_dir):
     return M.matched_groups(old, old.withColumn("path", F.concat(F.lit("moved/"), F.col("path").cast("string"))))
 
 
+def _old_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units as an index has them whose paths are absolute."""
+    path = F.concat(F.lit("/old/"), F.col("source"))
+    return _t(spark, sf_dir, "documents").select(F.concat(path, F.lit(":"), F.col("doc_id").cast("string")).alias("id"), path.alias("path"), T.content_hash(F.col("text")).alias("code_hash"))
+
+
+@query("SELECT source || ':' || doc_id AS id, source AS path, sha256(text) AS code_hash FROM documents")
+def path_moves(spark, sf_dir):
+    old, found = _old_units(spark, sf_dir), _units(spark, sf_dir).select("path", "code_hash")
+    edges = old.select(F.col("id").alias("from_id"), F.col("id").alias("to_id"), F.lit("calls").alias("type"))
+    return moved(old, old.select("id"), edges, moves(old, found, "/old")).units
+
+
+@query("SELECT source || ':' || doc_id AS from_id, source || ':' || doc_id AS to_id, 'calls' AS type FROM documents")
+def edge_moves(spark, sf_dir):
+    old, found = _old_units(spark, sf_dir), _units(spark, sf_dir).select("path", "code_hash")
+    edges = old.select(F.col("id").alias("from_id"), F.col("id").alias("to_id"), F.lit("calls").alias("type"))
+    return moved(old, old.select("id"), edges, moves(old, found, "/elsewhere")).relations
+
+
 @query("SELECT doc_id AS id, sha256(text) AS code_hash FROM documents")
 def content_hash(spark, sf_dir):
     return _units(spark, sf_dir).select("id", "code_hash")
