@@ -3,8 +3,8 @@
 Tokens are lower-cased words and one end for each text. A distributed count of all training tokens gives the unigram base and the model's
 vocabulary: the SHORT commonest tokens, and one class for all others, inside which a token has its smoothed share of the class. The class
 and the tokens are predicted from the vectors of the two tokens before: a log-bilinear model, trained in numpy on every training text, in
-each task from the same start, and averaged over tasks by their tokens. Two such rounds are made, a short one over a slice of the texts
-and one over all. The scores of all contexts of two known tokens are a bounded table of products, so each token's log-probability is
+each task from the same start, and averaged over tasks by their tokens. Two such rounds are made over all texts, the second in smaller
+steps. The scores of all contexts of two known tokens are a bounded table of products, so each token's log-probability is
 normalised exactly over everything a text can hold, a token never seen included.
 """
 
@@ -24,8 +24,8 @@ from .words import PLAIN, Words
 
 #: Tokens that the model tells apart; tokens whose counts are broadcast; width of a vector.
 SHORT, KNOWN, WIDTH = 1_023, 262_144, 24
-#: Noise draws shared by a batch; batch size; learning rate; the first round takes texts whose checksum is 0 modulo FIRST.
-NOISE, BATCH, RATE, FIRST = 64, 4_096, 0.12, 40
+#: Noise draws shared by a batch; batch size; learning rate of each round.
+NOISE, BATCH, RATES = 64, 4_096, (0.12, 0.04)
 #: The end of a text, as a token.
 END = 0x5BD1E9955BD1E995
 
@@ -184,7 +184,7 @@ def trained(docs: DataFrame, vocabulary: Vocabulary, width: int = WIDTH) -> LogB
     shares, short = vocabulary.shares(), vocabulary.short
     model = LogBilinear(short, width, shares=shares)
     sc = docs.sparkSession.sparkContext
-    for rate, part in ((RATE, docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(FIRST)) == 0)), (RATE / 3, docs)):
+    for rate in RATES:
         shared = sc.broadcast((vocabulary.commonest(), shares, model.flat))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, rate=rate) -> Iterator[pa.RecordBatch]:
@@ -207,7 +207,7 @@ def trained(docs: DataFrame, vocabulary: Vocabulary, width: int = WIDTH) -> LogB
                 out = np.append(own.flat.astype(np.float64) * seen, seen)
                 yield from _vector_rows(out, _SUM, 16_384)
 
-        rows = _summed(part.select("text").mapInArrow(run, "key int, value binary"), "<f8").orderBy("key").collect()  # the model's size
+        rows = _summed(docs.select("text").mapInArrow(run, "key int, value binary"), "<f8").orderBy("key").collect()  # the model's size
         if rows:
             total = np.concatenate([np.frombuffer(r.value, "<f8") for r in rows])
             model = LogBilinear(short, width, (total[:-1] / total[-1]).astype(np.float32))
