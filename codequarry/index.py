@@ -18,12 +18,13 @@ from pyspark.sql import functions as F
 
 from .functions.models import Embedder, Summariser, embedded, summarised
 from .functions.text import embedding_text
+from .operators.libraries import interface_report, traversed
 from .operators.maintain import deduplicated, stale, upserted, without_ends
 from .operators.search import nearest, with_relations
 from .plans.moves import moved, moves
 from .plans.sync import planned
 from .schema import DEPENDENCIES, KEYS, RELATIONS, UNIT_EMBEDDINGS, UNITS, ErrorCode, QuarryError
-from .sources.files import Parser, root_rules, scan, units
+from .sources.files import Parser, listed, root_rules, scan, units
 
 TABLES = {"units": UNITS, "unit_embeddings": UNIT_EMBEDDINGS, "relations": RELATIONS, "dependencies": DEPENDENCIES}
 _MANIFEST = "version long, folders map<string, string>, width int, model string"
@@ -165,6 +166,18 @@ class Index:
     def dependency(self, name: str) -> DataFrame:
         return self.table("dependencies").where(F.col("name") == name)
 
+    def api(self, source: str, library: str, language: str, entries: list[str] | None = None) -> str:
+        """The public interface of the library below source, in a language of operators.libraries that has a parser here. With entries
+        (relative paths), only the files that these lead to are shown."""
+        wanted = ("javascript", "typescript") if language == "javascript" else (language,)
+        files = scan(self.spark, source).where(F.col("language").isin(*wanted))
+        found = self.spark.read.parquet(self._write(units(files, self.parsers), "work")).where("error IS NULL")
+        order = None
+        if entries is not None:
+            start = self.spark.createDataFrame([(p,) for p in entries], "path string")
+            order = traversed(found, listed(self.spark, source), start, language)
+        return interface_report(found, library, language, order).first().report
+
     def delete(self, path: str) -> None:
         """Units of a path go, with their vectors and with relations at either end."""
         rows = self.table("units")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions.vectors import l2_normalised
+from .operators import libraries as L
 from .operators import maintain as M
 from .operators import report as R
 from .operators.search import nearest, with_relations
@@ -314,6 +315,19 @@ def reach_depth3(spark, sf_dir):
     return M.reachable(_edges(spark, sf_dir).select("from_id", "to_id"), spark.range(7, 8).select(F.col("id").alias("node")))
 
 
+_FILE = "'m' || ({0} % 7) || '/c' || ({0}) || CASE ({0}) % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '.js' ELSE '/index.ts' END"
+
+
+@query(f"SELECT {_FILE.format('a.c_custkey')} AS from_id, {_FILE.format('b.c_custkey')} AS to_id FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 1")
+def import_resolution(spark, sf_dir):
+    """Every customer is a script that re-exports the next one's."""
+    key, path = F.col("c_custkey"), F.expr(_FILE.format("c_custkey"))
+    up = F.when(key % 3 == 2, "../../").otherwise("../")
+    code = F.concat(F.lit("export * from '"), up, F.lit("m"), ((key + 1) % 7).cast("string"), F.lit("/c"), (key + 1).cast("string"), F.lit("'"))
+    units = _t(spark, sf_dir, "customer").select(path.alias("path"), F.lit("module").alias("kind"), code.alias("code"), F.lit('{"node_type": "export_statement"}').alias("metadata"))
+    return L.imports(units, units.select("path"), "javascript")
+
+
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
 def json_meta(spark, sf_dir):
     return _t(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
