@@ -38,6 +38,11 @@ def _ranked(rows: DataFrame, group: list[str], cell: str, order: list[Column], n
     return inside.join(base, [*group, cell]).withColumn(name, (F.col("_base") + F.col("_at")).cast("long")).drop("_base", "_at")
 
 
+def _fraction(rank: str, of: str) -> Column:
+    """(rank + 1/2) / of, as a 40-bit whole number: exact, so that every engine sorts alike. The product needs more than 64 bits."""
+    return F.expr(f"cast((2 * cast({rank} as decimal(20, 0)) + 1) * cast(1099511627776 as decimal(13, 0)) div (2 * cast({of} as decimal(20, 0))) as long)")
+
+
 def interleaved(docs: DataFrame, shards: int = SHARDS, seed: str = SEED, cell: int = CELL) -> DataFrame:
     """doc_id, source, size, text_crc32, shard, slot for every row of docs (doc_id, text, source; other columns are ignored).
 
@@ -61,8 +66,7 @@ def interleaved(docs: DataFrame, shards: int = SHARDS, seed: str = SEED, cell: i
     rows = rows.withColumn("cell", F.floor(F.col("draw") / F.lit((1 << _BITS) // cells + 1)))
     rows = written(_ranked(rows, ["stratum"], "cell", order, "rank"), "interleave")
     rows = rows.drop("cell")
-    # (rank + 1/2) / of, as a 40-bit whole number: exact, so that every engine sorts alike.
-    rows = rows.withColumn("fraction", F.expr("cast((2 * rank + 1) * 1099511627776 div (2 * of) as long)"))
+    rows = rows.withColumn("fraction", _fraction("rank", "of"))
     rows = rows.withColumn("cell", F.floor(F.col("fraction") / F.lit((1 << 40) // cells + 1)))
     rows = _ranked(rows, [], "cell", [F.col("fraction"), F.col("stratum"), F.col("rank")], "place")
     shard = F.expr(f"place * {shards} div {max(n, 1)}").cast("int")

@@ -5,7 +5,7 @@ from hashlib import md5
 
 import duckdb
 
-from codequarry.llm.sharding import ORACLE_OP4, SEED, SHARDS, interleaved
+from codequarry.llm.sharding import ORACLE_OP4, SEED, SHARDS, _fraction, interleaved
 
 
 def test_rows_law_and_mixture(spark):
@@ -42,3 +42,10 @@ def test_odd_rows(spark):
     got = interleaved(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
     assert len(got) == 5 and len({(r.shard, r.slot) for r in got}) == 5
     assert interleaved(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_fraction_of_large_sources(spark):
+    """2 * rank * 2**40 passes 64 bits from rank 2**22 on."""
+    rows = [(r, n) for n in (1, 7, 1 << 22, (1 << 22) + 1, 11_800_001, (1 << 40) + 9) for r in {0, n // 3, n // 2, (1 << 22) - 1, 1 << 22, n - 1} if r < n]
+    got = spark.createDataFrame(rows, "rank long, of long").withColumn("fraction", _fraction("rank", "of")).collect()
+    assert len(got) == len(rows) and all(x.fraction == (2 * x.rank + 1) * (1 << 40) // (2 * x.of) for x in got)
