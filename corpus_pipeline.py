@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from codequarry.llm.common import make_importable, table, written
 from codequarry.llm.decontaminate import contaminated
 from codequarry.llm.piece_bpe import encoded, public_path
-from codequarry.llm.simhash import near_duplicates
+from codequarry.llm.similar_texts import similar_texts
 from codequarry.llm.substring_dedup import repeated_passages
 from codequarry.llm.toxicity import fitted, without_toxic
 
@@ -26,9 +26,13 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document with the smallest doc_id stays; rows without doc_id stay too."""
+    """Of each group of near-duplicates, the document with the smallest doc_id stays; rows without doc_id stay too.
+
+    Near-duplicates have a Jaccard similarity of 0.8 or more in five-word shingles. Fingerprints of such pairs differ in up to about 20
+    of 64 bits, too many for a trie to prune, so the sets are joined themselves.
+    """
     make_importable(spark)
-    rest = near_duplicates(docs).where("component_id < doc_id").select("doc_id").distinct()
+    rest = similar_texts(docs).where("component_id < doc_id").select("doc_id").distinct()
     return docs.join(rest, "doc_id", "left_anti").select(docs.columns)
 
 
