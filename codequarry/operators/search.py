@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import l2_distance, literal
 
+#: Vectors of a block, and queries of a partition.
+BLOCK, QUERIES = 1024, 8192
+
 
 def nearest(units: DataFrame, embeddings: DataFrame, query: Sequence[float], k: int = 5, id: str = "id", vec: str = "vec") -> DataFrame:
     """The k units whose vectors are closest to query, with `distance`; ties go to the smaller id.
@@ -20,9 +25,70 @@ def nearest(units: DataFrame, embeddings: DataFrame, query: Sequence[float], k:
     return units.join(near, id).orderBy("distance", id).limit(k)
 
 
-def with_relations(hits: DataFrame, relations: DataFrame, id: str = "id", source: str = "from_id") -> DataFrame:
-    """hits with `relations`: the sorted list of their outbound edges, empty where there is none. hits is a bounded list."""
-    ids = F.broadcast(hits.select(F.col(id).alias(source)).distinct())
+def _blocks(rows: DataFrame, name: str, block: int) -> DataFrame:
+    """rows (id, vec) packed: {name}_ids, {name}_vecs (doubles, one vector after another) and {name}_width, by ascending id in a block."""
+    kind = rows.schema["id"].dataType.simpleString()
+    names = [f"{name}_ids", f"{name}_vecs", f"{name}_width"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, block):
+                b = whole.slice(at, block).sort_by("id")
+                widths = np.array([len(v) for v in b.column("vec").to_pylist()])
+                for w in np.unique(widths):
+                    part = b.filter(pa.array(widths == w))
+                    vecs = part.column("vec").flatten().to_numpy(zero_copy_only=False).tobytes()
+                    ids = part.column("id")
+                    lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+                    yield pa.RecordBatch.from_arrays([lists, pa.array([vecs], pa.binary()), pa.array([int(w)], pa.int32())], names=names)
+
+    return rows.mapInArrow(run, f"{names[0]} array<{kind}>, {names[1]} binary, {names[2]} int")
+
+
+def nearest_each(units: DataFrame, embeddings: DataFrame, queries: DataFrame, k: int = 5, id: str = "id", vec: str = "vec", block: int = BLOCK) -> DataFrame:
+    """For every row of queries (query_id, vec), what nearest() finds for its vector: query_id, the unit's columns and `distance`.
+
+    Every block of queries meets every block of vectors, whose distances add up in the order of the dimensions, as in l2_distance. Only
+    the k best of a query in a block are shuffled. A vector of another width, or with a null, has no distance and isn't found.
+    """
+    whole = lambda c: F.col(c).isNotNull() & ~F.exists(c, lambda x: x.isNull())
+    found = embeddings.join(units.select(id), id, "left_semi").where(whole(vec)).select(F.col(id).alias("id"), F.col(vec).cast("array<double>").alias("vec"))
+    asked = queries.where(whole("vec")).select(F.col("query_id").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
+    asked = asked.repartition(max(1, -(-asked.count() // QUERIES)))
+    kinds = f"query_id {asked.schema['id'].dataType.simpleString()}, id {found.schema['id'].dataType.simpleString()}, distance double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                asks, ids = b.column("q_ids")[i].values, b.column("v_ids")[i].values
+                width = b.column("q_width")[i].as_py()
+                if width != b.column("v_width")[i].as_py():
+                    continue
+                q, v = (np.frombuffer(b.column(c)[i].as_py()).reshape(len(x), width).T.copy() for c, x in (("q_vecs", asks), ("v_vecs", ids)))
+                far = np.zeros((len(asks), len(ids)))
+                for x, y in zip(q, v, strict=True):
+                    step = x[:, None] - y[None, :]
+                    far += step * step
+                far = np.sqrt(far)
+                n = min(k, len(ids))
+                row, col = np.nonzero(far <= np.partition(far, n - 1, axis=1)[:, n - 1 : n])
+                order = np.lexsort((col, far[row, col], row))  # places in a block follow the ids
+                row, col = row[order], col[order]
+                first = np.arange(len(row)) - np.searchsorted(row, row) < n
+                row, col = row[first], col[first]
+                yield pa.RecordBatch.from_arrays([asks.take(pa.array(row)), ids.take(pa.array(col)), pa.array(far[row, col])], names=["query_id", "id", "distance"])
+
+    # Not joined by width, a single key that would gather all blocks in one task.
+    best = _blocks(asked, "q", block).crossJoin(_blocks(found, "v", block)).mapInArrow(run, kinds)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
+    best = best.withColumn("_place", place).where(F.col("_place") <= k).select("query_id", F.col("id").alias(id), "distance")
+    return best.join(units, id).select("query_id", *units.columns, "distance")
+
+
+def with_relations(hits: DataFrame, relations: DataFrame, id: str = "id", source: str = "from_id", bounded: bool = True) -> DataFrame:
+    """hits with `relations`: the sorted list of their outbound edges, empty where there is none. bounded: hits is a short list."""
+    ids = hits.select(F.col(id).alias(source)).distinct()
+    ids = F.broadcast(ids) if bounded else ids
     others = [c for c in relations.columns if c != source]
     edges = relations.join(ids, source, "left_semi").groupBy(source).agg(F.sort_array(F.collect_set(F.struct(*others))).alias("relations"))
     out = hits.join(edges.withColumnRenamed(source, id), id, "left")

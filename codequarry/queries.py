@@ -16,7 +16,7 @@ from .functions.vectors import l2_normalised
 from .operators import libraries as L
 from .operators import maintain as M
 from .operators import report as R
-from .operators.search import nearest, with_relations
+from .operators.search import nearest, nearest_each, with_relations
 from .plans.moves import moved, moves
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,6 +82,30 @@ def topk_with_relations(spark, sf_dir):
     return hits.select("id", F.round("distance", 6).alias("distance"), F.array_join(line, ",").alias("relations"))
 
 
+_NEAREST_EACH = """
+SELECT q.vec_id AS query_id, d.doc_id AS id, d.source, sqrt(list_sum(list_transform(list_zip(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS dist
+FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id CROSS JOIN (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 20 = 0) q QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY dist, id) <= {k}"""
+
+
+def _nearest_each(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    vectors = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    units = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source")
+    return nearest_each(units, vectors, vectors.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vec"), k)
+
+
+@query(f"SELECT query_id, id, source, round(dist, 6) AS distance FROM ({_NEAREST_EACH.format(k=5)})")
+def vector_search_each(spark, sf_dir):
+    return _nearest_each(spark, sf_dir, 5).select("query_id", "id", "source", F.round("distance", 6).alias("distance"))
+
+
+@query(f"""WITH h AS ({_NEAREST_EACH.format(k=20)}), e AS (SELECT from_id, string_agg(to_id || ':' || type, ',' ORDER BY to_id, type) AS line FROM (SELECT DISTINCT * FROM ({_EDGES})) GROUP BY from_id)
+SELECT query_id, id, round(dist, 6) AS distance, coalesce(line, '') AS relations FROM h LEFT JOIN e ON from_id = id""")
+def each_with_relations(spark, sf_dir):
+    hits = with_relations(_nearest_each(spark, sf_dir, 20), _edges(spark, sf_dir), bounded=False)
+    line = F.transform("relations", lambda e: F.concat(e["to_id"].cast("string"), F.lit(":"), e["type"]))
+    return hits.select("query_id", "id", F.round("distance", 6).alias("distance"), F.array_join(line, ",").alias("relations"))
+
+
 @query(f"""SELECT u.id, path, lang, code_hash, coalesce((SELECT string_agg(DISTINCT to_id || ':' || type, ',' ORDER BY to_id || ':' || type) FROM ({_EDGES}) WHERE from_id = u.id), '') AS relations
 FROM ({_UNITS}) u WHERE u.id = 7""")
 def get_unit(spark, sf_dir):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from codequarry.functions import text as T
 from codequarry.functions.vectors import l2_distance, l2_normalised, literal
 from codequarry.operators import maintain as M
-from codequarry.operators.search import nearest, with_relations
+from codequarry.operators.search import nearest, nearest_each, with_relations
 
 
 def value(spark, column, **given):
@@ -68,3 +68,17 @@ def test_matched_groups_against_greedy_pairing(spark):
 def test_rewrite_prefix_only(spark):
     assert value(spark, T.prefix_rewritten(F.col("s"), "C:/old", "new"), s="C:/old/a:f") == "new/a:f"
     assert value(spark, T.prefix_rewritten(F.col("s"), "C:/old", "new"), s="xC:/old/a:f") == "xC:/old/a:f"
+
+
+def test_nearest_each(spark):
+    rng = random.Random(8)
+    vecs = {f"v{i}": [float(rng.randrange(4)) for _ in range(3 if i % 9 else 2)] for i in range(90)}  # many equal distances, two widths
+    frame = spark.createDataFrame(list(vecs.items()), "id string, vec array<float>").repartition(3)
+    units = spark.createDataFrame([(f"v{i}", i) for i in range(100) if i % 7], "id string, n int")
+    asked = {q: vecs[q] for q in ("v0", "v1", "v9", "v14", "v20", "v40", "v60", "v80")}
+    got = nearest_each(units, frame, spark.createDataFrame(list(asked.items()), "query_id string, vec array<float>"), 6, block=8).collect()
+    want = []
+    for q, x in asked.items():
+        far = sorted((sum((a - b) ** 2 for a, b in zip(x, v, strict=True)) ** 0.5, i) for i, v in vecs.items() if len(v) == len(x) and int(i[1:]) % 7)
+        want += [(q, i, int(i[1:]), d) for d, i in far[:6]]
+    assert sorted(map(tuple, got)) == sorted(want)
