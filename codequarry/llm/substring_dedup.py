@@ -3,11 +3,14 @@
 Index: every document's text is cut into blocks of BLOCK words at positions 0, BLOCK, 2 * BLOCK ... Probe: every run of BLOCK words
 of every document. A run of `window` >= 2 * BLOCK - 1 words always holds a whole block of each document it occurs in, so a repeated
 window shows up as an anchor: a probe that meets a block of another document. Extension: the windows around the anchors, and those
-alone, are compared exactly over their full width; neighbouring repeats join into one maximal span.
+alone, are compared over their full width, by 128 bits of hash; neighbouring repeats join into one maximal span.
 
-Three steps pass data on, each dealt evenly by hash: (1) probes and blocks by 40 bits of hash, packed per piece of input; (2) anchors
-back to their documents, which gives the windows to compare, by 64 bits of hash within a bucket; (3) repeats back to their documents.
-A passage that very many documents share costs one row each: only the smallest doc_id of a hash counts, no pairs are made.
+Three steps pass data on, each dealt evenly by hash: (1) probes and blocks by their hash; (2) anchors back to their documents, which
+gives the windows to compare; (3) repeats back to their rows. What goes from a task to a bucket is one row of plain binary columns, made
+and read in bulk, so that the work for a word is the same whatever the number of buckets.
+
+A passage that very many documents share doesn't gather in one bucket. Only the smallest and the largest doc_id of a hash count, so a task
+settles what it can by itself, remembers the ends of frequent hashes, and sends on one document for each end and what is still open.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,162 +30,248 @@ from .words import Words, windows
 WINDOW, BLOCK = 13, 7
 #: Text bytes for each bucket of hashes and for each group of documents; both counts follow the input.
 BUCKET_BYTES, GROUP_BYTES = 6 << 20, 4 << 20
+#: Entries of a hash in one piece of text from which on a task remembers its ends.
+_FREQUENT = 16
+_NEVER = np.iinfo(np.int64).max
 
+#: Entries for a key: by entry h, and the halves lo and hi of place; by run of one document (doc, ref) their number n.
+_PACKED = pa.schema([("key", pa.int32()), *[(c, pa.binary()) for c in ("h", "doc", "ref", "n", "lo", "hi")]])
+_PACKED_DDL = ", ".join(["key int", *[f"{c} binary" for c in _PACKED.names[1:]]])
 
-def _planes(values: np.ndarray, kind: str) -> bytes:
-    """Differences of a sequence, byte by byte of significance, so that a compressor sees the zeros together."""
-    v = np.diff(values.astype(kind), prepend=values[:1].astype(kind) * 0)
-    return v.view(np.uint8).reshape(-1, v.itemsize).T.tobytes()
-
-
-def _unplanes(raw: bytes, kind: str) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.cumsum(np.frombuffer(raw, np.uint8).reshape(size, -1).T.copy().view(kind)[:, 0], dtype=kind)
 
+def _binary(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """One binary value for the entries between neighbouring cuts."""
+    values = np.ascontiguousarray(values)
+    width = values.itemsize * (values.shape[1] if values.ndim == 2 else 1)
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * width).astype(np.int32)), pa.py_buffer(values.view(np.uint8).reshape(-1))])
 
-def _pack(*parts: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.array([len(p) for p in parts], "<u4").tobytes() + b"".join(parts))
 
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    n = len(columns[0])
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
 
-def _unpack(raw: bytes, n: int) -> list[bytes]:
-    data = zstandard.ZstdDecompressor().decompress(raw)
-    ends = [4 * n, *(np.cumsum(np.frombuffer(data, "<u4", n), dtype=np.int64) + 4 * n).tolist()]
-    return [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
-
-def _deal(h: np.ndarray, doc: np.ndarray, place: np.ndarray, buckets: int, kind: str) -> Iterator[tuple[int, bytes]]:
-    """One packed row for each bucket. h: 64-bit hashes; kind: how many of their bits to keep besides the bucket."""
-    if not len(h):
-        return
-    bucket = (h >> np.uint64(32)) % np.uint64(buckets) if kind == "<u4" else h % np.uint64(buckets)
-    order = np.argsort(bucket.astype(np.uint32), kind="stable")
-    bucket, h, doc, place = bucket[order], h[order].astype(kind), doc[order], place[order]
-    at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-    for a, b in zip(at, np.append(at[1:], len(h)), strict=True):
-        yield int(bucket[a]), _rows(h[a:b], doc[a:b], place[a:b])
+def _packed(key: np.ndarray, h: np.ndarray, doc: np.ndarray, ref: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    """A row for each key; key must be in runs."""
+    rows, runs = _starts(key), _starts(key, doc, ref)
+    cuts = np.append(rows, len(key))
+    of_runs = np.searchsorted(runs, cuts)
+    n = np.diff(np.append(runs, len(key))).astype("<u4")
+    place = place.astype("<u4")
+    return pa.RecordBatch.from_arrays(
+        [pa.array(key[rows], pa.int32()), _binary(h, cuts), _binary(doc[runs], of_runs), _binary(ref[runs], of_runs), _binary(n, of_runs),
+         _binary((place & 0xFFFF).astype("<u2"), cuts), _binary((place >> 16).astype("<u2"), cuts)], schema=_PACKED)
 
 
-def _rows(h: np.ndarray, doc: np.ndarray, place: np.ndarray) -> bytes:
-    turns = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-    counts = np.diff(np.append(turns, len(doc)))
-    return _pack(h.tobytes(), _planes(doc[turns], "<i8"), _planes(counts, "<i4"), _planes(place, "<i4"))
+def _raw(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    """All bytes of a binary column, one value after another, as numbers."""
+    parts = []
+    for c in column.chunks:
+        _, offsets, data = c.buffers()
+        ends = np.frombuffer(offsets, np.int32)[c.offset : c.offset + len(c) + 1] if len(c) else np.zeros(1, np.int32)
+        if data is not None and ends[-1] > ends[0]:
+            parts.append(memoryview(data)[ends[0] : ends[-1]])
+    return np.frombuffer(b"".join(parts), kind)
 
 
-def _unrows(payloads: list[bytes], kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    out = [(np.zeros(0, kind), np.zeros(0, "<i8"), np.zeros(0, "<i4"))]
-    for raw in payloads:
-        h, doc, counts, place = _unpack(raw, 4)
-        out.append((np.frombuffer(h, kind), np.repeat(_unplanes(doc, "<i8"), _unplanes(counts, "<i4")), _unplanes(place, "<i4")))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+def _entries(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """doc, ref, place of each entry."""
+    n = _raw(rows.column("n"), "<u4")
+    place = _raw(rows.column("lo"), "<u2").astype(np.int64) | _raw(rows.column("hi"), "<u2").astype(np.int64) << 16
+    return np.repeat(_raw(rows.column("doc"), "<i8"), n), np.repeat(_raw(rows.column("ref"), "<i8"), n), place
 
 
-_PACKED = pa.schema([("key", pa.int32()), ("payload", pa.binary())])
+def _to_groups(group: np.ndarray, doc: np.ndarray, ref: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    """Places, without hashes, dealt to the groups of their documents."""
+    order = np.lexsort((place, ref, doc, group))
+    return _packed(group[order], np.zeros((len(order), 0), np.uint8), doc[order], ref[order], place[order])
 
 
-def _packed(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([p for _, p in rows], pa.binary())], schema=_PACKED)
+def _settled(h: np.ndarray, doc: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+    """Anchors: probes with a block of a smaller document, and blocks with a probe of a larger one. Every block is a probe too.
 
-
-def _to_groups(doc: np.ndarray, place: np.ndarray, groups: int) -> pa.Table:
-    """Places of documents, dealt to the documents' groups."""
-    group = doc % groups
-    order = np.lexsort((place, doc, group))
-    group, doc, place = group[order], doc[order], place[order]
-    at = np.flatnonzero(np.append(len(group) > 0, group[1:] != group[:-1]))
-    none = np.zeros(0, "<u4")
-    rows = [(int(group[a]), _rows(none, doc[a:b], place[a:b])) for a, b in zip(at, np.append(at[1:], len(group)), strict=False)]
-    return pa.Table.from_batches([_packed(rows)])
-
-
-def _anchors(payloads: list[bytes], groups: int) -> pa.Table:
-    """Probes that meet a block of a smaller document, and blocks that a larger document's probe meets."""
-    h, doc, place = _unrows(payloads, "<u4")
-    order = np.argsort(h, kind="stable")
-    h, doc, place = h[order], doc[order], place[order]
-    at = np.flatnonzero(np.append(len(h) > 0, h[1:] != h[:-1]))
+    Returns which entries are anchors; indexes of one entry for each end of a hash that has several entries (the smallest document with
+    a block, the largest document); and of these hashes: hash, both ends, number of entries.
+    """
+    order = np.argsort(h)
+    at = _starts(h[order])
+    sizes = np.diff(np.append(at, len(h)))
+    several = np.repeat(sizes > 1, sizes)
+    entry, sizes = order[several], sizes[sizes > 1]
+    done = np.zeros(len(h), bool)
+    if not len(entry):
+        none = np.zeros(0, np.int64)
+        return done, none, (np.zeros(0, h.dtype), none, none, none)
+    at = np.cumsum(sizes) - sizes
+    d, b, of = doc[entry], block[entry], np.repeat(np.arange(len(sizes)), sizes)
+    low, high = np.minimum.reduceat(np.where(b, d, _NEVER), at), np.maximum.reduceat(d, at)
+    done[entry] = (low[of] < d) | b & (high[of] > d)
+    ends = [np.flatnonzero(x) for x in (b & (d == low[of]), d == high[of])]
+    ends = np.concatenate([entry[x[_starts(of[x])]] for x in ends])
+    return done, ends, (h[entry[at]], low, high, sizes)
+
+
+class _Frequent:
+    """Both ends of the hashes that were frequent in what a task has read so far."""
+
+    def __init__(self):
+        self.h, self.low, self.high = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def settle(self, h: np.ndarray, doc: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which entries are anchors, and which must be sent on."""
+        n, known = len(h), self.low < _NEVER
+        both = np.concatenate([h, self.h[known], self.h])
+        done, ends, (hashes, low, high, sizes) = _settled(
+            both, np.concatenate([doc, self.low[known], self.high]), np.concatenate([block, np.ones(known.sum(), bool), np.zeros(len(self.h), bool)])
+        )
+        send = ~done[:n]
+        send[ends[ends < n]] = True
+        keep = (sizes >= _FREQUENT) | np.isin(hashes, self.h)
+        rest = ~np.isin(self.h, hashes)
+        self.h, self.low, self.high = (np.concatenate(x) for x in ((self.h[rest], hashes[keep]), (self.low[rest], low[keep]), (self.high[rest], high[keep])))
+        return done[:n], send
+
+
+def _probes(piece: pa.RecordBatch, frequent: _Frequent, window: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """All probes of a piece (doc_id, text) that other tasks must see, by bucket, and the anchors found here, without hashes."""
+    w = Words(text_bytes(piece))
+    n = np.diff(w.first)
+    of, place = w.doc(), w.place()
+    at = np.flatnonzero((place + BLOCK <= n[of]) & (n[of] >= window))
     if not len(at):
-        return _to_groups(doc, place, groups)
-    sizes, block = np.diff(np.append(at, len(h))), place % BLOCK == 0
-    low = np.minimum.reduceat(np.where(block, doc, np.iinfo(np.int64).max), at)
-    high = np.maximum.reduceat(doc, at)
-    keep = (np.repeat(low, sizes) < doc) | block & (np.repeat(high, sizes) > doc)
-    return _to_groups(doc[keep], place[keep], groups)
-
-
-def _repeats(payloads: list[bytes], groups: int) -> pa.Table:
-    """Windows whose hash a smaller document has too."""
-    h, doc, place = _unrows(payloads, "<u8")
-    order = np.argsort(h, kind="stable")
-    h, doc, place = h[order], doc[order], place[order]
-    at = np.flatnonzero(np.append(len(h) > 0, h[1:] != h[:-1]))
+        return
+    h, doc, place = windows(w.hash, BLOCK)[at], piece.column("doc_id").to_numpy()[of[at]], place[at]
+    done, send = frequent.settle(h, doc, place % BLOCK == 0)
+    yield from _dealt(h[send], doc[send], place[send], buckets)
+    if done.any():  # these pass the buckets by, dealt at random
+        key = np.full(done.sum(), int(h[0] % np.uint64(buckets)), np.int32)
+        yield _packed(key, np.zeros((len(key), 0), np.uint8), doc[done], doc[done], place[done])
+
+
+def _dealt(h: np.ndarray, doc: np.ndarray, place: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Entries by bucket, with 32 bits of their hashes besides."""
+    if len(h):
+        bucket = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        yield _packed(bucket[order], h[order].astype("<u4"), doc[order], np.zeros(len(h), np.int64), place[order])
+
+
+def _anchors(rows: pa.Table, groups: int) -> pa.Table:
+    """All anchors of a bucket, by group."""
+    open_ = pc.greater(pc.binary_length(rows.column("h")), 0)
+    doc, _, place = _entries(rows.filter(pc.invert(open_)))
+    rows = rows.filter(open_)
+    d, _, p = _entries(rows)
+    done, _, _ = _settled(_raw(rows.column("h"), "<u4"), d, p % BLOCK == 0)
+    doc, place = np.append(doc, d[done]), np.append(place, p[done])
+    return pa.Table.from_batches([_to_groups((doc % groups).astype(np.int32), doc, np.zeros(len(doc), np.int64), place)])
+
+
+def _later(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether a smaller document has the same hash. h: two numbers an entry."""
+    order = np.lexsort((h[:, 1], h[:, 0]))
+    at = _starts(h[order, 0], h[order, 1])
+    out = np.zeros(len(h), bool)
     if len(at):
-        keep = np.repeat(np.minimum.reduceat(doc, at), np.diff(np.append(at, len(h)))) < doc
-        doc, place = doc[keep], place[keep]
-    return _to_groups(doc, place, groups)
+        out[order] = np.repeat(np.minimum.reduceat(doc[order], at), np.diff(np.append(at, len(h)))) < doc[order]
+    return out
 
 
-class _Places:
-    """Places by document, from packed rows."""
+def _repeats(rows: pa.Table) -> pa.Table:
+    """Windows whose hash a smaller document has too, by group."""
+    doc, ref, place = _entries(rows)
+    keep = _later(_raw(rows.column("h"), "<u8").reshape(-1, 2), doc)
+    return pa.Table.from_batches([_to_groups((ref[keep] >> 32).astype(np.int32), doc[keep], ref[keep], place[keep])])
 
-    def __init__(self, rows: pa.Table):
-        _, doc, place = _unrows(rows.column("payload").to_pylist(), "<u4")
-        order = np.lexsort((place, doc))
-        self.place, doc = place[order], doc[order]
-        at = np.flatnonzero(np.append(len(doc) > 0, doc[1:] != doc[:-1]))
-        self.of = dict(zip(doc[at].tolist(), zip(at.tolist(), np.append(at[1:], len(doc)).tolist(), strict=False), strict=False))
 
-    def __call__(self, doc_id: int) -> np.ndarray:
-        a, b = self.of.get(doc_id, (0, 0))
+class _Places:
+    """Places by number (doc or ref), from packed rows."""
+
+    def __init__(self, rows: pa.Table, by: str):
+        doc, ref, place = _entries(rows)
+        of = doc if by == "doc" else ref
+        order = np.lexsort((place, of))
+        self.place, of = place[order], of[order]
+        at = _starts(of)
+        self.of = dict(zip(of[at].tolist(), zip(at.tolist(), np.append(at[1:], len(of)).tolist(), strict=True), strict=True))
+
+    def __call__(self, number: int) -> np.ndarray:
+        a, b = self.of.get(number, (0, 0))
         return self.place[a:b]
 
 
-_KIND = "kind int, doc_id long, n_words long, sha string, key int, payload binary"
-_KIND_ARROW = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string()), ("key", pa.int32()), ("payload", pa.binary())])
-_CLEAN, _TEXT, _LOOK = 0, 1, 2
+_HEAD = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("row", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string()), ("text", pa.binary())])
+_KIND_ARROW = pa.schema([*_HEAD, *_PACKED])
+_KIND = "kind int, doc_id long, row long, n_words long, sha string, text binary, " + _PACKED_DDL
+#: Kinds of rows: a document without an anchor (done), the text of another one, windows to compare, windows known to be repeats.
+_CLEAN, _TEXT, _LOOK, _REPEAT = 0, 1, 2, 3
 
 
 def _sha(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
-def _compare(docs: pa.Table, anchors: pa.Table, window: int, buckets: int) -> pa.Table:
-    """Rows of three kinds: documents without an anchor (done), the texts of the others, and their windows to compare."""
-    found, out = _Places(anchors), []
+def _compare(key: int, docs: pa.Table, anchors: pa.Table, window: int, buckets: int) -> pa.Table:
+    """Rows of all kinds for the documents of a group. A row's number is the group's and its own inside the group."""
+    found, rows, out = _Places(anchors, "doc"), [], []
+
+    def entries(kind: int, batch: pa.RecordBatch) -> None:
+        head = [pa.array(np.full(batch.num_rows, kind, np.int32)), *[pa.nulls(batch.num_rows, f.type) for f in list(_HEAD)[1:]]]
+        out.append(pa.RecordBatch.from_arrays([*head, *batch.columns], schema=_KIND_ARROW))
+
+    number = (key << 32) - 1
     for piece in slices(iter(docs.combine_chunks().to_batches()), most_bytes=1 << 19):
-        texts, ids = text_bytes(piece), piece.column("doc_id").to_pylist()
-        have = [len(found(d)) > 0 for d in ids]
-        for d, t in ((d, t) for d, t, h in zip(ids, texts, have, strict=True) if not h):
-            out.append((_CLEAN, d, len(w := (t or b"").split()), _sha(w), 0, None))
-        texts, ids = [t for t, h in zip(texts, have, strict=True) if h], [d for d, h in zip(ids, have, strict=True) if h]
-        if not texts:
+        some: list[tuple[int, int, bytes, np.ndarray]] = []
+        for d, t in zip(piece.column("doc_id").to_pylist(), text_bytes(piece), strict=True):
+            number += 1
+            at = found(d)
+            if len(at):
+                some.append((d, number, t or b"", at))
+            else:
+                rows.append((_CLEAN, d, number, len(w := (t or b"").split()), _sha(w), None))
+        if not some:
             continue
-        w = Words(texts)
+        w = Words([t for _, _, t, _ in some])
+        n, of, place = np.diff(w.first), w.doc(), w.place()
         seen = np.zeros(len(w.hash) + 1, np.int64)
-        for first, d in zip(w.first[:-1].tolist(), ids, strict=True):
-            seen[first + found(d) + 1] = 1
+        for first, size, (*_, at) in zip(w.first[:-1].tolist(), n.tolist(), some, strict=True):
+            seen[first + at[at + BLOCK <= size] + 1] = 1  # anchors of another text with the same doc_id may lie beyond the end
         seen = np.cumsum(seen)
-        place, doc = w.place(), w.doc()
-        n = np.diff(w.first)
-        at = np.flatnonzero(place + window <= n[doc])
+        at = np.flatnonzero(place + window <= n[of])
         at = at[seen[at + window - BLOCK + 1] > seen[at]]
-        rows = _deal(windows(w.hash, window)[at], np.array(ids, "<i8")[doc[at]], place[at], buckets, "<u8")
-        out += [(_LOOK, None, None, None, k, p) for k, p in rows]
-        with_any = np.zeros(len(ids), bool)
-        with_any[doc[at]] = True
-        for d, t, k, some in zip(ids, texts, n.tolist(), with_any.tolist(), strict=True):
-            out.append((_TEXT, d, k, None, 0, t) if some else (_CLEAN, d, k, _sha(t.split()), 0, None))
-    return pa.Table.from_arrays([pa.array(c, f.type) for f, c in zip(_KIND_ARROW, zip(*out, strict=True), strict=True)] if out else [pa.array([], f.type) for f in _KIND_ARROW], schema=_KIND_ARROW)
-
-
-_DONE = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:int,end:int>>, kept string"
-_DONE_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("kept", pa.string())])
+        h = np.stack([windows(w.hash, window)[at], windows(w.second(), window)[at]], axis=1)
+        doc, ref, place = np.array([d for d, *_ in some], "<i8")[of[at]], np.array([r for _, r, *_ in some], "<i8")[of[at]], place[at]
+        later = _later(h, doc)
+        entries(_REPEAT, _to_groups(np.full(later.sum(), key, np.int32), doc[later], ref[later], place[later]))
+        h, doc, ref, place = h[~later], doc[~later], ref[~later], place[~later]
+        bucket = (h[:, 0] % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        entries(_LOOK, _packed(bucket[order], h[order], doc[order], ref[order], place[order]))
+        compared = np.zeros(len(some), bool)
+        compared[of[at]] = True
+        for (d, r, t, _), size, yes in zip(some, n.tolist(), compared.tolist(), strict=True):
+            rows.append((_TEXT, d, r, size, None, t) if yes else (_CLEAN, d, r, size, _sha(t.split()), None))
+    if rows:
+        heads = [pa.array(c, f.type) for f, c in zip(_HEAD, zip(*rows, strict=True), strict=True)]
+        out.append(pa.RecordBatch.from_arrays([*heads, *[pa.nulls(len(rows), f.type) for f in _PACKED]], schema=_KIND_ARROW))
+    return pa.Table.from_batches(out, schema=_KIND_ARROW)
+
+
+_DONE = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:int,end:int>>, kept string, text binary"
+_SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+_DONE_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(_SPAN)), ("kept", pa.string()), ("text", pa.binary())])
 
 
 def _cut(docs: pa.Table, repeats: pa.Table, window: int, keep_text: bool) -> pa.Table:
     """Join repeated windows to maximal spans and take their words out."""
-    found, out = _Places(repeats), []
-    for d, n, text in zip(*(docs.column(c).to_pylist() for c in ("doc_id", "n_words", "payload")), strict=True):
-        words, at = text.split(), found(d)
+    found, out = _Places(repeats, "ref"), []
+    for d, row, n, text in zip(*(docs.column(c).to_pylist() for c in ("doc_id", "row", "n_words", "text")), strict=True):
+        words, at = text.split(), found(row)
         steps = np.zeros(n + 1, np.int32)
         np.add.at(steps, at, 1)
         np.add.at(steps, at + window, -1)
@@ -190,7 +279,7 @@ def _cut(docs: pa.Table, repeats: pa.Table, window: int, keep_text: bool) -> pa.
         edges = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0)).reshape(-1, 2).tolist()
         kept = [words[i] for i in np.flatnonzero(~gone).tolist()]
         spans = [{"start": a, "end": b} for a, b in edges]
-        out.append((d, n, int(gone.sum()), _sha(kept), spans, b" ".join(kept).decode() if keep_text and spans else None))
+        out.append((d, n, int(gone.sum()), _sha(kept), spans, b" ".join(kept).decode() if keep_text and spans else None, text if keep_text and spans else None))
     return pa.Table.from_arrays([pa.array(c, f.type) for f, c in zip(_DONE_ARROW, zip(*out, strict=True), strict=True)] if out else [pa.array([], f.type) for f in _DONE_ARROW], schema=_DONE_ARROW)
 
 
@@ -204,9 +293,10 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, keep_text: bool = T
     """What to remove from every row of docs (doc_id, text; other columns are ignored).
 
     Returns doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space), spans (removed word ranges, half open,
-    maximal) and, if keep_text, kept (the kept words joined by one space; null where nothing goes). A word goes if a window of `window`
-    consecutive words over it also starts in a document with a smaller doc_id. Null and empty texts have no words. Texts shorter than a
-    window stay whole. Repeated rows of one doc_id aren't repeats of each other. Rows without doc_id stay whole and remove nothing.
+    maximal) and, if keep_text, kept (the kept words joined by one space) and text (the UTF-8 bytes of the whole text), both null where
+    nothing goes. A word goes if a window of `window` consecutive words over it also starts in a document with a smaller doc_id. Null and
+    empty texts have no words. Texts shorter than a window stay whole. Rows with one doc_id aren't repeats of each other; each is cut by
+    its own words. Rows without doc_id stay whole and remove nothing. Every row of docs gives one row; an empty table gives none.
     """
     if window < 2 * BLOCK - 1:
         raise ValueError(f"a window needs at least {2 * BLOCK - 1} words")
@@ -216,23 +306,19 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, keep_text: bool = T
     known = docs.where("doc_id IS NOT NULL")
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = _Frequent()
         for piece in slices(batches):
-            w = Words(text_bytes(piece))
-            doc, place = w.doc(), w.place()
-            ids = piece.column("doc_id").to_numpy()[doc]
-            at = np.flatnonzero(place + BLOCK <= np.diff(w.first)[doc])
-            at = at[np.diff(w.first)[doc[at]] >= window]
-            yield _packed(list(_deal(windows(w.hash, BLOCK)[at], ids[at], place[at], buckets, "<u4")))
-
-    packed = "key int, payload binary"
-    anchors = known.mapInArrow(probes, packed).groupBy("key").applyInArrow(lambda t: _anchors(t.column("payload").to_pylist(), groups), packed)
+            yield from _probes(piece, frequent, window, buckets)
+
+    anchors = known.mapInArrow(probes, _PACKED_DDL).groupBy("key").applyInArrow(lambda t: _anchors(t, groups), _PACKED_DDL)
     anchors = written(anchors, "anchors")
     keyed = known.withColumn("key", F.pmod("doc_id", F.lit(groups)).cast("int"))
-    looked = keyed.groupBy("key").cogroup(anchors.groupBy("key")).applyInArrow(lambda a, b: _compare(a, b, window, buckets), _KIND)
+    looked = keyed.groupBy("key").cogroup(anchors.groupBy("key")).applyInArrow(lambda k, a, b: _compare(k[0].as_py(), a, b, window, buckets), _KIND)
     looked = written(looked, "compared")
     dropped(anchors)
-    repeats = looked.where(F.col("kind") == _LOOK).select("key", "payload").groupBy("key").applyInArrow(lambda t: _repeats(t.column("payload").to_pylist(), groups), packed)
-    left = looked.where(F.col("kind") == _TEXT).select("doc_id", "n_words", "payload", F.pmod("doc_id", F.lit(groups)).cast("int").alias("key"))
+    repeats = looked.where(F.col("kind") == _LOOK).select(*_PACKED.names).groupBy("key").applyInArrow(_repeats, _PACKED_DDL)
+    repeats = repeats.unionByName(looked.where(F.col("kind") == _REPEAT).select(*_PACKED.names))
+    left = looked.where(F.col("kind") == _TEXT).select("doc_id", "row", "n_words", "text", F.shiftright("row", 32).cast("int").alias("key"))
     done = left.groupBy("key").cogroup(repeats.groupBy("key")).applyInArrow(lambda a, b: _cut(a, b, window, keep_text), _DONE)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +329,7 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, keep_text: bool = T
     clean = looked.where(F.col("kind") == _CLEAN).select("doc_id", "n_words", "sha")
     clean = clean.unionByName(docs.where("doc_id IS NULL").mapInArrow(whole, "doc_id long, n_words long, sha string"))
     none = F.from_json(F.lit("[]"), "array<struct<start:int,end:int>>")
-    clean = clean.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), none.alias("spans"), F.lit(None).cast("string").alias("kept"))
+    clean = clean.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), none.alias("spans"), F.lit(None).cast("string").alias("kept"), F.lit(None).cast("binary").alias("text"))
     return done.unionByName(clean)
 
 

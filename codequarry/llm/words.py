@@ -11,8 +11,8 @@ from functools import lru_cache
 
 import numpy as np
 
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Odd multipliers of the two hashes of a word.
+_BASE, _OTHER = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 
 
 def _table(keep) -> np.ndarray:
@@ -30,9 +30,9 @@ _LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], dtyp
 _SAME = np.arange(256, dtype=np.uint8)
 
 
-@lru_cache(maxsize=2)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(size, _BASE, np.uint64), np.full(size, _BASE_INVERSE, np.uint64)
+@lru_cache(maxsize=4)
+def _powers(size: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
     up[0] = down[0] = 1
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
@@ -57,15 +57,22 @@ class Words:
         inside[1:-1] = word_bytes[raw]
         edges = np.flatnonzero(inside[1:] != inside[:-1])
         self.start, self.end = edges[0::2], edges[1::2]
-        size = max(1 << 16, 1 << max(0, len(raw)).bit_length())
-        up, down = _powers(size)
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum((_LOWER if lower else _SAME)[raw].astype(np.uint64) * up[: len(raw)] + up[: len(raw)], out=sums[1:])
-        self.hash = mixed((sums[self.end] - sums[self.start]) * down[self.start])
+        self._raw = (_LOWER if lower else _SAME)[raw]
+        self.hash = self._hashes(_BASE)
         lengths = np.fromiter((len(t or b"") for t in texts), np.int64, len(texts))
         at = np.cumsum(lengths + 1) - lengths - 1
         self.first = np.append(np.searchsorted(self.start, at), len(self.start))
 
+    def _hashes(self, base: int) -> np.ndarray:
+        up, down = _powers(max(1 << 16, 1 << len(self._raw).bit_length()), base)
+        sums = np.zeros(len(self._raw) + 1, np.uint64)
+        np.cumsum(self._raw.astype(np.uint64) * up[: len(self._raw)] + up[: len(self._raw)], out=sums[1:])
+        return mixed((sums[self.end] - sums[self.start]) * down[self.start])
+
+    def second(self) -> np.ndarray:
+        """Another hash of each word: two words that share both have a chance of about 2**-128."""
+        return self._hashes(_OTHER)
+
     def doc(self) -> np.ndarray:
         """Index of the text of each word."""
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
