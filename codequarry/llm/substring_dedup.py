@@ -3,7 +3,7 @@
 Index: every document's text is cut into blocks of BLOCK words at positions 0, BLOCK, 2 * BLOCK ... Probe: every run of BLOCK words
 of every document. A run of `window` >= 2 * BLOCK - 1 words always holds a whole block of each document it occurs in, so a repeated
 window shows up as an anchor: a probe that meets a block of another document. Extension: the windows around the anchors, and those
-alone, are compared over their full width, by 128 bits of hash; neighbouring repeats join into one maximal span.
+alone, are compared over their full width, by 96 bits of hash; neighbouring repeats join into one maximal span.
 
 Three steps pass data on, each dealt evenly by hash: (1) probes and blocks by their hash; (2) anchors back to their documents, which
 gives the windows to compare; (3) repeats back to their rows. What goes from a task to a bucket is one row of plain binary columns, made
@@ -34,8 +34,9 @@ BUCKET_BYTES, GROUP_BYTES = 6 << 20, 4 << 20
 _FREQUENT = 16
 _NEVER = np.iinfo(np.int64).max
 
-#: Entries for a key: by entry h, and the halves lo and hi of place; by run of one document (doc, ref) their number n.
-_PACKED = pa.schema([("key", pa.int32()), *[(c, pa.binary()) for c in ("h", "doc", "ref", "n", "lo", "hi")]])
+#: Entries for a key. By run of one document, in steps from run to run: doc and ref, their low 16 bits apart, and the number n of entries.
+#: By entry: h, and place as steps inside a run, in three parts. Small steps leave zeros together, which a shuffle compresses.
+_PACKED = pa.schema([("key", pa.int32()), *[(c, pa.binary()) for c in ("h", "doc", "doc_high", "ref", "ref_high", "n", "place", "place_mid", "place_high")]])
 _PACKED_DDL = ", ".join(["key int", *[f"{c} binary" for c in _PACKED.names[1:]]])
 
 
@@ -56,19 +57,36 @@ def _starts(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _packed(key: np.ndarray, h: np.ndarray, doc: np.ndarray, ref: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-    """A row for each key; key must be in runs."""
-    rows, runs = _starts(key), _starts(key, doc, ref)
+def _steps(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Differences, modulo 2**64, of neighbours; at the indexes `at` the value itself."""
+    v = values.astype(np.uint64)
+    out = np.append(v[:1], v[1:] - v[:-1])
+    out[at] = v[at]
+    return out
+
+
+def _unsteps(steps: np.ndarray, at: np.ndarray) -> np.ndarray:
+    total = np.cumsum(steps, dtype=np.uint64)
+    return (total - np.repeat(total[at] - steps[at], np.diff(np.append(at, len(steps))))).view(np.int64)
+
+
+def _packed(key: np.ndarray, h: np.ndarray, doc: np.ndarray, ref: np.ndarray | None, place: np.ndarray) -> pa.RecordBatch:
+    """A row for each key; key must be in runs. h: an array of bytes an entry."""
+    rows, runs = _starts(key), _starts(key, doc, *([] if ref is None else [ref]))
+    runs = np.flatnonzero((np.arange(len(key)) - np.repeat(runs, np.diff(np.append(runs, len(key))))) % 255 == 0)
     cuts = np.append(rows, len(key))
     of_runs = np.searchsorted(runs, cuts)
-    n = np.diff(np.append(runs, len(key))).astype("<u4")
-    place = place.astype("<u4")
-    return pa.RecordBatch.from_arrays(
-        [pa.array(key[rows], pa.int32()), _binary(h, cuts), _binary(doc[runs], of_runs), _binary(ref[runs], of_runs), _binary(n, of_runs),
-         _binary((place & 0xFFFF).astype("<u2"), cuts), _binary((place >> 16).astype("<u2"), cuts)], schema=_PACKED)
+    halves = []
+    for x in (doc, ref):
+        x = np.zeros((len(runs), 4), "<u2") if x is None else _steps(x[runs], of_runs[:-1]).reshape(-1, 1).view("<u2")
+        halves += [_binary(x[:, :1], of_runs), _binary(x[:, 1:], of_runs)]
+    n = np.diff(np.append(runs, len(key))).astype(np.uint8)
+    step = _steps(place, runs)
+    parts = [_binary((step >> np.uint64(k)).astype(kind), cuts) for k, kind in ((0, np.uint8), (8, np.uint8), (16, "<u2"))]
+    return pa.RecordBatch.from_arrays([pa.array(key[rows], pa.int32()), _binary(h, cuts), *halves, _binary(n, of_runs), *parts], schema=_PACKED)
 
 
-def _raw(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+def _raw(column: pa.ChunkedArray, kind) -> np.ndarray:
     """All bytes of a binary column, one value after another, as numbers."""
     parts = []
     for c in column.chunks:
@@ -81,15 +99,21 @@ def _raw(column: pa.ChunkedArray, kind: str) -> np.ndarray:
 
 def _entries(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """doc, ref, place of each entry."""
-    n = _raw(rows.column("n"), "<u4")
-    place = _raw(rows.column("lo"), "<u2").astype(np.int64) | _raw(rows.column("hi"), "<u2").astype(np.int64) << 16
-    return np.repeat(_raw(rows.column("doc"), "<i8"), n), np.repeat(_raw(rows.column("ref"), "<i8"), n), place
-
-
-def _to_groups(group: np.ndarray, doc: np.ndarray, ref: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    n = _raw(rows.column("n"), np.uint8).astype(np.int64)
+    sizes = np.array(pc.binary_length(rows.column("n")), np.int64)
+    at = (np.cumsum(sizes) - sizes)[sizes > 0]
+    out = []
+    for c in ("doc", "ref"):
+        x = np.concatenate([_raw(rows.column(c), "<u2").reshape(-1, 1), _raw(rows.column(f"{c}_high"), "<u2").reshape(-1, 3)], axis=1)
+        out.append(np.repeat(_unsteps(np.ascontiguousarray(x).view(np.uint64)[:, 0], at), n))
+    step = sum(_raw(rows.column(c), kind).astype(np.uint64) << np.uint64(k) for c, kind, k in (("place", np.uint8, 0), ("place_mid", np.uint8, 8), ("place_high", "<u2", 16)))
+    return *out, _unsteps(step, np.cumsum(n) - n) & 0xFFFFFFFF  # a step may go back
+
+
+def _to_groups(group: np.ndarray, doc: np.ndarray, ref: np.ndarray | None, place: np.ndarray) -> pa.RecordBatch:
     """Places, without hashes, dealt to the groups of their documents."""
-    order = np.lexsort((place, ref, doc, group))
-    return _packed(group[order], np.zeros((len(order), 0), np.uint8), doc[order], ref[order], place[order])
+    order = np.lexsort((place, doc, group) if ref is None else (place, ref, doc, group))
+    return _packed(group[order], np.zeros((len(order), 0), np.uint8), doc[order], None if ref is None else ref[order], place[order])
 
 
 def _settled(h: np.ndarray, doc: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
@@ -150,7 +174,7 @@ def _probes(piece: pa.RecordBatch, frequent: _Frequent, window: int, buckets: in
     yield from _dealt(h[send], doc[send], place[send], buckets)
     if done.any():  # these pass the buckets by, dealt at random
         key = np.full(done.sum(), int(h[0] % np.uint64(buckets)), np.int32)
-        yield _packed(key, np.zeros((len(key), 0), np.uint8), doc[done], doc[done], place[done])
+        yield _packed(key, np.zeros((len(key), 0), np.uint8), doc[done], None, place[done])
 
 
 def _dealt(h: np.ndarray, doc: np.ndarray, place: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -158,7 +182,7 @@ def _dealt(h: np.ndarray, doc: np.ndarray, place: np.ndarray, buckets: int) -> I
     if len(h):
         bucket = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
-        yield _packed(bucket[order], h[order].astype("<u4"), doc[order], np.zeros(len(h), np.int64), place[order])
+        yield _packed(bucket[order], h[order].astype("<u4"), doc[order], None, place[order])
 
 
 def _anchors(rows: pa.Table, groups: int) -> pa.Table:
@@ -169,13 +193,14 @@ def _anchors(rows: pa.Table, groups: int) -> pa.Table:
     d, _, p = _entries(rows)
     done, _, _ = _settled(_raw(rows.column("h"), "<u4"), d, p % BLOCK == 0)
     doc, place = np.append(doc, d[done]), np.append(place, p[done])
-    return pa.Table.from_batches([_to_groups((doc % groups).astype(np.int32), doc, np.zeros(len(doc), np.int64), place)])
+    return pa.Table.from_batches([_to_groups((doc % groups).astype(np.int32), doc, None, place)])
 
 
 def _later(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Whether a smaller document has the same hash. h: two numbers an entry."""
-    order = np.lexsort((h[:, 1], h[:, 0]))
-    at = _starts(h[order, 0], h[order, 1])
+    """Whether a smaller document has the same hash. h: twelve bytes an entry."""
+    first, second = np.ascontiguousarray(h[:, :8]).view("<u8")[:, 0], np.ascontiguousarray(h[:, 8:]).view("<u4")[:, 0]
+    order = np.lexsort((second, first))
+    at = _starts(first[order], second[order])
     out = np.zeros(len(h), bool)
     if len(at):
         out[order] = np.repeat(np.minimum.reduceat(doc[order], at), np.diff(np.append(at, len(h)))) < doc[order]
@@ -185,7 +210,7 @@ def _later(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
 def _repeats(rows: pa.Table) -> pa.Table:
     """Windows whose hash a smaller document has too, by group."""
     doc, ref, place = _entries(rows)
-    keep = _later(_raw(rows.column("h"), "<u8").reshape(-1, 2), doc)
+    keep = _later(_raw(rows.column("h"), np.uint8).reshape(-1, 12), doc)
     return pa.Table.from_batches([_to_groups((ref[keep] >> 32).astype(np.int32), doc[keep], ref[keep], place[keep])])
 
 
@@ -244,12 +269,13 @@ def _compare(key: int, docs: pa.Table, anchors: pa.Table, window: int, buckets:
         seen = np.cumsum(seen)
         at = np.flatnonzero(place + window <= n[of])
         at = at[seen[at + window - BLOCK + 1] > seen[at]]
-        h = np.stack([windows(w.hash, window)[at], windows(w.second(), window)[at]], axis=1)
+        first = windows(w.hash, window)[at]
+        h = np.concatenate([x.reshape(-1, 1).view(np.uint8) for x in (first, windows(w.second(), window)[at].astype("<u4"))], axis=1)
         doc, ref, place = np.array([d for d, *_ in some], "<i8")[of[at]], np.array([r for _, r, *_ in some], "<i8")[of[at]], place[at]
         later = _later(h, doc)
         entries(_REPEAT, _to_groups(np.full(later.sum(), key, np.int32), doc[later], ref[later], place[later]))
         h, doc, ref, place = h[~later], doc[~later], ref[~later], place[~later]
-        bucket = (h[:, 0] % np.uint64(buckets)).astype(np.int32)
+        bucket = (first[~later] % np.uint64(buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
         entries(_LOOK, _packed(bucket[order], h[order], doc[order], ref[order], place[order]))
         compared = np.zeros(len(some), bool)
