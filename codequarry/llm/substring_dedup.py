@@ -223,7 +223,7 @@ class _Places:
         order = np.lexsort((place, of))
         self.place, of = place[order], of[order]
         at = _starts(of)
-        self.of = dict(zip(of[at].tolist(), zip(at.tolist(), np.append(at[1:], len(of)).tolist(), strict=True), strict=True))
+        self.of = dict(zip(of[at].tolist(), zip(at.tolist(), np.append(at, len(of))[1:].tolist(), strict=True), strict=True))
 
     def __call__(self, number: int) -> np.ndarray:
         a, b = self.of.get(number, (0, 0))
