@@ -73,6 +73,18 @@ def crc32_of_id(col: str = "doc_id") -> Column:
     return F.crc32(F.col(col).cast("string").cast("binary"))
 
 
+def text_hash(col: str | Column = "text") -> Column:
+    """64 bits of a text: with the doc_id they tell rows apart that share an id. Two texts of one id share them with a chance of 2**-64."""
+    return F.xxhash64((F.col(col) if isinstance(col, str) else col).cast("string"))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of docs (doc_id, text and any other columns) that aren't in gone (doc_id, text_hash); null ids are equal to each other."""
+    gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")).distinct()
+    same = docs["doc_id"].eqNullSafe(gone["_gone_id"]) & (text_hash(docs["text"]) == gone["_gone_hash"])
+    return docs.join(gone, same, "left_anti")
+
+
 def text_bytes(batch: pa.RecordBatch, column: str = "text") -> list[bytes | None]:
     """The UTF-8 bytes of a text column."""
     return batch.column(column).cast(pa.binary()).to_pylist()

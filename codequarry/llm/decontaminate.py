@@ -7,27 +7,28 @@ corpus, so that the latent space keeps what tells them apart. Then every window
 cosine with a segment reaches the bar become candidates. A candidate is confirmed on the words themselves: the longest common
 subsequence of the item and the surroundings of the window must cover most of the item, or a good part of it and the item's answer.
 
-Words outside the benchmark have no weight in any comparison, so vectors have one dimension for each benchmark word of a block. The
-benchmark is taken in blocks of at most BLOCK items and about BLOCK_BYTES bytes, which bounds what is broadcast; the corpus is never joined or shuffled, only sums of
-bounded size are.
+Words outside the benchmark have no weight in any comparison, so vectors have one dimension for each word of the benchmark, at most DIMS:
+beyond that, words share dimensions by hash. The space is fitted once, over all items. Only the search takes the benchmark in blocks of at
+most BLOCK items and about BLOCK_BYTES bytes, which bounds what is broadcast at once and changes nothing else; the corpus is never joined or
+shuffled, only sums of bounded size are.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, text_bytes
+from .common import slices, table, text_bytes, text_hash
 from .words import ALNUM, Words
 
-#: Words of a chunk; chunks of a window; words of a benchmark segment; most items and most text bytes of a block.
-CHUNK, CHUNKS, SEGMENT, BLOCK, BLOCK_BYTES = 16, 3, 32, 1_000, 2 << 20
+#: Words of a chunk; chunks of a window; words of a benchmark segment; most items and most text bytes of a search block; most dimensions.
+CHUNK, CHUNKS, SEGMENT, BLOCK, BLOCK_BYTES, DIMS = 16, 3, 32, 1_000, 2 << 20, 1 << 17
 SPAN = CHUNK * CHUNKS
 #: Rank and oversampling of the decomposition; a word in more than this share of passages has no weight unless a segment needs it.
 RANK, EXTRA, COMMON, NEEDED = 128, 16, 0.02, 8
@@ -35,36 +36,31 @@ RANK, EXTRA, COMMON, NEEDED = 128, 16, 0.02, 8
 COSINE, VERBATIM, PARAPHRASE, ANSWER = 0.5, 0.8, 0.6, 0.75
 
 
-@dataclass
-class Block:
-    """A block of benchmark items, as word hashes, and the index of its words."""
+class Dimensions:
+    """The dimension of each word, from the sorted distinct word hashes of the benchmark."""
 
-    ids: list
-    words: list[np.ndarray]
-    answers: list[np.ndarray]
-    segments: list[tuple[int, np.ndarray]] = field(default_factory=list)
-
-    def __post_init__(self):
-        self.vocab = np.unique(np.concatenate([*self.words, np.zeros(0, np.uint64)]))
-        bits = max(10, int(len(self.vocab) * 4).bit_length())
-        self.shift, table = np.uint64(64 - bits), np.full((1 << bits, 4), -1, np.int32)
-        self.spill = []
-        for i, h in enumerate(self.vocab.tolist()):
-            row = table[h >> (64 - bits)]
+    def __init__(self, vocab: np.ndarray, most: int = DIMS):
+        self.size = min(len(vocab), most)
+        self.vocab = vocab if len(vocab) <= most else None
+        if self.vocab is None:
+            return
+        bits = max(10, int(len(vocab) * 4).bit_length())
+        self.shift, self.table, self.spill = np.uint64(64 - bits), np.full((1 << bits, 4), -1, np.int32), []
+        for i, h in enumerate(vocab.tolist()):
+            row = self.table[h >> (64 - bits)]
             free = np.flatnonzero(row < 0)
             if len(free):
                 row[free[0]] = i
             else:
                 self.spill.append(i)
-        self.table = table
-        for k, w in enumerate(self.words):
-            starts = range(0, max(1, len(w) - SEGMENT + 1), SEGMENT // 2)
-            for a in sorted({*starts, max(0, len(w) - SEGMENT)}):
-                self.segments.append((k, self.lookup(w[a : a + SEGMENT])))
 
-    def lookup(self, h: np.ndarray) -> np.ndarray:
-        """Index of each word in vocab, or -1."""
+    def of(self, h: np.ndarray) -> np.ndarray:
+        """The dimension of each word, or -1 for a word of no weight."""
+        if self.vocab is None:
+            return (h % np.uint64(self.size)).astype(np.int32)
         out = np.full(len(h), -1, np.int32)
+        if not len(self.vocab):
+            return out
         slots = (h >> self.shift).astype(np.int64)
         for c in range(4):
             i = self.table[slots, c]
@@ -75,15 +71,34 @@ class Block:
         return out
 
 
+@dataclass
+class Block:
+    """Some benchmark items, as word hashes."""
+
+    ids: list
+    words: list[np.ndarray]
+    answers: list[np.ndarray]
+
+    def segments(self, dimensions: Dimensions) -> Iterator[tuple[int, np.ndarray]]:
+        """Item and dimensions of every run of SEGMENT words, half a run apart."""
+        for k, w in enumerate(self.words):
+            starts = range(0, max(1, len(w) - SEGMENT + 1), SEGMENT // 2)
+            for a in sorted({*starts, max(0, len(w) - SEGMENT)}):
+                yield k, dimensions.of(w[a : a + SEGMENT])
+
+
 def _answer(text: bytes, given: bytes | None) -> bytes:
-    """The given answer, or else the last sentence."""
+    """The given answer, or else the last sentence, or the last quarter of the words of a single sentence."""
     if given:
         return given
     parts = [p for p in text.replace(b"?", b".").replace(b"!", b".").replace(b"\n", b".").split(b".") if p.strip()]
-    return parts[-1] if len(parts) > 1 else b""
+    if len(parts) > 1:
+        return parts[-1]
+    words = text.split()
+    return b" ".join(words[-max(1, len(words) // 4) :])
 
 
-def blocks(items: DataFrame, answer: str | None = None, size: int = BLOCK) -> Iterator[Block]:
+def blocks(items: DataFrame, answer: str | None = None, size: int = BLOCK, most_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
     """Read items (item_id, text) block by block; items without words are passed over."""
     rows = items.select(F.col("item_id").cast("long"), F.col("text").cast("string"), (F.col(answer) if answer else F.lit(None)).cast("string").alias("answer"))
     held: list = []
@@ -100,7 +115,7 @@ def blocks(items: DataFrame, answer: str | None = None, size: int = BLOCK) -> It
         text = r.text.encode()
         held.append((r.item_id, text, _answer(text, r.answer and r.answer.encode())))
         total += len(text)
-        if len(held) == size or total >= BLOCK_BYTES:
+        if len(held) == size or total >= most_bytes:
             yield block()
             held, total = [], 0
     if held:
@@ -126,64 +141,63 @@ def _summed(rows: DataFrame, kind: str) -> DataFrame:
 _SUM = pa.schema([("key", pa.int32()), ("value", pa.binary())])
 
 
-def _passages(block: Block, piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, int]:
-    """Benchmark words of a piece: the passage of each and its index; and the number of passages."""
+def _passages(dimensions: Dimensions, piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, int]:
+    """Benchmark words of a piece: the passage of each and its dimension; and the number of passages."""
     w = Words(text_bytes(piece), ALNUM, lower=True)
     per = -(-np.diff(w.first) // SPAN)
     base = np.cumsum(per) - per
-    at = block.lookup(w.hash)
+    at = dimensions.of(w.hash)
     keep = at >= 0
     passage = np.repeat(base, np.diff(w.first))[keep] + w.place()[keep] // SPAN
     return passage, at[keep], int(per.sum())
 
 
-def inverse_frequencies(docs: DataFrame, block: Block) -> tuple[np.ndarray, int]:
-    """The weight of each word of the block over all passages of docs, zero for common words that no segment needs; passages."""
-    spark, size = docs.sparkSession, len(block.vocab)
-    shared = spark.sparkContext.broadcast(block)
+def inverse_frequencies(docs: DataFrame, dimensions: Dimensions, segments: Callable[[], Iterator[np.ndarray]]) -> np.ndarray:
+    """The weight of each dimension over all passages of docs, zero for common words that no segment needs."""
+    size = dimensions.size
+    shared = docs.sparkSession.sparkContext.broadcast(dimensions)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, block = np.zeros(size + 1, np.int64), shared.value
+        total = np.zeros(size + 1, np.int64)
         for piece in slices(batches):
-            passage, word, n = _passages(block, piece)
+            passage, word, n = _passages(shared.value, piece)
             total[-1] += n
             total[:-1] += np.bincount(np.unique(passage * size + word) % size, minlength=size)
         yield from _vector_rows(total, _SUM, 4096)
 
-    rows = _summed(docs.select("text").mapInArrow(run, "key int, value binary"), "<i8").orderBy("key").collect()  # one number a word
+    rows = _summed(docs.select("text").mapInArrow(run, "key int, value binary"), "<i8").orderBy("key").collect()  # one number a dimension
     total = np.concatenate([np.frombuffer(r.value, "<i8") for r in rows]) if rows else np.zeros(size + 1, np.int64)
     df, n = total[:-1], int(total[-1])
     keep = df <= max(COMMON * n, 5)
-    for _, words in block.segments:
+    for words in segments():
         keep[words[np.argsort(df[words], kind="stable")][:NEEDED]] = True
-    return np.where(keep, np.log((n + 1) / (df + 1)) + 0.1, 0.0), n
+    return np.where(keep, np.log((n + 1) / (df + 1)) + 0.1, 0.0)
 
 
-def latent_space(docs: DataFrame, block: Block, weight: np.ndarray, rank: int = RANK) -> np.ndarray:
+def latent_space(docs: DataFrame, dimensions: Dimensions, weight: np.ndarray, segments: Callable[[], Iterator[np.ndarray]], rank: int = RANK) -> np.ndarray:
     """Word vectors: the leading right singular vectors of the passages' and segments' TF-IDF rows."""
-    spark, size = docs.sparkSession, len(block.vocab)
+    size = dimensions.size
     width = min(rank + EXTRA, size)
     omega = np.random.default_rng(20_240_607).standard_normal((size, width)).astype(np.float32)
-    shared = spark.sparkContext.broadcast((block, weight.astype(np.float32), omega))
+    weight = weight.astype(np.float32)
+    shared = docs.sparkSession.sparkContext.broadcast((dimensions, weight, omega))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, weight, omega = shared.value
+        dimensions, weight, omega = shared.value
         weighted, sketch, used = omega * weight[:, None], np.zeros((size, width), np.float32), 0
         for piece in slices(batches):
-            passage, word, _ = _passages(block, piece)
+            passage, word, _ = _passages(dimensions, piece)
             keep = weight[word] > 0
-            sketch_n = _sketch(passage[keep], word[keep], weight, weighted, sketch)
-            used += sketch_n
+            used += _sketch(passage[keep], word[keep], weight, weighted, sketch)
         yield from _vector_rows(np.vstack([sketch, np.full((1, width), used, np.float32)]), _SUM, 128)
 
-    rows = _summed(docs.select("text").mapInArrow(run, "key int, value binary"), "<f4").orderBy("key").collect()  # a row a word
+    rows = _summed(docs.select("text").mapInArrow(run, "key int, value binary"), "<f4").orderBy("key").collect()  # a row a dimension
     total = np.vstack([np.frombuffer(r.value, "<f4").reshape(-1, width) for r in rows]).astype(np.float64) if rows else np.zeros((size + 1, width))
     sketch, used = total[:-1], total[-1, 0]
-    own = np.zeros((size, width), np.float32)
-    at = np.repeat(np.arange(len(block.segments)), [len(w) for _, w in block.segments])
-    word = np.concatenate([w for _, w in block.segments])
-    keep = weight[word] > 0
-    n = _sketch(at[keep], word[keep], weight.astype(np.float32), omega * weight[:, None].astype(np.float32), own)
+    own, n, weighted = np.zeros((size, width), np.float32), 0, omega * weight[:, None]
+    for words in segments():
+        words = words[weight[words] > 0]
+        n += _sketch(np.zeros(len(words), np.int64), words, weight, weighted, own)
     sketch = sketch + max(used, 1.0) / max(n, 1) * own
     shift = 1e-6 * np.linalg.norm(sketch) + 1e-12
     sketch = sketch + shift * omega
@@ -231,45 +245,56 @@ def _masks(words: np.ndarray) -> dict[int, int]:
     return dict(out)
 
 
-_FOUND = "doc_id long, item_id long, cosine double, common double, answer double, start int, end int"
-_FOUND_ARROW = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()), ("common", pa.float64()), ("answer", pa.float64()), ("start", pa.int32()), ("end", pa.int32())])
+_FOUND = "doc_id long, item_id long, cosine double, common double, answer double, start int, end int, text_hash long"
+_FOUND_ARROW = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()), ("common", pa.float64()), ("answer", pa.float64()), ("start", pa.int32()), ("end", pa.int32()), ("text_hash", pa.int64())])
 
 
-def contaminated(docs: DataFrame, items: DataFrame, answer: str | None = None, rank: int = RANK, cosine: float = COSINE) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, answer: str | None = None, rank: int = RANK, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
     """Pairs of a document of docs (doc_id, text) and an item of items (item_id, text; answer: the name of an answer column or null).
 
     Returns doc_id, item_id, cosine (of the best window), common (share of the item in the longest common subsequence), answer (share of
-    the answer found; null without one), start and end (words of the document that were compared). Null and empty texts match nothing;
-    an empty table on either side gives an empty result; repeated rows give repeated pairs; other columns are ignored.
+    the answer found), start and end (words of the document that were compared), and text_hash (of the document's text). Without a given
+    answer, an item's last sentence is its answer, or the last quarter of a single sentence. Null and empty texts match nothing, nor do
+    items without words; an empty table on either side gives an empty result; repeated rows give repeated pairs; rows without doc_id are
+    searched like all others; other columns are ignored. block, the items searched at once, doesn't change the pairs.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    out = None
-    for block in blocks(items, answer):
-        if not block.ids:
-            continue
-        weight, _ = inverse_frequencies(docs, block)
-        space = latent_space(docs, block, weight, rank)
-        vectors = (space * weight[:, None]).astype(np.float32)
-        latent = np.array([vectors[w].sum(axis=0) for _, w in block.segments], np.float32)
-        latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-        least = min(max(1, (weight[w] > 0).sum() // 2) for _, w in block.segments)
-        found = _search(docs, spark.sparkContext.broadcast((block, vectors, latent, int(least))), cosine)
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else spark.createDataFrame([], _FOUND)
-
-
-def _search(docs: DataFrame, shared, cosine: float) -> DataFrame:
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_hash().alias("text_hash"))
+    vocab = np.zeros(0, np.uint64)
+    for b in blocks(items, answer, block):
+        vocab = np.unique(np.concatenate([vocab, *b.words]))
+    if not len(vocab):
+        return spark.createDataFrame([], _FOUND)
+    dimensions = Dimensions(vocab)
+
+    def segments() -> Iterator[np.ndarray]:
+        for b in blocks(items, answer, block):
+            yield from (words for _, words in b.segments(dimensions))
+
+    weight = inverse_frequencies(docs, dimensions, segments)
+    vectors = (latent_space(docs, dimensions, weight, segments, rank) * weight[:, None]).astype(np.float32)
+    space, out = spark.sparkContext.broadcast((dimensions, vectors)), None
+    for b in blocks(items, answer, block):
+        if b.ids:
+            found = _search(docs, space, spark.sparkContext.broadcast(b), cosine)
+            out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _search(docs: DataFrame, space, shared, cosine: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, vectors, latent, least = shared.value
-        owner = np.array([k for k, _ in block.segments])
+        block, (dimensions, vectors) = shared.value, space.value
+        segments = list(block.segments(dimensions))
+        owner = np.array([k for k, _ in segments])
+        latent = np.array([vectors[w].sum(axis=0) for _, w in segments], np.float32)
+        latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
         masks = [_masks(w) for w in block.words]
         answers = [_masks(w) for w in block.answers]
         weighty = np.abs(vectors).sum(axis=1) > 0
         for piece in slices(batches, most_bytes=1 << 19):
             w = Words(text_bytes(piece), ALNUM, lower=True)
-            ids = piece.column("doc_id").to_pylist()
-            at = block.lookup(w.hash)
+            ids, hashes = piece.column("doc_id").to_pylist(), piece.column("text_hash").to_pylist()
+            at = dimensions.of(w.hash)
             spot = np.flatnonzero((at >= 0) & weighty[at])
             n = np.diff(w.first)
             per = -(-n // CHUNK)
@@ -278,16 +303,14 @@ def _search(docs: DataFrame, shared, cosine: float) -> DataFrame:
             first = np.flatnonzero(np.append(len(chunk) > 0, chunk[1:] != chunk[:-1]))[: len(chunk)]
             if not len(first):
                 continue
-            # Windows are runs of CHUNKS chunks of one document; only those with enough benchmark words are looked at.
-            count = np.zeros(int(per.sum()) + CHUNKS, np.int32)
-            count[chunk[first]] = np.diff(np.append(first, len(chunk)))
+            # Windows are runs of CHUNKS chunks of one document; only those with words of any weight are looked at.
             of = np.append(np.repeat(np.arange(len(per)), per), np.full(CHUNKS, -1))
-            row = np.zeros(len(count), np.int64)
+            row = np.zeros(len(of), np.int64)
             row[chunk[first]] = np.arange(1, len(first) + 1)
             sums = np.vstack([np.zeros((1, vectors.shape[1]), np.float32), np.add.reduceat(vectors[at[spot]], first, axis=0)])
-            start = np.arange(len(count) - CHUNKS)
-            same = [np.where(of[start + j] == of[start], start + j, len(count) - 1) for j in range(CHUNKS)]
-            start = start[sum(count[s] for s in same) >= least]
+            start = np.arange(len(of) - CHUNKS)
+            same = [np.where(of[start + j] == of[start], start + j, len(of) - 1) for j in range(CHUNKS)]
+            start = start[sum(row[s] for s in same) > 0]
             best: dict[tuple[int, int], tuple[float, int, int]] = {}
             for a in range(0, len(start), 4096):
                 part = start[a : a + 4096]
@@ -312,7 +335,7 @@ def _search(docs: DataFrame, shared, cosine: float) -> DataFrame:
                             seen.append((share, c, told, lo, hi))
                 if seen:
                     share, c, told, lo, hi = max(seen, key=lambda x: x[:2])
-                    rows.append((ids[d], block.ids[k], c, share, told, lo, hi))
+                    rows.append((ids[d], block.ids[k], c, share, told, lo, hi, hashes[d]))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for f, c in zip(_FOUND_ARROW, zip(*rows, strict=True), strict=True)], schema=_FOUND_ARROW)
 

@@ -1,6 +1,9 @@
 import random
 
-from codequarry.llm.decontaminate import common_subsequence, contaminated
+import numpy as np
+import pytest
+
+from codequarry.llm.decontaminate import ANSWER, PARAPHRASE, VERBATIM, Dimensions, _answer, common_subsequence, contaminated
 
 
 def test_common_subsequence():
@@ -44,3 +47,57 @@ def test_planted_items(spark):
     both = contaminated(spark.createDataFrame([(1, " ".join(words(50) + long))], "doc_id long, text string"), spark.createDataFrame([(5, " ".join(long)), (6, " ".join(words(30)))], "item_id long, text string"))
     assert [(r.doc_id, r.item_id) for r in both.collect()] == [(1, 5)]
     assert contaminated(frame.limit(0), bench).count() == 0 and contaminated(frame, bench.limit(0)).count() == 0
+
+
+def longest(a, b):
+    masks = {x: sum(1 << i for i, y in enumerate(a) if y == x) for x in set(a)}
+    return common_subsequence(masks, len(a), b)
+
+
+def confirmed(item, words):
+    """By the rule for confirmation, over every run of the document that is long enough to hold the item."""
+    answer = [w.decode() for w in _answer(" ".join(item).encode(), None).split()]
+    for a in range(0, max(1, len(words) - len(item) // 2), 4):
+        part = words[a : a + 2 * len(item)]
+        share = longest(item, part) / len(item)
+        if share >= VERBATIM or share >= PARAPHRASE and longest(answer, part) / len(answer) >= ANSWER:
+            return True
+    return False
+
+
+@pytest.mark.parametrize("block", [1_000, 7])
+def test_recall_of_paraphrases(spark, block):
+    """Edited copies against exhaustive comparison of all items and documents; blocks of items don't matter."""
+    rng = random.Random(17)
+    vocab = [f"{a}{b}{c}" for a in "bdfglmnprst" for b in "aeiou" for c in ("n", "r", "s", "lt", "mp", "nd", "k")]
+    common = ["the", "of", "and", "to", "in"]
+    words = lambda n: [rng.choice(common) if rng.random() < 0.4 else rng.choice(vocab) for _ in range(n)]
+    items = [(i, words(rng.randrange(14, 60))) for i in range(25)]
+    docs = []
+    for d in range(360):
+        text, rate = words(rng.randrange(20, 200)), (0, 0.1, 0.2, 0.3)[d % 4]
+        if d % 6:
+            copy = []
+            for w in rng.choice(items)[1]:
+                edit = rng.random()
+                if edit >= rate:
+                    copy.append(w)
+                elif edit < rate / 3:  # a replaced word; a deleted one; an inserted one
+                    copy.append(rng.choice(vocab))
+                elif edit > 2 * rate / 3:
+                    copy += [w, rng.choice(vocab)]
+            at = rng.randrange(len(text) + 1)
+            text[at:at] = copy
+        docs.append((d, text))
+    want = {(d, i) for d, t in docs for i, item in items if confirmed(item, t)}
+    frame = spark.createDataFrame([(d, " ".join(t)) for d, t in docs], "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.item_id) for r in contaminated(frame, spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string"), block=block).collect()}
+    assert len(want) > 200 and len(got & want) >= 0.98 * len(want)
+    assert all(longest(dict(items)[i], dict(docs)[d]) >= PARAPHRASE * len(dict(items)[i]) for d, i in got)
+
+
+def test_dimensions():
+    vocab = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 5_000).astype(np.uint64))
+    exact, hashed = Dimensions(vocab), Dimensions(vocab, most=512)
+    assert (exact.of(vocab) == np.arange(len(vocab))).all() and (exact.of(vocab + np.uint64(1)) < 0).all()
+    assert hashed.size == 512 and hashed.of(vocab).min() >= 0 and hashed.of(vocab).max() < 512
