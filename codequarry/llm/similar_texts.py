@@ -1,11 +1,13 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles: a set join by prefix filtering, positions and an exact check.
+"""Near-duplicates by similarity: SimHash links first, then whatever their error budget can't reach, all checked on the whole texts.
 
-Two sets with a Jaccard similarity of 0.8 or more share an element among the first n - ceil(0.8 n) + 1 of each, in any order that is the
-same for all sets. The order used puts rare shingles first, so that a common passage isn't a candidate by itself; how frequent a shingle
-is comes from a sample, which decides on the cost alone and never on the result. Candidates are checked on their whole texts.
+Texts whose sets of word shingles have a Jaccard similarity of 0.8 differ in some ten of 64 SimHash bits, up to about 20; a trie prunes
+nothing at such a budget. So the trie join of `simhash` links the closest texts at its own budget, and the rest comes from an exact set join:
+two sets with a similarity of 0.8 or more share an element among the first n - ceil(0.8 n) + 1 of each, in any order that is the same for
+all sets. The order used puts rare shingles first, so that a common passage isn't a candidate by itself; how frequent a shingle is comes
+from a sample, which decides on the cost alone and never on the result. Every link is checked on the whole texts.
 
-Texts with the same set are one node. A first round checks each node against the smallest node of each of its shingles; a second one
-checks the pairs that are still in different components. So a large group of near copies isn't compared pair by pair.
+Texts with the same set are one node. After the SimHash links, a round checks each node against the smallest node of each of its
+shingles, and a last one the pairs that are still in different components. So a large group of near copies isn't compared pair by pair.
 """
 
 from __future__ import annotations
@@ -18,8 +20,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, record, slices, text_bytes, written
+from .common import dropped, record, slices, text_bytes, text_hash, written
 from .components import connected_components
+from .simhash import DISTANCE, links
 
 SEED, SHINGLE = 42, 5
 #: The least similarity, as a fraction.
@@ -28,8 +31,8 @@ NUM, DEN = 4, 5
 SAMPLE, FREQUENT = 20_000, 50_000
 
 
-def shingles(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
-    """Ascending distinct 64-bit hashes of the word shingles of a UTF-8 text, lower-cased in A-Z; a shorter text is one shingle."""
+def _hashes(text: bytes | None, shingle: int) -> np.ndarray:
+    """64-bit hashes of the word shingles of a UTF-8 text, lower-cased in A-Z, with repeats; a shorter text is one shingle."""
     words = (text or b"").lower().split()
     if not words:
         return np.zeros(0, np.int64)
@@ -37,8 +40,20 @@ def shingles(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
     starts = np.append(0, ends[:-1] + 1)
     k = min(shingle, len(words))
     spans = zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)
-    found = np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in spans), np.uint64, len(words) - k + 1)
-    return np.unique(found.view(np.int64))
+    return np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in spans), np.uint64, len(words) - k + 1).view(np.int64)
+
+
+def shingles(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The distinct hashes, ascending."""
+    return np.unique(_hashes(text, shingle))
+
+
+def _fingerprint(found: np.ndarray) -> int:
+    """The SimHash of shingle hashes: a bit is set if it is in over half of them."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(found), 1 << 14):  # bounded memory for long texts
+        counts += np.unpackbits(found[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(found), bitorder="little").view("<i8")[0])
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -60,8 +75,8 @@ def _frequent(docs: DataFrame, shingle: int, sample: int, most: int) -> tuple[np
 
 
 def _keyed(docs: DataFrame, shingle: int, tokens: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """doc_id, text, key (a hash of the set), size and prefix of every row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("key", pa.int64()), ("size", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+    """doc_id, text, text_hash, key (a hash of the set), fp (the SimHash), size and prefix of every row."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("text_hash", pa.int64()), ("key", pa.int64()), ("fp", pa.int64()), ("size", pa.int64()), ("prefix", pa.list_(pa.int64()))])
 
     def prefix(found: np.ndarray) -> np.ndarray:
         n = len(found)
@@ -75,16 +90,19 @@ def _keyed(docs: DataFrame, shingle: int, tokens: np.ndarray, counts: np.ndarray
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            found = [shingles(t, shingle) for t in text_bytes(b)]
+            every = [_hashes(t, shingle) for t in text_bytes(b)]
+            found, fp = [np.unique(h) for h in every], [_fingerprint(h) for h in every]
             key = np.array([xxhash.xxh64_intdigest(f.tobytes(), SEED) for f in found], np.uint64).view(np.int64)
             first = [prefix(f) for f in found]
             ends = np.cumsum([0, *map(len, first)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *first])))
             yield record(
-                schema, doc_id=b.column("doc_id"), text=b.column("text").cast(pa.string()), key=pa.array(key), size=pa.array([len(f) for f in found], pa.int64()), prefix=lists
-            )
+                schema, doc_id=b.column("doc_id"), text=b.column("text").cast(pa.string()), text_hash=b.column("text_hash"), key=pa.array(key), fp=pa.array(fp, pa.int64()),
+                size=pa.array([len(f) for f in found], pa.int64()), prefix=lists,
+            )
 
-    return _texts(docs).mapInArrow(run, "doc_id long, text string, key long, size long, prefix array<long>")
+    rows = _texts(docs).withColumn("text_hash", text_hash())
+    return rows.mapInArrow(run, "doc_id long, text string, text_hash long, key long, fp long, size long, prefix array<long>")
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
@@ -110,41 +128,60 @@ def _similar(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     return two.select("a", "b", "text", "other").mapInArrow(run, "a long, b long")
 
 
-def similar_texts(docs: DataFrame, shingle: int = SHINGLE, sample: int = SAMPLE, frequent: int = FREQUENT) -> DataFrame:
-    """doc_id, component_id for every row of docs (doc_id, text; other columns are ignored).
+def _components(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """rows (key) with `of`, the component of each key over edges."""
+    known = connected_components(edges).withColumnRenamed("node", "key")
+    return rows.join(known, "key", "left").withColumn("of", F.coalesce("component", "key")).drop("component")
+
+
+def similar_texts(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, sample: int = SAMPLE, frequent: int = FREQUENT) -> DataFrame:
+    """doc_id, text_hash, component_id, first for every row of docs (doc_id, text; other columns are ignored).
 
     component_id is the smallest doc_id reachable over pairs of texts whose sets of shingles have a Jaccard similarity of NUM / DEN or
-    more, the document's own included. Texts without words are alike. A row without doc_id links nothing and has no component.
+    more, the document's own included; first marks the one document of a component that has this doc_id and, if that has several texts
+    there, the smallest text_hash. Rows alike in doc_id and text are one document. Texts without words, null ones too, are alike. A row
+    without doc_id links nothing, has no component and is first. An empty table gives an empty result. distance: the bits by which
+    SimHash links may differ; it decides on the cost alone.
     """
     rows = written(_keyed(docs, shingle, *_frequent(docs, shingle, sample, frequent)), "shingled")
-    nodes = written(rows.where("doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id")), "nodes")
-    # One row for each key, but where a doc_id has a text twice.
-    mine = written(rows.join(nodes, ["doc_id", "key"], "left_semi").select("key", "size", "prefix", "text"), "texts")
-    ids = written(rows.select("doc_id", "key"), "keys")
+    nodes = written(rows.where("doc_id IS NOT NULL").groupBy("key").agg(F.min(F.struct("doc_id", "text_hash")).alias("lead")), "nodes")
+    leads = nodes.select("key", "lead.*")
+    # One row for each key, but where a row occurs twice.
+    mine = written(rows.join(leads, ["doc_id", "key", "text_hash"], "left_semi").select("key", "fp", "size", "prefix", "text"), "texts")
+    ids = written(rows.select("doc_id", "text_hash", "key"), "keys")
     dropped(rows)
     texts = mine.select("key", "text")
-    # Size and place in one number, which is all that the only large shuffle carries besides token and key.
-    spread = mine.select("key", "size", F.posexplode("prefix").alias("pos", "token"))
-    spread = spread.select("token", "key", (F.shiftleft("size", 32) + F.col("pos")).alias("at"))
+
+    codes = written(mine.groupBy("fp").agg(F.min("key").alias("node")), "codes")
+    equal = mine.select("key", "fp").join(codes, "fp").where("key <> node").select(F.col("key").alias("a"), F.col("node").alias("b"))
+    close = equal.unionByName(links(codes, distance)).distinct()
+    near = written(_similar(close, texts, shingle), "similar")
+
+    # Size and place in one number, which is all that the only large shuffle carries besides token, key and component.
+    spread = _components(mine.select("key", "size", "prefix"), near).select("key", "of", "size", F.posexplode("prefix").alias("pos", "token"))
+    spread = spread.select("token", "key", "of", (F.shiftleft("size", 32) + F.col("pos")).alias("at"))
     group = Window.partitionBy("token")
-    index = spread.withColumns({"low": F.min(F.struct("key", "at")).over(group), "high": F.max("key").over(group)}).where("low.key < high")
+    index = spread.withColumns({"low": F.min(F.struct("key", "of", "at")).over(group), "m": F.min("of").over(group), "n": F.max("of").over(group)}).where("m < n")
     place = {"size": F.shiftright("at", 32), "pos": F.expr("at & 4294967295"), "size_b": F.shiftright("low.at", 32), "pos_b": F.expr("low.at & 4294967295")}
-    index = written(index.select("token", "key", F.col("low.key").alias("low"), *[c.alias(n) for n, c in place.items()]), "prefixes")
+    index = written(index.select("token", "key", "of", F.col("low.key").alias("low"), F.col("low.of").alias("low_of"), *[c.alias(n) for n, c in place.items()]), "prefixes")
     # No more elements can be shared than are left behind a shared one, and the first shared one must leave enough.
     enough = f"{NUM + DEN} * least(size - pos, size_b - pos_b) >= {NUM} * (size + size_b)"
 
-    star = index.where(f"key <> low AND {enough}").select(F.col("key").alias("a"), F.col("low").alias("b")).distinct()
-    near = written(_similar(star, texts, shingle), "similar")
-    known = connected_components(near)
-    part = written(index.join(known.withColumnRenamed("node", "key"), "key", "left").select("token", "key", "size", "pos", F.coalesce("component", "key").alias("of")), "prefixes")
+    star = index.where(f"of <> low_of AND {enough}").select(F.col("key").alias("a"), F.col("low").alias("b")).distinct()
+    near = near.unionByName(written(_similar(star, texts, shingle), "similar"))
+    part = written(_components(index.select("token", "key", "size", "pos"), near), "prefixes")
+    dropped(index)
     open_ = part.groupBy("token").agg(F.min("of").alias("m"), F.max("of").alias("n")).where("m < n").select("token")
     left = part.join(open_, "token", "left_semi")
     right = left.select("token", F.col("key").alias("b"), F.col("size").alias("size_b"), F.col("pos").alias("pos_b"), F.col("of").alias("of_b"))
     pairs = left.join(right, "token").where(f"key < b AND of <> of_b AND {enough}").select(F.col("key").alias("a"), "b").distinct()
     more = written(_similar(written(pairs, "pairs"), texts, shingle), "similar")
-    found = connected_components(near.unionByName(more))
 
-    named = nodes.join(found.withColumnRenamed("node", "key"), "key", "left").select("key", "doc_id", F.coalesce("component", "key").alias("of"))
-    lowest = named.groupBy("of").agg(F.min("doc_id").alias("component_id"))
-    ids = ids.join(named.join(lowest, "of").select("key", "component_id"), "key", "left")
-    return ids.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    named = _components(nodes, near.unionByName(more))
+    lowest = named.groupBy("of").agg(F.min("lead").alias("lowest"))
+    ids = ids.join(named.join(lowest, "of").select("key", "lowest"), "key", "left")
+    known = F.col("doc_id").isNotNull()
+    return ids.select(
+        "doc_id", "text_hash", F.when(known, F.col("lowest.doc_id")).alias("component_id"),
+        (~known | (F.struct("doc_id", "text_hash") == F.col("lowest"))).alias("first"),
+    )

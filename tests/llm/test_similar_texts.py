@@ -45,6 +45,7 @@ def test_components_against_brute_force(spark):
         got = similar_texts(frame, sample=sample, frequent=frequent).collect()
         assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == want
         assert [r.component_id for r in got if r.doc_id is None] == [None, None]
+        assert all(r.first == (r.doc_id is None or r.component_id == r.doc_id) for r in got)
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert similar_texts(empty).count() == 0
 
@@ -55,3 +56,11 @@ def test_stage_removes_all_near_duplicates(spark):
     top = slow_components(sets, lambda a, b: _near(sets[a], sets[b]))
     docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
     assert {r.doc_id for r in corpus_pipeline.simhash_dedup(spark, docs, "").collect()} == {d for d in top if top[d] == d}
+
+
+def test_one_id_with_several_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (1, b), (1, b), (2, a + " more"), (3, b + " end"), (3, "alone"), (None, a)]
+    got = similar_texts(spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, of int")).collect()
+    assert len(got) == len(rows)
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in got if not r.first) == [("2", "1"), ("3", "1")]
