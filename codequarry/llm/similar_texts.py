@@ -174,14 +174,17 @@ def similar_texts(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTA
     open_ = part.groupBy("token").agg(F.min("of").alias("m"), F.max("of").alias("n")).where("m < n").select("token")
     left = part.join(open_, "token", "left_semi")
     right = left.select("token", F.col("key").alias("b"), F.col("size").alias("size_b"), F.col("pos").alias("pos_b"), F.col("of").alias("of_b"))
-    pairs = left.join(right, "token").where(f"key < b AND of <> of_b AND {enough}").select(F.col("key").alias("a"), "b").distinct()
-    more = written(_similar(written(pairs, "pairs"), texts, shingle), "similar")
+    pairs = written(left.join(right, "token").where(f"key < b AND of <> of_b AND {enough}").select(F.col("key").alias("a"), "b").distinct(), "pairs")
+    dropped(part)
+    more = written(_similar(pairs, texts, shingle), "similar")
+    dropped(mine)
 
     named = _components(nodes, near.unionByName(more))
     lowest = named.groupBy("of").agg(F.min("lead").alias("lowest"))
     ids = ids.join(named.join(lowest, "of").select("key", "lowest"), "key", "left")
     known = F.col("doc_id").isNotNull()
-    return ids.select(
+    out = ids.select(
         "doc_id", "text_hash", F.when(known, F.col("lowest.doc_id")).alias("component_id"),
         (~known | (F.struct("doc_id", "text_hash") == F.col("lowest"))).alias("first"),
     )
+    return written(out, "components")
