@@ -3,7 +3,7 @@
 Fit, on a bounded sample of labelled rows: words are counted by documents of each label; a word's score is its log-odds with an
 informative Dirichlet prior (the background frequencies, PRIOR pseudo-documents strong), kept if its z-score is clear. Score: a text is a
 sequence of word scores with a negative mean; one pass finds all its maximal-scoring segments. Segment scores of unrelated text follow an
-extreme-value law: with lambda from sum(p * exp(lambda * s)) = 1 and K from the mean of clean texts' maxima, a segment of score S in a text of
+extreme-value law: with lambda from sum(p * exp(lambda * s)) = 1 and K from the median of clean texts' maxima, a segment of score S in a text of
 n words has the expected number of chance finds E = K * n * exp(-lambda * S). Segments of small E are toxic passages. -log E of the best
 one, the evidence of all significant ones and their number give the probability, by a logistic curve fitted on the sample.
 """
@@ -103,7 +103,12 @@ def _texts_scored(lexicon: Lexicon, piece: pa.RecordBatch) -> Iterator[tuple[lis
 
 
 def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Lexicon, Calibration]:
-    """Learn from at most `sample` rows of labels (doc_id, toxic), the first by a hash of the id, and their texts in docs."""
+    """Learn from at most `sample` rows of labels (doc_id, toxic), the first by a hash of the id, and their texts in docs.
+
+    Rows of labels without doc_id or toxic, and documents without doc_id, teach nothing; an id with several labels is toxic if one of them
+    says so; each text of an id that occurs several times counts. Null and empty texts count as clean evidence of no words. Without labels,
+    or without texts to them, no word has a score, and every text gets the same low probability. Extra columns of both are ignored.
+    """
     spark = docs.sparkSession
     pick = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(F.pmod(crc32_of_id(), F.lit(3)) != 1)
     pick = pick.select(F.col("doc_id").cast("long"), (F.col("toxic") > 0).cast("int").alias("toxic"))
@@ -144,7 +149,7 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Le
             rows = []
             for label, (found, n, scores, _, _) in zip(piece.column("toxic").to_pylist(), _texts_scored(lexicon, piece), strict=True):
                 value, times = np.unique(scores, return_counts=True)
-                rows.append((label, n, sorted((s for _, _, s in found), reverse=True)[:50], (times @ np.exp(np.outer(value, grid))).tolist() if n and not label else []))
+                rows.append((label, n, sorted((s for _, _, s in found), reverse=True), (times @ np.exp(np.outer(value, grid))).tolist() if n and not label else []))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for f, c in zip(out, zip(*rows, strict=True), strict=True)], schema=out)
 
     seen = written(texts.mapInArrow(look, "toxic int, n long, found array<double>, sums array<double>"), "calibration")
@@ -153,11 +158,11 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Le
     mean = np.array([r.s / r.n for r in moments]) if moments else np.zeros(0)
     above = np.flatnonzero(mean > 1)
     lam = float(grid[above[0]]) if len(above) else 1.0
-    # Gumbel: the mean maximum is (log(K n) + 0.5772) / lambda; the trimmed mean keeps unlabelled toxic text out.
+    # Gumbel: the median of maxima keeps unlabelled toxic text out.
     stat = clean.where("n >= 20").select((lam * F.coalesce(F.get("found", F.lit(0)), F.lit(0.0)) - F.log("n")).alias("x")).agg(F.percentile_approx("x", 0.5, 1000)).first()[0]
     k = float(np.exp(np.log(np.log(2)) + stat)) if stat is not None else 1.0  # the median is (log(K n) - log log 2) / lambda
     first = Calibration(lam, max(k, 1e-6), np.zeros(5))
-    sample_rows = seen.select("toxic", "n", "found").collect()  # at most `sample` rows of a few numbers
+    sample_rows = seen.select("toxic", "n", "found").collect()  # at most `sample` rows, a number for each segment
     if not sample_rows:
         return lexicon, Calibration(lam, first.k, np.array([-3.0, 1.0, 0.0, 0.0, 0.0]))
     x = np.array([first.evidence([(0, 0, s) for s in r.found], r.n) for r in sample_rows])
@@ -191,7 +196,10 @@ def scored(docs: DataFrame, lexicon: Lexicon, calibration: Calibration, threshol
 
 
 def without_toxic(docs: DataFrame, lexicon: Lexicon, calibration: Calibration, threshold: float = THRESHOLD) -> DataFrame:
-    """docs (doc_id, text and any other columns) without the rows whose probability reaches the threshold."""
+    """docs (doc_id, text and any other columns) without the rows whose probability reaches the threshold.
+
+    Null and empty texts stay, rows are judged one by one whatever their ids, and an empty table gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((lexicon, calibration))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
