@@ -33,3 +33,13 @@ def test_every_view(spark):
     for *_, text, mask in got:
         assert all(text[a:b].endswith("<|im_end|>") and text[:a].endswith("assistant\n") for a, b in mask)
     assert rotated(frame.limit(0)).count() == 0
+
+
+def test_whole_dialogues(spark):
+    rows = [(1, t, "ann" if t % 3 else "bob", "é" * 2_000_000 if t == 9 else f"said {t}") for t in range(300)]
+    got = rotated(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), cell=16).collect()
+    assert [(r.speaker, r.part, r.n_turns) for r in sorted(got)] == [("ann", 0, 300), ("bob", 0, 300)]
+    assert sorted((r.conv_id, r.part, r.speaker, r.n_turns, r.n_own, r.text, [tuple(s) for s in r.mask]) for r in got) == sorted(slow(rows, 1_000))
+    parts = rotated(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), part_bytes=2_000, cell=16).collect()
+    assert sum(r.n_turns for r in parts if r.speaker == "ann") == 300 and max(len(r.text) for r in parts if "é" not in r.text) < 5_000
+    assert {r.part for r in parts if r.speaker == "bob"} == {r.part for r in parts if r.speaker == "ann"} and len({r.part for r in parts}) > 5
