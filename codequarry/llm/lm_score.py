@@ -222,7 +222,7 @@ def scored(docs: DataFrame, counted: DataFrame, vocabulary: Vocabulary, model: L
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs (doc_id, text, held_out).
 
     Tokens beyond the broadcast vocabulary are looked up in the whole table of counts by a join. Null and empty texts have one token,
-    the end. Repeated rows give repeated rows.
+    the end. Repeated rows give repeated rows; rows are told apart by doc_id and 64 bits of their texts.
     """
     short, total, distinct = vocabulary.short, vocabulary.total, vocabulary.distinct
     rest = vocabulary.id == short
@@ -251,16 +251,16 @@ def scored(docs: DataFrame, counted: DataFrame, vocabulary: Vocabulary, model: L
             d, t = d[order], h[~seen][order]
             at = np.flatnonzero(np.append(len(t) > 0, (t[1:] != t[:-1]) | (d[1:] != d[:-1])))[: len(t)]
             null = lambda kind: pa.nulls(len(at), kind)
-            yield pa.RecordBatch.from_arrays([pa.array(key[d[at]]), pa.array(t[at].view(np.int64)), pa.array(np.zeros(len(at), np.int32)), null(pa.int64()), null(pa.bool_()),
+            yield pa.RecordBatch.from_arrays([pa.array(key[d[at]]), pa.array(t[at].view(np.int64)), pa.array(np.zeros(len(at), np.int32)), piece.column("doc_id").take(pa.array(d[at])), null(pa.bool_()),
                                               pa.array(np.diff(np.append(at, len(t)))), null(pa.int64()), null(pa.float64()), null(pa.float64())], schema=_PART)
 
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long"), "held_out", "text")
+    rows = docs.select(F.xxhash64("text").alias("key"), F.col("doc_id").cast("long"), "held_out", "text")
     kinds = "key long, token long, head int, doc_id long, held_out boolean, n long, known long, base double, score double"
     parts = rows.mapInArrow(run, kinds).join(counted.withColumnRenamed("token", "t"), F.expr("token = t AND head = 0"), "left")
     tail = F.when(F.col("head") == 0, F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5))
     add = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
-    found = parts.groupBy("key").agg(
-        F.sum("head").alias("copies"), F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"),
+    found = parts.groupBy("key", "doc_id").agg(
+        F.sum("head").alias("copies"), F.max("held_out").alias("held_out"),
         F.max(F.when(F.col("head") == 1, F.col("n"))).alias("n_tokens"), F.max("known").alias("known"),
         F.coalesce(F.sum(F.when((F.col("head") == 0) & (F.col("c") > 0), F.col("n"))), F.lit(0)).alias("more"),
         F.max("base").alias("base"), F.max("score").alias("score"), add(tail).alias("tail"),
