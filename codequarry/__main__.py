@@ -11,6 +11,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .functions.models import HttpEmbedder, HttpSummariser
+from .functions.text import output_path
 from .index import Index, SyncResult
 from .operators.report import library_api
 from .schema import QuarryError
@@ -32,7 +33,7 @@ def updated(config: dict, changes: dict, clear: bool = False) -> dict:
     if out.get("timeout", 1) <= 0:
         raise QuarryError("timeout must be positive")
     if ("embedding_base" in out) != ("embedding_model" in out):
-        raise QuarryError("embedding_base and embedding_model must both be set or both unset")
+        raise QuarryError("an embedding service needs an address and a model")
     return out
 
 
@@ -51,6 +52,7 @@ def _options(argv: list[str] | None) -> argparse.Namespace:
     search = sub.add_parser("search")
     search.add_argument("query")
     search.add_argument("--limit", type=int, default=5)
+    search.add_argument("--relative-paths", action="store_true", help="paths as the index has them")
     api = sub.add_parser("api")
     api.add_argument("library", help="a folder of sources, or with --lang java the name of a dependency")
     api.add_argument("--lang", choices=["python", "java"], default="python")
@@ -62,7 +64,7 @@ def _options(argv: list[str] | None) -> argparse.Namespace:
 
 
 def _told(result: SyncResult, as_json: bool) -> int:
-    errors = [{"file": r.path, "message": r.error} for r in result.errors.orderBy("path").limit(100).collect()]  # a report, not the result
+    errors = [{"file": r.path, "message": r.error} for r in result.errors.orderBy("path").toLocalIterator()]
     if not result.failed:
         print(json.dumps({"status": "success", "indexed_files": "auto"}) if as_json else f"{result.indexed_files} files")
     elif as_json:
@@ -107,7 +109,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if o.command == "api":
             print(_api(spark, index, o.library, o.lang))
             return 0
-        hits = [r.asDict() for r in index.search(o.query, o.limit).select("id", "name", "kind", "path", "signature", "summary").collect()]
+        found = index.search(o.query, o.limit)
+        if not o.relative_paths:
+            found = found.withColumn("path", output_path(F.col("path"), os.path.abspath(o.root)))
+        hits = [r.asDict() for r in found.select("id", "name", "kind", "path", "signature", "summary").collect()]
         print(json.dumps(hits, indent=2) if o.json else "\n".join(f"[{h['kind']}] {h['name']} ({h['path']})\n  {h['summary'] or ''}" for h in hits) or "No results.")
         return 0
     except QuarryError as e:

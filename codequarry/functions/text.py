@@ -12,12 +12,21 @@ def content_hash(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+#: White space and line ends, as Unicode has them.
+_SPACE, _LINE = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]", r"\r\n|[\n\x0B\f\r\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+
+
+def stripped(text: Column) -> Column:
+    """text without white space of any kind at its ends."""
+    return F.regexp_replace(text, rf"\A{_SPACE}+|{_SPACE}+\z", "")
+
+
 def blank_to_null(text: Column) -> Column:
-    return F.nullif(F.trim(text), F.lit(""))
+    return F.nullif(stripped(text), F.lit(""))
 
 
 def first_line(text: Column) -> Column:
-    return F.split(text, "\n").getItem(0)
+    return F.split(text, _LINE, 2).getItem(0)
 
 
 def embedding_text(summary: Column, *parts: Column) -> Column:
@@ -26,9 +35,9 @@ def embedding_text(summary: Column, *parts: Column) -> Column:
 
 
 def cleaned_comment(text: Column) -> Column:
-    """A comment without its markers and blank lines."""
-    text = F.regexp_replace(text, r"/\*|\*/", "")
-    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(F.trim(x), r"^(///|//|\*|#)", "")))
+    """A comment without the marks at its two ends, the mark that a line begins with, and blank lines."""
+    text = F.regexp_replace(F.regexp_replace(text, r"\A/\*", ""), r"\*/\z", "")
+    lines = F.transform(F.split(text, _LINE), lambda x: stripped(F.regexp_replace(stripped(x), r"\A(///|//|/\*\*|\*|#)", "")))
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
@@ -57,8 +66,9 @@ def library_name(stem: Column) -> Column:
 
 
 def version_key(name: Column) -> Column:
-    """All runs of digits of a name as numbers; arrays compare in order."""
-    return F.transform(F.regexp_extract_all(name, F.lit("([0-9]+)"), F.lit(1)), lambda x: x.cast("long"))
+    """All runs of digits of a name, of any length, as numbers (length, digits); arrays compare in order."""
+    plain = lambda x: F.regexp_replace(x, "^0+(?=.)", "")
+    return F.transform(F.regexp_extract_all(name, F.lit("([0-9]+)"), F.lit(1)), lambda x: F.struct(F.length(plain(x)).alias("length"), plain(x).alias("digits")))
 
 
 def class_name(entry: Column) -> Column:

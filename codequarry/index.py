@@ -1,17 +1,19 @@
 """An index of a source tree: Parquet tables below one folder, synchronised and searched by Spark jobs.
 
-Every change writes new tables and then adds one row to the manifest, which names the folder of each table; a reader uses the last
-row, so it sees all of a change or nothing. Two writers at once: the later one fails with STORAGE_BUSY. Old folders stay until they are
-removed by hand.
+Every change writes new tables and then one file to the manifest, which names the folder of each table; a reader uses the last file, so it
+sees all of a change or nothing. A manifest file is named by its version and never written over: of two writers at once, the later one
+fails with STORAGE_BUSY. Old folders stay until they are removed by hand.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 import warnings
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,7 +53,7 @@ class Index:
 
     def _manifest(self):
         try:
-            return self.spark.read.schema(_MANIFEST).parquet(f"{self.root}/manifest").orderBy(F.desc("version")).first()
+            return self.spark.read.schema(_MANIFEST).json(f"{self.root}/manifest").where("version IS NOT NULL").orderBy(F.desc("version")).first()
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
@@ -78,8 +80,21 @@ class Index:
         if (now and now.version) != (before and before.version):
             raise QuarryError("another writer changed the index", ErrorCode.STORAGE_BUSY)
         known = (width, self.model) if width else (before.width, before.model) if before else (None, None)
-        row = (now.version + 1 if now else 1, folders, *known)
-        self.spark.createDataFrame([row], _MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.root}/manifest")
+        row = dict(zip(("version", "folders", "width", "model"), (now.version + 1 if now else 1, folders, *known), strict=True))
+        self._create(f"{self.root}/manifest/{row['version']:020d}.json", json.dumps(row) + "\n")
+
+    def _create(self, path: str, text: str) -> None:
+        """A new file; if there is one, another writer was first."""
+        sc = self.spark.sparkContext
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        try:
+            out = at.getFileSystem(sc._jsc.hadoopConfiguration()).create(at, False)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" not in e.java_exception.getClass().getName():
+                raise
+            raise QuarryError("another writer changed the index", ErrorCode.STORAGE_BUSY) from None
+        out.write(bytearray(text.encode()))
+        out.close()
 
     def _bind(self, writing: bool, wipe: bool = False) -> tuple[int, bool]:
         """Width of the vectors, and whether those stored are of another model."""

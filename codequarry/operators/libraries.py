@@ -54,10 +54,12 @@ def _wanted(units: DataFrame, language: str) -> DataFrame:
     here, code = folder(F.col("path")), F.coalesce("code", F.lit(""))
     modules = units.where(F.col("kind") == "module")
     if language == "rust":
-        name = F.concat_ws("/", F.nullif(here, F.lit("")), F.regexp_extract(code, "mod\\s+([A-Za-z0-9_]+)", 1))
-        body = code.contains(";") & ~code.contains("{") & code.rlike("mod\\s+[A-Za-z0-9_]")
-        return modules.where((kind == "mod_item") & body).select(F.col("path").alias("from_id"), F.array(F.concat(name, F.lit(".rs")), F.concat(name, F.lit("/mod.rs"))).alias("to"))
-    target = F.regexp_extract(code, "from\\s+['\"]([^'\"]+)['\"]", 1)
+        # An identifier of any script, raw or not, that a semicolon follows instead of a body.
+        ident = F.regexp_extract(code, "\\bmod\\s+(?:r#)?([\\p{L}_][\\p{L}\\p{M}\\p{N}_]*)\\s*;", 1)
+        name = F.concat_ws("/", F.nullif(here, F.lit("")), ident)
+        return modules.where((kind == "mod_item") & (ident != "")).select(F.col("path").alias("from_id"), F.array(F.concat(name, F.lit(".rs")), F.concat(name, F.lit("/mod.rs"))).alias("to"))
+    # The string after `from`, in either kind of quotes, with space or comments before it.
+    target = F.regexp_extract(code, r"(?s)\bfrom(?:\s|/\*.*?\*/)*(['\"])((?:(?!\1)[^\n])+)\1", 2)
     whole = normalised(F.concat(here, F.lit("/"), target))
     stem = F.regexp_replace(whole, "(?<=[^/])\\.[^./]+$", "")
     to = F.array(*[F.concat(stem, F.lit(s)) for s in SUFFIXES], *[F.concat(whole, F.lit(s)) for s in INDEXES])

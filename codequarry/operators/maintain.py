@@ -75,9 +75,10 @@ def matched_groups(old: DataFrame, new: DataFrame, group: str = "path", hash: st
 
 def reachable(edges: DataFrame, start: DataFrame, depth: int = 3) -> DataFrame:
     """node, depth: nodes within `depth` steps of start (node) over edges (from_id, to_id), with the fewest steps."""
-    seen = front = start.select("node", F.lit(0).alias("depth")).distinct()
+    seen = start.select("node", F.lit(0).alias("depth")).distinct()
     for d in range(1, depth + 1):
-        step = front.join(edges, front["node"] == edges["from_id"]).select(F.col("to_id").alias("node")).distinct()
-        front = step.join(seen, "node", "left_anti").select("node", F.lit(d).alias("depth"))
-        seen = seen.unionByName(front)
+        # One table is carried, which ends in an aggregate, so that both uses of a level share its shuffle.
+        front = seen.where(F.col("depth") == d - 1)
+        step = front.join(edges, front["node"] == edges["from_id"]).select(F.col("to_id").alias("node"), F.lit(d).alias("depth"))
+        seen = seen.unionByName(step).groupBy("node").agg(F.min("depth").alias("depth"))
     return seen

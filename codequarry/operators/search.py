@@ -18,11 +18,12 @@ BLOCK, QUERIES = 1024, 8192
 def nearest(units: DataFrame, embeddings: DataFrame, query: Sequence[float], k: int = 5, id: str = "id", vec: str = "vec") -> DataFrame:
     """The k units whose vectors are closest to query, with `distance`; ties go to the smaller id.
 
-    A unit without a vector isn't found, nor is a vector without a unit. The distance is taken from the scan of the embeddings, and
-    what the join carries is the unit's columns and one number.
+    A unit without a vector isn't found, nor is a vector without a unit, or of another width. Distances come from the scan of the
+    embeddings; of the units only ids are compared with them, and the k rows alone meet the units' columns.
     """
-    near = embeddings.select(F.col(id), l2_distance(F.col(vec), literal(query)).alias("distance"))
-    return units.join(near, id).orderBy("distance", id).limit(k)
+    near = embeddings.select(F.col(id), l2_distance(F.col(vec), literal(query)).alias("distance")).where("distance IS NOT NULL")
+    top = near.join(units.select(id), id, "left_semi").orderBy("distance", id).limit(k)
+    return units.join(F.broadcast(top), id).orderBy("distance", id).limit(k)
 
 
 def _blocks(rows: DataFrame, name: str, block: int) -> DataFrame:

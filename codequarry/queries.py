@@ -42,7 +42,7 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 _UNITS = "SELECT doc_id AS id, source AS path, lang, text, sha256(text) AS code_hash FROM documents"
 _EDGES = "SELECT l_orderkey AS from_id, l_partkey AS to_id, l_returnflag AS type FROM lineitem"
 #: What the index has stored of a unit: its hash (another one where quality is 0), and a summary where it isn't toxic.
-_STORED = "SELECT l.doc_id AS id, CASE WHEN quality = 1 THEN sha256(text) ELSE 'old' END AS old_hash, CASE WHEN toxic = 0 THEN left(text, 20) END AS old_summary FROM labels l JOIN documents d USING (doc_id)"
+_STORED = "SELECT l.doc_id AS id, CASE WHEN quality = 1 THEN sha256(text) ELSE 'old' END AS old_hash, CASE WHEN toxic = 0 THEN CASE WHEN n_chars > 500 THEN text ELSE text || '.' END END AS old_summary FROM labels l JOIN documents d USING (doc_id)"
 
 
 def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,10 +50,10 @@ def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, lab = _t(spark, sf_dir, "documents").select("doc_id", "text"), _t(spark, sf_dir, "labels")
+    d, lab = _t(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"), _t(spark, sf_dir, "labels")
     return lab.join(d, "doc_id").select(
         F.col("doc_id").alias("id"), F.when(F.col("quality") == 1, T.content_hash(F.col("text"))).otherwise("old").alias("old_hash"),
-        F.when(F.col("toxic") == 0, F.left("text", F.lit(20))).alias("old_summary"),
+        F.when(F.col("toxic") == 0, F.when(F.col("n_chars") > 500, F.col("text")).otherwise(F.concat("text", F.lit(".")))).alias("old_summary"),
     )
 
 
@@ -149,7 +149,8 @@ def stale_units(spark, sf_dir):
 @query("SELECT vec_id AS id, label FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))")
 def stale_embeddings(spark, sf_dir):
     v = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
-    return v.join(stale_units(spark, sf_dir), "id", "left_semi")
+    kept = _t(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"))
+    return M.stale(v, kept).join(_units(spark, sf_dir).select("id"), "id", "left_semi")
 
 
 @query(f"WITH gone AS (SELECT p_partkey AS id FROM part WHERE p_size <= 10) SELECT * FROM ({_EDGES}) WHERE from_id NOT IN (SELECT id FROM gone) AND to_id NOT IN (SELECT id FROM gone)")
@@ -183,11 +184,11 @@ def delta_detect(spark, sf_dir):
     return both.select("id", M.must_distill(F.col("code_hash"), F.col("old_hash"), F.col("old_summary")).alias("distill"))
 
 
-@query(f"""SELECT u.id, old_hash IS NULL OR NOT (code_hash IS NOT DISTINCT FROM old_hash AND (CASE WHEN source <> 'src0' THEN left(text, 20) END) IS NOT DISTINCT FROM old_summary
+@query(f"""SELECT u.id, old_hash IS NULL OR NOT (code_hash IS NOT DISTINCT FROM old_hash AND (CASE WHEN source <> 'src0' THEN text END) IS NOT DISTINCT FROM old_summary
 AND id IN (SELECT vec_id FROM embeddings)) AS embed FROM ({_UNITS.replace("source AS path", "source")}) u LEFT JOIN ({_STORED}) s USING (id)""")
 def needs_embedding(spark, sf_dir):
     v = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.lit(True).alias("has"))
-    units = _units(spark, sf_dir).withColumn("summary", F.when(F.col("path") != "src0", F.left("text", F.lit(20)))).drop("text")
+    units = _units(spark, sf_dir).withColumn("summary", F.when(F.col("path") != "src0", F.col("text"))).drop("text")
     both = units.join(_stored(spark, sf_dir), "id", "left").join(v, "id", "left")
     return both.select("id", M.must_embed(F.col("code_hash"), F.col("summary"), F.col("old_hash"), F.col("old_summary"), F.coalesce("has", F.lit(False))).alias("embed"))
 
@@ -252,9 +253,9 @@ def format_path(spark, sf_dir):
     return _t(spark, sf_dir, "pages").select("page_id", T.output_path(p, "/project").alias("path"))
 
 
-@query("SELECT doc_id AS id, nullif(trim(substr(text, 3, 1)), '') AS third FROM documents")
+@query(r"SELECT doc_id AS id, nullif(regexp_replace(text, '^[\s\v\x1C-\x1F\x{85}\p{Z}]+|[\s\v\x1C-\x1F\x{85}\p{Z}]+$', '', 'g'), '') AS kept FROM documents")
 def blank_to_null(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.blank_to_null(F.substring("text", 3, 1)).alias("third"))
+    return _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.blank_to_null(F.col("text")).alias("kept"))
 
 
 @query("SELECT doc_id AS id, coalesce(quality, -1) AS quality FROM documents LEFT JOIN labels USING (doc_id)")
@@ -263,13 +264,16 @@ def config_coalesce(spark, sf_dir):
     return rows.select(F.col("doc_id").alias("id"), F.coalesce("quality", F.lit(-1)).alias("quality"))
 
 
-@query(r"""SELECT doc_id AS id, coalesce(array_to_string(list_filter(list_transform(string_split(regexp_replace(text, '/\*|\*/', '', 'g'), chr(10)),
-lambda x: trim(regexp_replace(trim(x), '^(///|//|\*|#)', ''))), lambda x: x <> ''), chr(10)), '') AS docstring FROM documents""")
+_STRIP = r"regexp_replace({}, '^[\s\v\x1C-\x1F\x{{85}}\p{{Z}}]+|[\s\v\x1C-\x1F\x{{85}}\p{{Z}}]+$', '', 'g')"
+
+
+@query(rf"""SELECT doc_id AS id, coalesce(array_to_string(list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(text, '^/\*', ''), '\*/$', ''), '\r\n|[\n\v\f\r\x1C-\x1E\x{{85}}\x{{2028}}\x{{2029}}]'),
+lambda x: {_STRIP.format(f"regexp_replace({_STRIP.format('x')}, '^(///|//|/[*][*]|[*]|#)', '')")}), lambda x: x <> ''), chr(10)), '') AS docstring FROM documents""")
 def comment_clean(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.cleaned_comment(F.col("text")).alias("docstring"))
 
 
-@query("SELECT doc_id AS id, string_split(text, chr(10))[1] AS first_line FROM documents")
+@query(r"SELECT doc_id AS id, regexp_extract(text, '^[^\n\v\f\r\x1C-\x1E\x{85}\x{2028}\x{2029}]*') AS first_line FROM documents")
 def first_line(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.first_line(F.col("text")).alias("first_line"))
 
@@ -290,7 +294,7 @@ def lib_name(spark, sf_dir):
 def version_max(spark, sf_dir):
     key = T.version_key(F.concat_ws(".", "p_brand", F.col("p_size").cast("string"), F.col("p_partkey").cast("string")))
     rows = _t(spark, sf_dir, "part").groupBy(F.col("p_name").alias("library")).agg(F.max(key).alias("v"))
-    return rows.select("library", F.array_join(F.col("v").cast("array<string>"), ".").alias("version"))
+    return rows.select("library", F.array_join(F.col("v.digits"), ".").alias("version"))
 
 
 @query("SELECT page_id, regexp_replace(replace(e, '/', '.'), '\\.class$', '') AS class_name FROM (SELECT page_id, regexp_extract(url, '://([^?#]*)', 1) || '.class' AS e, url FROM pages) WHERE e NOT LIKE '%www%'")
@@ -299,10 +303,9 @@ def class_name_decode(spark, sf_dir):
     return _t(spark, sf_dir, "pages").where(~entry.contains("www")).select("page_id", T.class_name(entry).alias("class_name"))
 
 
-@query("SELECT page_id, lower(regexp_extract(url, '\\.([A-Za-z0-9]+)$', 1)) AS extension FROM pages WHERE lower(regexp_extract(url, '\\.([A-Za-z0-9]+)$', 1)) IN ('html', 'com')")
+@query("SELECT page_id, lower(regexp_extract(url, '[^/.][^/]*\\.([A-Za-z0-9]+)$', 1)) AS extension FROM pages WHERE lower(regexp_extract(url, '[^/.][^/]*\\.([A-Za-z0-9]+)$', 1)) IN ('html', 'com')")
 def ext_filter(spark, sf_dir):
-    ext = F.lower(F.regexp_extract("url", r"\.([A-Za-z0-9]+)$", 1))
-    return _t(spark, sf_dir, "pages").select("page_id", ext.alias("extension")).where(F.col("extension").isin("html", "com"))
+    return _t(spark, sf_dir, "pages").select("page_id", T.extension(F.col("url")).alias("extension")).where(F.col("extension").isin("html", "com"))
 
 
 @query("SELECT doc_id AS id, CASE lang WHEN 'en' THEN 'class' WHEN 'de' THEN 'method' WHEN 'fr' THEN 'module' ELSE 'function' END AS kind FROM documents")
@@ -310,9 +313,10 @@ def kind_map(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.mapped(F.col("lang"), {"en": "class", "de": "method", "fr": "module"}, "function").alias("kind"))
 
 
-@query("SELECT doc_id AS id, source FROM documents WHERE regexp_matches(text, '^[A-Z]')")
+@query("SELECT doc_id AS id, source FROM documents WHERE regexp_matches(text, '^\\p{Lu}')")
 def visibility(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").where(F.col("text").rlike("^[A-Z]")).select(F.col("doc_id").alias("id"), "source")
+    units = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", F.col("text").alias("name"), F.lit("function").alias("kind"), F.lit("").alias("signature"))
+    return units.where(L.is_public("go")).select("id", "source")
 
 
 @query("SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment <> 'MACHINERY', c_name) AS place FROM customer")
@@ -327,8 +331,8 @@ def topn_per_file(spark, sf_dir):
     return out.select(F.col("doc_id").alias("id"), "source", F.col("rank").cast("long").alias("rank"))
 
 
-@query("""SELECT source, count(*) AS n_lines, '# ' || source || chr(10) || string_agg('- ' || line, chr(10) ORDER BY line) AS report
-FROM (SELECT source, line FROM (SELECT source, string_split(text, chr(10))[1] AS line FROM documents) QUALIFY row_number() OVER (PARTITION BY source ORDER BY line) <= 150) GROUP BY source""")
+@query(r"""SELECT source, count(*) AS n_lines, '# ' || source || chr(10) || string_agg('- ' || line, chr(10) ORDER BY line) AS report
+FROM (SELECT source, line FROM (SELECT source, regexp_extract(text, '^[^\n\v\f\r\x1C-\x1E\x{85}\x{2028}\x{2029}]*') AS line FROM documents) QUALIFY row_number() OVER (PARTITION BY source ORDER BY line) <= 150) GROUP BY source""")
 def report_markdown(spark, sf_dir):
     return R.markdown(_t(spark, sf_dir, "documents").select("source", T.first_line(F.col("text")).alias("line")), "source", "line", 150)
 

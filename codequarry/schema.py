@@ -7,6 +7,7 @@ from enum import StrEnum
 from pyspark.sql import types as T
 
 
+# Kinds of units and relations, and the codes of errors.
 class UnitKind(StrEnum):
     MODULE = "module"
     CLASS = "class"

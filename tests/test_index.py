@@ -203,3 +203,11 @@ def test_command_line(spark, tree, tmp_path, capsys):
     done, said = run("sync", str(tree / "c.go"))
     assert done == 1 and json.loads(said)["errors"][0]["file"] == "c.go"
     server.shutdown()
+
+
+def test_a_manifest_file_is_never_written_over(spark, tmp_path):
+    index = Index(spark, str(tmp_path))
+    index.relate(spark.createDataFrame([("a", "b", "calls")], "from_id string, to_id string, type string"))
+    with pytest.raises(QuarryError) as e:
+        index._create(f"{tmp_path}/manifest/{1:020d}.json", "{}")
+    assert e.value.code == ErrorCode.STORAGE_BUSY and index.table("relations").count() == 1

@@ -23,7 +23,14 @@ def test_comment_and_signature(spark):
     assert value(spark, T.signature_stub(F.col("s"), F.lit(9), F.lit(21), " ..."), s="def f(x): return x+10 ") == "def f(x): ... "
     assert value(spark, T.embedding_text(F.col("s"), F.lit("function"), F.lit("n"), F.lit("sig()"), F.lit("d")), s="") == "function n sig() d"
     assert value(spark, T.output_path(F.col("s"), "/r"), s="src/a.py") == "/r/src/a.py" and value(spark, T.output_path(F.col("s"), "/r"), s="C:/a.py") == "C:/a.py"
-    assert value(spark, T.version_key(F.col("s")), s="lib-1.10.2.jar") == [1, 10, 2]
+    assert value(spark, T.version_key(F.col("s")), s="lib-1.10.02.jar") == [(1, "1"), (2, "10"), (1, "2")]
+    assert value(spark, T.version_key(F.col("s")), s="v" + "9" * 25) == [(25, "9" * 25)]
+    # By hand, from the rules for marks and white space.
+    assert value(spark, T.cleaned_comment(F.col("s")), s="/**\n\t * tab one\n\t * two\r\n\t */") == "tab one\ntwo"
+    assert value(spark, T.cleaned_comment(F.col("s")), s="// a /* kept */ b\r///\u00a0c\x0b#d") == "a /* kept */ b\nc\nd"
+    assert value(spark, T.cleaned_comment(F.col("s")), s="x\n/** y") == "x\ny" and value(spark, T.cleaned_comment(F.col("s")), s="/**/") == ""
+    assert value(spark, T.first_line(F.col("s")), s="one\r\ntwo") == "one" and value(spark, T.first_line(F.col("s")), s="a\u2028b") == "a"
+    assert value(spark, T.blank_to_null(F.col("s")), s="\t\n\u3000") is None and value(spark, T.blank_to_null(F.col("s")), s="\tx y\r\n") == "x y"
     assert value(spark, T.class_name(F.col("s")), s="a/b/C.class") == "a.b.C"
 
 
