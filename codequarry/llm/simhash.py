@@ -27,7 +27,7 @@ SEED, SHINGLE, DISTANCE = 42, 3, 3
 #: A subtrie with more fingerprints than this is dealt by pairs of nodes SPLIT bits down.
 HOT, SPLIT = 100_000, 6
 #: Pairs of nodes that advance together.
-_FRONTIER = 1 << 18
+_FRONTIER = 1 << 16
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
