@@ -6,8 +6,9 @@ two sets with a similarity of 0.8 or more share an element among the first n - c
 all sets. The order used puts rare shingles first, so that a common passage isn't a candidate by itself; how frequent a shingle is comes
 from a sample, which decides on the cost alone and never on the result. Every link is checked on the whole texts.
 
-Texts with the same set are one node. After the SimHash links, a round checks each node against the smallest node of each of its
-shingles, and a last one the pairs that are still in different components. So a large group of near copies isn't compared pair by pair.
+Texts with the same set are one node. After the SimHash links, a round checks each node against the centre of each of its shingles: of the
+nodes that have the shingle, the one with the fewest rarer shingles, which in a group of near copies is the likest to all others. A last
+round checks the pairs that are still in different components. So a large group of near copies isn't compared pair by pair.
 """
 
 from __future__ import annotations
@@ -160,14 +161,16 @@ def similar_texts(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTA
     # Size and place in one number, which is all that the only large shuffle carries besides token, key and component.
     spread = _components(mine.select("key", "size", "prefix"), near).select("key", "of", "size", F.posexplode("prefix").alias("pos", "token"))
     spread = spread.select("token", "key", "of", (F.shiftleft("size", 32) + F.col("pos")).alias("at"))
+    # A shingle's centre: the node with the fewest rarer shingles, for its size.
+    rarer = F.expr("(at & 4294967295) / shiftright(at, 32)")
     group = Window.partitionBy("token")
-    index = spread.withColumns({"low": F.min(F.struct("key", "of", "at")).over(group), "m": F.min("of").over(group), "n": F.max("of").over(group)}).where("m < n")
+    index = spread.withColumns({"low": F.min(F.struct(rarer.alias("rarer"), "key", "of", "at")).over(group), "m": F.min("of").over(group), "n": F.max("of").over(group)}).where("m < n")
     place = {"size": F.shiftright("at", 32), "pos": F.expr("at & 4294967295"), "size_b": F.shiftright("low.at", 32), "pos_b": F.expr("low.at & 4294967295")}
     index = written(index.select("token", "key", "of", F.col("low.key").alias("low"), F.col("low.of").alias("low_of"), *[c.alias(n) for n, c in place.items()]), "prefixes")
     # No more elements can be shared than are left behind a shared one, and the first shared one must leave enough.
     enough = f"{NUM + DEN} * least(size - pos, size_b - pos_b) >= {NUM} * (size + size_b)"
 
-    star = index.where(f"of <> low_of AND {enough}").select(F.col("key").alias("a"), F.col("low").alias("b")).distinct()
+    star = index.where(f"of <> low_of AND {enough}").select(F.greatest("key", "low").alias("a"), F.least("key", "low").alias("b")).distinct()
     near = near.unionByName(written(_similar(star, texts, shingle), "similar"))
     part = written(_components(index.select("token", "key", "size", "pos"), near), "prefixes")
     dropped(index)
