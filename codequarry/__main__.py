@@ -20,7 +20,7 @@ from .sources.files import scan, units
 
 #: Options of `config`, and the setting that each writes.
 SETTINGS = {
-    "url": "api_base", "key": "api_key", "model": "model", "timeout": "timeout",
+    "url": "api_base", "key": "api_key", "model": "model", "timeout": "timeout", "max-concurrency": "max_concurrency",
     "embedding-url": "embedding_base", "embedding-key": "embedding_key", "embedding-model": "embedding_model",
 }
 
@@ -30,8 +30,9 @@ def updated(config: dict, changes: dict, clear: bool = False) -> dict:
     out = {k: v for k, v in config.items() if not (clear and k.startswith("embedding_"))} | {k: v for k, v in changes.items() if v is not None}
     out = {k: v.strip() if isinstance(v, str) else v for k, v in out.items()}
     out = {k: v for k, v in out.items() if v not in ("", None)}
-    if out.get("timeout", 1) <= 0:
-        raise QuarryError("timeout must be positive")
+    for name in ("timeout", "max_concurrency"):
+        if out.get(name, 1) <= 0:
+            raise QuarryError(f"{name} must be positive")
     if ("embedding_base" in out) != ("embedding_model" in out):
         raise QuarryError("an embedding service needs an address and a model")
     return out
@@ -48,6 +49,7 @@ def _options(argv: list[str] | None) -> argparse.Namespace:
     sync.add_argument("path", nargs="?")
     sync.add_argument("--all", action="store_true")
     sync.add_argument("--force", action="store_true")
+    sync.add_argument("--prune-missing", action="store_true", help="with --all: drop the units of files that are gone")
     sub.add_parser("rebuild")
     search = sub.add_parser("search")
     search.add_argument("query")
@@ -58,7 +60,7 @@ def _options(argv: list[str] | None) -> argparse.Namespace:
     api.add_argument("--lang", choices=["python", "java"], default="python")
     config = sub.add_parser("config")
     for option in SETTINGS:
-        config.add_argument(f"--{option}", type=int if option == "timeout" else str)
+        config.add_argument(f"--{option}", type=int if option in ("timeout", "max-concurrency") else str)
     config.add_argument("--clear-embedding", action="store_true")
     return p.parse_args(argv)
 
@@ -76,7 +78,7 @@ def _told(result: SyncResult, as_json: bool) -> int:
 
 def _api(spark: SparkSession, index: Index, library: str, lang: str) -> str:
     if lang == "python":
-        return library_api(units(scan(spark, os.path.abspath(library)).where("language = 'python'")), os.path.basename(library.rstrip("/"))).first().report
+        return library_api(units(scan(spark, os.path.abspath(library), languages={"python": "py pyi"})), os.path.basename(library.rstrip("/"))).first().report
     found = index.dependency(library).first()
     if found is None:
         return f"No archive of '{library}' is known"
@@ -101,9 +103,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         spark = spark or SparkSession.builder.appName("codequarry").getOrCreate()
         embed = HttpEmbedder(config["embedding_base"], config["embedding_model"], config.get("embedding_key")) if "embedding_base" in config else None
         summarise = HttpSummariser(config["api_base"], config["model"], config.get("api_key"), timeout=config.get("timeout", 300)) if {"api_base", "model"} <= set(config) else None
-        index = Index(spark, o.index or f"{o.root}/.quarry", embed, config.get("embedding_model", ""), summarise)
+        index = Index(spark, o.index or f"{o.root}/.quarry", embed, config.get("embedding_model", ""), summarise, callers=config.get("max_concurrency", 4))
         if o.command == "sync":
-            return _told(index.sync(o.root, paths=None if o.all else [os.path.relpath(os.path.abspath(o.path), o.root)], force=o.force), o.json)
+            return _told(index.sync(o.root, paths=None if o.all else [os.path.relpath(os.path.abspath(o.path), o.root)], force=o.force, prune=o.prune_missing), o.json)
         if o.command == "rebuild":
             return _told(index.rebuild(o.root), o.json)
         if o.command == "api":

@@ -66,8 +66,15 @@ def mean_pooled(hidden: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return (hidden * mask[:, :, None]).sum(1) / np.maximum(mask.sum(1, keepdims=True), 1e-9)
 
 
-def embedded(rows: DataFrame, embed: Embedder, batch: int = 32, width: int | None = None, id: str = "id", text: str = "text") -> DataFrame:
-    """id, vec (unit length, float): the vector of each text, null texts as empty ones.
+def _dealt(rows: DataFrame, callers: int | None) -> DataFrame:
+    """rows in `callers` tasks, one caller in each; as they are without that number. Speculative tasks call besides these."""
+    return rows if callers is None else rows.repartition(callers)
+
+
+def embedded(
+    rows: DataFrame, embed: Embedder, batch: int = 32, width: int | None = None, id: str = "id", text: str = "text", callers: int | None = None
+) -> DataFrame:
+    """id, vec (unit length, float): the vector of each text, null texts as empty ones; at most `callers` calls at once, if that is given.
 
     A batch with another number of vectors than texts fails; so does a vector of another width than `width`, if that is given, with
     EMBEDDING_MISMATCH in the message.
@@ -84,12 +91,14 @@ def embedded(rows: DataFrame, embed: Embedder, batch: int = 32, width: int | Non
                     raise QuarryError(f"{ErrorCode.EMBEDDING_MISMATCH}: a vector isn't {width} wide", ErrorCode.EMBEDDING_MISMATCH)
                 yield pd.DataFrame({"id": part[id].to_numpy(), "vec": [list(map(float, v)) for v in vectors]})
 
-    out = rows.select(id, text).mapInPandas(run, f"id {rows.schema[id].dataType.simpleString()}, vec array<double>")
+    out = _dealt(rows.select(id, text), callers).mapInPandas(run, f"id {rows.schema[id].dataType.simpleString()}, vec array<double>")
     return out.select("id", l2_normalised(F.col("vec")).cast("array<float>").alias("vec"))
 
 
-def summarised(rows: DataFrame, summarise: Summariser, id: str = "id", name: str = "name", text: str = "text") -> DataFrame:
-    """id, summary: null where the call fails, so that the caller can keep what it has."""
+def summarised(
+    rows: DataFrame, summarise: Summariser, id: str = "id", name: str = "name", text: str = "text", callers: int | None = None
+) -> DataFrame:
+    """id, summary: null where the call fails, so that the caller can keep what it has; at most `callers` calls at once, if that is given."""
 
     def one(n: str, t: str) -> str | None:
         try:
@@ -101,4 +110,4 @@ def summarised(rows: DataFrame, summarise: Summariser, id: str = "id", name: str
         for f in frames:
             yield pd.DataFrame({"id": f[id].to_numpy(), "summary": pd.Series([one(n, t) for n, t in zip(f[name], f[text], strict=True)], dtype=object)})
 
-    return rows.select(id, name, text).mapInPandas(run, f"id {rows.schema[id].dataType.simpleString()}, summary string")
+    return _dealt(rows.select(id, name, text), callers).mapInPandas(run, f"id {rows.schema[id].dataType.simpleString()}, summary string")

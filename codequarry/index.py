@@ -46,10 +46,12 @@ class SyncResult:
 
 
 class Index:
-    """embed and model are needed to write and to search, summarise only for summaries; parsers are those of further languages."""
+    """embed and model are needed to write and to search, summarise only for summaries; parsers are those of further languages. At most
+    `callers` calls of a model are made at once; None leaves it to the number of tasks."""
 
-    def __init__(self, spark: SparkSession, root: str, embed: Embedder | None = None, model: str = "", summarise: Summariser | None = None, parsers: Mapping[str, Parser] | None = None):
+    def __init__(self, spark: SparkSession, root: str, embed: Embedder | None = None, model: str = "", summarise: Summariser | None = None, parsers: Mapping[str, Parser] | None = None, callers: int | None = 4):
         self.spark, self.root, self.embed, self.model, self.summarise, self.parsers = spark, root.rstrip("/"), embed, model, summarise, parsers
+        self.callers = callers
 
     def _manifest(self):
         try:
@@ -97,7 +99,8 @@ class Index:
         out.close()
 
     def _bind(self, writing: bool, wipe: bool = False) -> tuple[int, bool]:
-        """Width of the vectors, and whether those stored are of another model."""
+        """Width of the vectors, and whether those stored are of another model. Without a known width and model, as in an older index, the
+        stored vectors give the width and count as another model's."""
         m = self._manifest()
         stored = m is not None and "unit_embeddings" in m.folders and not wipe
         if not stored and not writing:
@@ -106,16 +109,17 @@ class Index:
             raise QuarryError("an embedder is needed")
         if stored:
             row = self.table("unit_embeddings").select(F.size("vec").alias("n")).first()
-            if not m.width or m.width < 1 or (row and row.n != m.width):
+            kept = m.width if m.width is not None and m.model is not None else row.n if row else None
+            if kept is not None and (kept < 1 or (row and row.n != kept)):
                 raise QuarryError("the stored width isn't that of the vectors", ErrorCode.STORAGE_CORRUPT)
         width = len(self.embed([""])[0])
-        if stored and width != m.width:
-            raise QuarryError(f"the index has vectors {m.width} wide, the embedder makes {width}", ErrorCode.EMBEDDING_MISMATCH)
+        if stored and kept is not None and width != kept:
+            raise QuarryError(f"the index has vectors {kept} wide, the embedder makes {width}", ErrorCode.EMBEDDING_MISMATCH)
         return width, stored and m.model != self.model
 
-    def apply(self, files: DataFrame, force: bool = False, wipe: bool = False, whole: bool = True) -> SyncResult:
+    def apply(self, files: DataFrame, force: bool = False, wipe: bool = False, whole: bool = True, prune: bool = False) -> SyncResult:
         """Bring the index up to date with files (path, language, content). wipe makes all vectors of these files' units anew and drops
-        all others; vectors of another model are all made anew, which needs whole."""
+        all others; vectors of another model are all made anew, which needs whole. prune drops the units of relative paths that aren't among files."""
         before = self._manifest()
         width, dirty = self._bind(True, wipe)
         if dirty and not whole:
@@ -126,14 +130,14 @@ class Index:
         vectors = self.table("unit_embeddings").where(F.lit(not wipe))
 
         def summaries(rows: DataFrame) -> DataFrame:
-            return self.spark.read.parquet(self._write(summarised(rows, self.summarise, text="code"), "work"))
+            return self.spark.read.parquet(self._write(summarised(rows, self.summarise, text="code", callers=self.callers), "work"))
 
         stored = self.table("units")
-        plan = planned(found, stored, vectors.select("id"), scanned, force, summaries if self.summarise else None)
+        plan = planned(found, stored, vectors.select("id"), scanned, force, summaries if self.summarise else None, prune)
         after = self.spark.read.parquet(self._write(plan.units.withColumn("tags", F.coalesce("tags", F.array().cast("array<string>"))), "work"))
         text = embedding_text(F.col("summary"), *map(F.col, ("kind", "name", "signature", "docstring")))
         pending = after.where(F.lit(dirty) | F.col("embed")).select("id", text.alias("text"))
-        fresh = self.spark.read.parquet(self._write(embedded(pending, self.embed, width=width), "work"))
+        fresh = self.spark.read.parquet(self._write(embedded(pending, self.embed, width=width, callers=self.callers), "work"))
         gone = stored.select("id").join(after, "id", "left_anti")
         self._publish(before, {
             "units": after, "unit_embeddings": vectors.join(gone, "id", "left_anti").join(fresh, "id", "left_anti").unionByName(fresh),
@@ -142,13 +146,15 @@ class Index:
         errors = found.where("error IS NOT NULL").select("path", "error")
         return SyncResult(scanned.count(), errors.count(), errors)
 
-    def _files(self, source: str, rules: Iterable[str] | None) -> DataFrame:
-        return scan(self.spark, source, root_rules(source) if rules is None else rules)
+    def _files(self, source: str, rules: Iterable[str] | None, paths: list[str] | None = None) -> DataFrame:
+        return scan(self.spark, source, root_rules(source) if rules is None else rules, paths=paths)
 
-    def sync(self, source: str, rules: Iterable[str] | None = None, paths: list[str] | None = None, force: bool = False) -> SyncResult:
-        """apply() to the tree below source, or to the given relative paths of it. rules are those of its ignore file unless given."""
-        files = self._files(source, rules)
-        return self.apply(files if paths is None else files.where(F.col("path").isin(paths)), force, whole=paths is None)
+    def sync(self, source: str, rules: Iterable[str] | None = None, paths: list[str] | None = None, force: bool = False, prune: bool = False) -> SyncResult:
+        """apply() to the tree below source, or to the given relative paths of it, which are then all that is looked at. rules are those of
+        its ignore file unless given. prune, of a whole tree only, drops the units of files that are gone."""
+        if prune and paths is not None:
+            raise QuarryError("only a whole tree shows which files are gone")
+        return self.apply(self._files(source, rules, paths), force, whole=paths is None, prune=prune)
 
     def rebuild(self, source: str, rules: Iterable[str] | None = None) -> SyncResult:
         """All summaries and vectors anew. Units of files that are gone stay, without vectors."""
@@ -202,7 +208,8 @@ class Index:
         })
 
     def move(self, source: str, rules: Iterable[str] | None = None, spared: tuple[str, ...] = ()) -> DataFrame:
-        """Give units with absolute paths the relative paths of their files below source; returns the moves (old, new)."""
+        """Give units with absolute paths the relative paths of their files below source; returns the moves (old, new) made. A path whose
+        new ids are taken stays as it is."""
         before = self._manifest()
         stored = self.table("units")
         found = self.spark.read.parquet(self._write(units(self._files(source, rules), self.parsers), "work")).where("error IS NULL")
@@ -211,5 +218,6 @@ class Index:
         tables = {"units": new.units, "relations": new.relations}
         if before is not None and "unit_embeddings" in before.folders:
             tables["unit_embeddings"] = new.embeddings
+        made = self.spark.read.parquet(self._write(new.moves, "work"))
         self._publish(before, tables)
-        return pairs
+        return made

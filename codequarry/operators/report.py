@@ -30,11 +30,15 @@ def markdown(rows: DataFrame, file: str, line: str, most: int) -> DataFrame:
 def library_api(units: DataFrame, library: str, files: int = 5, most: int = 100) -> DataFrame:
     """report: one row, the classes and top-level functions of the first files (__init__ first, then by name), in at most `most` lines.
 
-    units are rows of sources.files.units. What is brought together is bounded by `files` and `most`.
+    units are rows of sources.files.units; files without such units don't count. Stubs (.pyi) of any folder are shown; only where there
+    are none, the modules of the top folder. What is brought together is bounded by `files` and `most`.
     """
     name = F.substring_index("path", "/", -1)
     shown = units.where(F.col("error").isNull() & ((F.col("kind") == "class") | ~F.substring_index("id", ":", -1).contains(".")))
-    first = units.select("path", F.struct(name != "__init__.py", name, F.col("path")).alias("place")).distinct().orderBy("place").limit(files)
+    stub = F.endswith(F.col("path"), F.lit(".pyi"))
+    places = shown.where(stub | ~F.col("path").contains("/"))
+    first = places.select("path", F.struct((~stub).alias("module"), name != "__init__.py", name, F.col("path")).alias("place")).distinct().orderBy("place").limit(files)
+    first = first.withColumn("_module", F.min("place.module").over(Window.partitionBy(F.lit(1)))).where("place.module = _module").drop("_module")
     at = F.struct("place", F.get_json_object("metadata", "$.start_line").cast("int"), F.col("id")).alias("at")
     top = shown.join(F.broadcast(first), "path").select(at, name.alias("file"), "kind", "name", "signature").orderBy("at").limit(most)
     rows = F.sort_array(F.collect_list(F.struct("at", "file", "kind", "name", "signature")))

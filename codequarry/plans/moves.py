@@ -13,12 +13,13 @@ from ..operators.maintain import matched_groups, without_ends
 
 @dataclass
 class Moved:
-    """Tables after the move, and moves (old, new)."""
+    """Tables after the move, the moves (old, new) that were made, and those that clash and were not."""
 
     units: DataFrame
     embeddings: DataFrame
     relations: DataFrame
     moves: DataFrame
+    clashes: DataFrame
 
 
 def moves(stored: DataFrame, found: DataFrame, root: str) -> DataFrame:
@@ -48,17 +49,31 @@ def _renamed(rows: DataFrame, moves: DataFrame, id: str) -> DataFrame:
     return both.withColumn(id, F.when(F.col("_new").isNotNull(), F.concat("_new", end)).otherwise(F.col(id))).select(rows.columns)
 
 
+def clashing(units: DataFrame, moves: DataFrame) -> DataFrame:
+    """old, new: the moves that would give a unit the id of another one, which stays where it is or comes from a path that is first by name.
+
+    All moves are judged as planned: one that clashes with a clashing move isn't made either.
+    """
+    at = _renamed(units.select("id", F.col("path").alias("old")), moves, "id").join(moves.toDF("old", "new"), "old", "left")
+    at = at.withColumn("place", F.struct(F.col("new").isNotNull().alias("moves"), "old"))
+    first = at.groupBy("id").agg(F.min("place").alias("first"))
+    return at.join(first, "id").where("new IS NOT NULL AND place > first").select("old", "new").distinct()
+
+
 def moved(units: DataFrame, embeddings: DataFrame, relations: DataFrame, moves: DataFrame, spared: tuple[str, ...] = ()) -> Moved:
     """Tables with moved paths and ids. Units of absolute paths that moved nowhere go, with their vectors and with relations at either
-    end, but for paths that end in one of `spared`. Ids are "path:name" with no colon in the name."""
+    end, but for paths that end in one of `spared`. A path whose move clashes stays as it is. Ids are "path:name" with no colon in the name."""
     gone = units.where(is_absolute(F.col("path"))).join(moves.select(F.col("old").alias("path")), "path", "left_anti")
     for end in spared:
         gone = gone.where(~F.endswith(F.col("path"), F.lit(end)))
     gone = gone.select("id")
-    kept = _renamed(units.join(gone, "id", "left_anti"), moves, "id")
+    kept = units.join(gone, "id", "left_anti")
+    clashes = clashing(kept, moves)
+    moves = moves.join(clashes, ["old", "new"], "left_anti")
+    kept = _renamed(kept, moves, "id")
     kept = kept.join(moves.toDF("path", "_new"), "path", "left").withColumn("path", F.coalesce("_new", "path")).select(units.columns)
     edges = without_ends(relations, gone)
     return Moved(
         kept, _renamed(embeddings.join(gone, "id", "left_anti"), moves, "id"),
-        _renamed(_renamed(edges, moves, "from_id"), moves, "to_id").distinct(), moves,
+        _renamed(_renamed(edges, moves, "from_id"), moves, "to_id").distinct(), moves, clashes,
     )

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import is_absolute
 from ..operators.maintain import must_distill, must_embed
 
 
@@ -21,11 +22,11 @@ class Plan:
     rejects: DataFrame
 
 
-def planned(found: DataFrame, stored: DataFrame, embedded: DataFrame, scanned: DataFrame, force: bool = False, summaries: Callable[[DataFrame], DataFrame] | None = None) -> Plan:
+def planned(found: DataFrame, stored: DataFrame, embedded: DataFrame, scanned: DataFrame, force: bool = False, summaries: Callable[[DataFrame], DataFrame] | None = None, prune: bool = False) -> Plan:
     """Compare units found in files (with `error`) with stored units and the ids that have a vector (id).
 
     Stored units of the scanned files (path) that weren't found are stale, but for files with an error, which stay as they are; files
-    that weren't scanned stay too. A found unit keeps its stored summary unless it changed or force is set; those to distil have
+    that weren't scanned stay too, unless prune is set and their paths are relative. A found unit keeps its stored summary unless it changed or force is set; those to distil have
     `distill` set in pending and units. summaries makes (id, summary) of those (id, name, code); where it gives null, what was kept stays.
     """
     rejects = found.where("error IS NOT NULL").select("path", "error")
@@ -41,6 +42,8 @@ def planned(found: DataFrame, stored: DataFrame, embedded: DataFrame, scanned: D
     both = both.withColumn("embed", embed).drop("old_hash", "old_summary", "has")
     good = scanned.select("path").join(rejects, "path", "left_anti")
     stale = stored.join(good, "path", "left_semi").join(new, "id", "left_anti").select("id")
+    if prune:
+        stale = stale.unionByName(stored.where(~is_absolute(F.col("path"))).join(scanned.select("path"), "path", "left_anti").select("id"))
     kept = stored.join(stale, "id", "left_anti").join(new, "id", "left_anti")
     units = kept.withColumns({"distill": F.lit(False), "embed": F.lit(False)}).unionByName(both, allowMissingColumns=True)
     return Plan(units, both.where("embed"), stale, rejects)

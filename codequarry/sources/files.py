@@ -9,8 +9,10 @@ import json
 import os
 import re
 import tokenize
+from collections import deque
 from collections.abc import Callable, Iterable, Iterator, Mapping
 
+import numpy as np
 import pandas as pd
 from pyarrow.fs import FileSelector, FileSystem, FileType
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +27,8 @@ LANGUAGES = {
     "scala": "scala", "lua": "lua", "perl": "pl pm", "haskell": "hs", "objective_c": "m mm", "zig": "zig", "elixir": "ex exs", "julia": "jl",
 }
 IGNORED = ("node_modules/", "venv/", ".venv/", "__pycache__/", ".git/", ".idea/", ".vscode/", ".onnx", ".db", ".ai/")
+#: Folders that a listing leaves open before it deals them to tasks, at first and then in each task.
+OPEN = (256, 64)
 
 
 def ignore_rule(line: str) -> tuple[str, bool] | None:
@@ -64,9 +68,9 @@ def ignored(path: Column, lines: Iterable[str]) -> Column:
     return out
 
 
-def _known(files: DataFrame, rules: Iterable[str]) -> DataFrame:
+def _known(files: DataFrame, rules: Iterable[str], languages: Mapping[str, str] = LANGUAGES) -> DataFrame:
     """files with a known extension that no rule ignores, with their language."""
-    known = F.create_map(*[F.lit(x) for name, all in LANGUAGES.items() for e in all.split() for x in (e, name)])
+    known = F.create_map(*[F.lit(x) for name, all in languages.items() for e in all.split() for x in (e, name)])
     files = files.withColumn("language", F.try_element_at(known, extension(F.col("path"))))
     return files.where(F.col("language").isNotNull() & ~ignored(F.col("path"), [*rules, *IGNORED]))
 
@@ -88,37 +92,57 @@ def root_rules(root: str) -> list[str]:
 
 
 def listed(spark: SparkSession, root: str) -> DataFrame:
-    """path (relative to root) of every file below root, folder by folder. root is an absolute path or an address that Arrow opens.
+    """path (relative to root) of every file below root. root is an absolute path or an address that Arrow opens.
 
-    Spark's own file sources leave out names that begin with _ or a dot, so they would miss modules such as __init__.py.
+    Spark's own file sources leave out names that begin with _ or a dot, so they would miss modules such as __init__.py. Folders are dealt
+    to tasks twice while they are listed, so that neither the first task nor that of a large folder lists everything below.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _ in frames:
-            fs, base = FileSystem.from_uri(root)
-            folders = [base.rstrip("/")]
-            while folders:
-                found = fs.get_file_info(FileSelector(folders.pop()))
-                folders += [x.path for x in found if x.type == FileType.Directory and not os.path.islink(x.path)]
-                yield pd.DataFrame({"path": [x.path[len(base.rstrip("/")) + 1 :] for x in found if x.type == FileType.File]}, dtype=object)
-
-    return spark.range(0, 1, 1, 1).mapInPandas(run, "path string")
-
+    def below(most: int | None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        """Lists the open folders and those in them, until `most` are open, which are handed on."""
 
-def scan(spark: SparkSession, root: str, rules: Iterable[str] = ()) -> DataFrame:
-    """path (relative to root), language, content of every file below root that has a known extension and isn't ignored.
-
-    Only these are read, in as many tasks as a shuffle has partitions.
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            fs, base = FileSystem.from_uri(root)
+            base = base.rstrip("/") + "/"
+            for f in frames:
+                yield f[~f["open"]]
+                todo = deque(f.loc[f["open"], "path"])
+                while todo and (most is None or len(todo) < most):
+                    found = fs.get_file_info(FileSelector((base + todo.popleft()).rstrip("/") or "/"))
+                    todo += [x.path[len(base) :] for x in found if x.type == FileType.Directory and not os.path.islink(x.path)]
+                    files = [x.path[len(base) :] for x in found if x.type == FileType.File]
+                    yield pd.DataFrame({"path": pd.Series(files, dtype=object), "open": np.zeros(len(files), bool)})
+                yield pd.DataFrame({"path": pd.Series(list(todo), dtype=object), "open": np.ones(len(todo), bool)})
+
+        return run
+
+    rows = spark.range(0, 1, 1, 1).select(F.lit("").alias("path"), F.lit(True).alias("open"))
+    for most in OPEN:
+        rows = rows.mapInPandas(below(most), "path string, open boolean").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return rows.mapInPandas(below(None), "path string, open boolean").select("path")
+
+
+def scan(spark: SparkSession, root: str, rules: Iterable[str] = (), languages: Mapping[str, str] = LANGUAGES, paths: list[str] | None = None) -> DataFrame:
+    """path (relative to root), language, content of every file below root that has a known extension and isn't ignored, or only of those
+    of the given relative paths that are such files.
+
+    Only these are read, in as many tasks as a shuffle has partitions. languages: names, and the extensions of each between spaces.
     """
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, base = FileSystem.from_uri(root)
         for f in frames:
             for path, language in zip(f["path"], f["language"], strict=True):
+                if paths is not None and fs.get_file_info(f"{base.rstrip('/')}/{path}").type != FileType.File:
+                    continue
                 with fs.open_input_stream(f"{base.rstrip('/')}/{path}") as source:
                     yield pd.DataFrame({"path": [path], "language": [language], "content": [source.read()]})
 
-    files = _known(listed(spark, root), rules).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
+    if paths is None:
+        found = listed(spark, root)
+    else:
+        found = spark.createDataFrame([(p,) for p in dict.fromkeys(paths) if not p.startswith("/") and ".." not in p.split("/")], "path string")
+    files = _known(found, rules, languages).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
     return files.mapInPandas(read, "path string, language string, content binary")
 
 

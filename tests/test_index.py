@@ -6,6 +6,7 @@ from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from codequarry.__main__ import main
 from codequarry.functions.models import HttpEmbedder, HttpSummariser, embedded, mean_pooled, summarised
@@ -125,6 +126,68 @@ def test_move_to_relative_paths(spark, tree):
     assert moves(stored.unionByName(spark.createDataFrame([("sub/b.py:q", "sub/b.py", "h")], kinds)), found, str(tree)).count() == 1
 
 
+def test_a_move_that_clashes_fails_alone(spark):
+    kinds = "id string, path string, code_hash string"
+    stored = spark.createDataFrame([("/a.py:f", "/a.py", "1"), ("/b.py:f", "/b.py", "2"), ("/b.py:g", "/b.py", "3"), ("/c.py:f", "/c.py", "4"), ("d.py:f", "d.py", "5")], kinds)
+    pairs = spark.createDataFrame([("/a.py", "x.py"), ("/b.py", "x.py"), ("/c.py", "d.py")], "old string, new string")
+    edges = spark.createDataFrame([("/a.py:f", "/b.py:g", "calls")], RELATIONS)
+    got = moved(stored, stored.select("id"), edges, pairs)
+    assert ids(got.units) == ids(got.embeddings) == ["/b.py:f", "/b.py:g", "/c.py:f", "d.py:f", "x.py:f"]
+    assert {tuple(r) for r in got.moves.collect()} == {("/a.py", "x.py")} and {r.old for r in got.clashes.collect()} == {"/b.py", "/c.py"}
+    assert [tuple(r) for r in got.relations.collect()] == [("x.py:f", "/b.py:g", "calls")]
+
+
+def test_index_moves_to_relative_paths(spark, tree, tmp_path):
+    index = Index(spark, str(tmp_path / "index"), letters, "m")
+    index.sync(str(tree))
+    units_, vectors = index.table("units"), index.table("unit_embeddings")
+    far = lambda c: F.concat(F.lit(f"{tree}/"), F.col(c))
+    index._publish(index._manifest(), {"units": units_.withColumns({"id": far("id"), "path": far("path")}), "unit_embeddings": vectors.withColumn("id", far("id"))}, 5)
+    assert {r.new for r in index.move(str(tree)).collect()} == {"a.py", "sub/b.py"}
+    assert ids(index.table("units")) == ids(index.table("unit_embeddings")) == ["a.py:alpha", "a.py:zulu", "sub/b.py:Box", "sub/b.py:Box.fox"]
+
+
+def test_one_path_and_pruning(spark, tree, tmp_path):
+    index = Index(spark, str(tmp_path / "index"), letters, "m")
+    assert index.sync(str(tree), paths=["a.py", "none.py", "../a.py", "a.py"]).indexed_files == 1
+    assert ids(index.table("units")) == ["a.py:alpha", "a.py:zulu"]
+    index.sync(str(tree))
+    (tree / "sub/b.py").unlink()
+    index.sync(str(tree))
+    assert len(ids(index.table("units"))) == 4
+    index.sync(str(tree), prune=True)
+    assert ids(index.table("units")) == ids(index.table("unit_embeddings")) == ["a.py:alpha", "a.py:zulu"]
+    assert code(lambda: index.sync(str(tree), paths=["a.py"], prune=True)) is None
+
+
+def test_an_index_without_width_and_model(spark, tree, tmp_path):
+    at = str(tmp_path / "index")
+    index = Index(spark, at, letters, "m")
+    index.sync(str(tree))
+    m = index._manifest()
+    index._create(f"{at}/manifest/{m.version + 1:020d}.json", json.dumps({"version": m.version + 1, "folders": m.folders}))
+    with pytest.warns(UserWarning, match="another model"):
+        assert index.search("z", 1).first().id == "a.py:zulu"
+    assert code(lambda: Index(spark, at, wide, "m").sync(str(tree))) == ErrorCode.EMBEDDING_MISMATCH
+    index.sync(str(tree))
+    assert (index._manifest().width, index._manifest().model) == (5, "m")
+
+
+def test_calls_at_once_are_bounded(spark):
+    rows = spark.range(60).selectExpr("string(id) AS id", "'n' AS name", "'t' AS text").repartition(12)
+    assert embedded(rows, letters, callers=2).rdd.getNumPartitions() == 2
+    got = summarised(rows, summary, callers=2)
+    assert got.rdd.getNumPartitions() == 2 and got.where("summary = 'n xyz'").count() == 60
+
+
+def test_stubs_come_before_modules(spark, tmp_path):
+    put(tmp_path, a="def f(): pass\n", sub__deep="def h(): pass\n")
+    report = lambda: library_api(units(scan(spark, str(tmp_path), languages={"python": "py pyi"})), "lib").first().report
+    assert "Function: f" in report() and "Function: h" not in report()
+    (tmp_path / "sub/b.pyi").write_text("class C: ...\n")
+    assert "Class: C" in report() and "## From b.pyi:" in report() and "Function: f" not in report()
+
+
 def test_follow(spark, tree, tmp_path):
     index = Index(spark, str(tmp_path / "index"), letters, "m")
     follow(index, str(tree), str(tmp_path / "check")).awaitTermination(120)

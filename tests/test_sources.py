@@ -2,7 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from codequarry.plans.sync import planned
-from codequarry.sources.files import ignored, python_units, scan, units
+from codequarry.sources import files as files_module
+from codequarry.sources.files import ignored, listed, python_units, scan, units
 
 CODE = b'''# About the class.
 class MyClass:
@@ -45,6 +46,21 @@ def test_ignore_rules(spark, rules, path, want):
     assert spark.range(1).select(ignored(F.lit(path), rules).alias("x")).first().x is want
 
 
+def test_listing_deals_folders_to_tasks(spark, tmp_path, monkeypatch):
+    want = set()
+    for k in range(40):
+        path = tmp_path / "/".join(f"d{j}" for j in range(k % 7)) / f"_x{k}" / f"f{k}.py"
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text("")
+        want.add(str(path.relative_to(tmp_path)))
+    (tmp_path / "top.txt").write_text("")
+    (tmp_path / "again").symlink_to(tmp_path)
+    for most in ((256, 64), (2, 1), (1, 1)):
+        monkeypatch.setattr(files_module, "OPEN", most)
+        assert sorted(r.path for r in listed(spark, str(tmp_path)).collect()) == sorted(want | {"top.txt"})
+    assert listed(spark, f"{tmp_path}/").count() == 41
+
+
 def test_scan_and_sync(spark, tmp_path):
     for name, text in {"a.py": CODE, "bad.py": b"def (", "b.go": b"package b", "venv/c.py": b"x = 1", "note.txt": b"", "sub/d.py": b"def d(): pass\n"}.items():
         (tmp_path / name).parent.mkdir(exist_ok=True)
