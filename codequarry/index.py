@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 
 from .functions.models import Embedder, Summariser, embedded, summarised
 from .functions.text import embedding_text
-from .operators.libraries import interface_report, traversed
+from .operators.libraries import dependency_of, interface_report, traversed
 from .operators.maintain import deduplicated, stale, upserted, without_ends
-from .operators.search import nearest, with_relations
+from .operators.search import nearest, relations_of, with_relations
 from .plans.moves import moved, moves
 from .plans.sync import planned
 from .schema import DEPENDENCIES, KEYS, RELATIONS, UNIT_EMBEDDINGS, UNITS, ErrorCode, QuarryError
@@ -170,10 +170,10 @@ class Index:
         return with_relations(hits, self.table("relations")).orderBy("distance", "id")
 
     def unit(self, id: str) -> DataFrame:
-        return with_relations(self.table("units").where(F.col("id") == id), self.table("relations").where(F.col("from_id") == id))
+        return with_relations(self.table("units").where(F.col("id") == id), relations_of(self.table("relations"), id))
 
     def relations(self, id: str, outbound: bool = True) -> DataFrame:
-        return self.table("relations").where(F.col("from_id" if outbound else "to_id") == id)
+        return relations_of(self.table("relations"), id, outbound)
 
     def relate(self, rows: DataFrame) -> None:
         """Add relations; those that are there stay."""
@@ -185,7 +185,7 @@ class Index:
         self._publish(self._manifest(), {"dependencies": upserted(self.table("dependencies"), new, KEYS["dependencies"], "seq")})
 
     def dependency(self, name: str) -> DataFrame:
-        return self.table("dependencies").where(F.col("name") == name)
+        return dependency_of(self.table("dependencies"), name)
 
     def api(self, source: str, library: str, language: str, entries: list[str] | None = None) -> str:
         """The public interface of the library below source, in a language of operators.libraries that has a parser here. With entries

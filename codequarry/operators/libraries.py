@@ -66,6 +66,11 @@ def _wanted(units: DataFrame, language: str) -> DataFrame:
     return modules.where(kind.contains("export") & target.startswith(".")).select(F.col("path").alias("from_id"), to.alias("to"))
 
 
+def dependency_of(dependencies: DataFrame, name: str) -> DataFrame:
+    """The rows of a dependency's name, which is compared whole."""
+    return dependencies.where(F.col("name") == name)
+
+
 def imports(units: DataFrame, files: DataFrame, language: str) -> DataFrame:
     """from_id, to_id: the file that each re-export (javascript) or body-less module (rust) leads to: the best candidate that exists.
 

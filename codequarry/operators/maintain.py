@@ -51,6 +51,11 @@ def must_embed(hash: Column, summary: Column, stored_hash: Column, stored_summar
     return stored_hash.isNull() | ~(hash.eqNullSafe(stored_hash) & summary.eqNullSafe(stored_summary) & has_vector)
 
 
+def having_vectors(rows: DataFrame, vectors: DataFrame, id: str = "id") -> DataFrame:
+    """rows with `has`: whether vectors, where an id is once at most, has one of theirs."""
+    return rows.join(vectors.select(id, F.lit(True).alias("has")), id, "left").withColumn("has", F.coalesce("has", F.lit(False)))
+
+
 def hash_multisets(units: DataFrame, group: str = "path", hash: str = "code_hash") -> DataFrame:
     """group, hash, n: how often each hash is in each group."""
     return units.groupBy(group, hash).agg(F.count(F.lit(1)).alias("n"))

@@ -86,6 +86,11 @@ def nearest_each(units: DataFrame, embeddings: DataFrame, queries: DataFrame, k:
     return best.join(units, id).select("query_id", *units.columns, "distance")
 
 
+def relations_of(relations: DataFrame, id: str | int, outbound: bool = True) -> DataFrame:
+    """The relations that leave a unit, or those that reach it."""
+    return relations.where(F.col("from_id" if outbound else "to_id") == id)
+
+
 def with_relations(hits: DataFrame, relations: DataFrame, id: str = "id", source: str = "from_id", bounded: bool = True) -> DataFrame:
     """hits with `relations`: the sorted list of their outbound edges, empty where there is none. bounded: hits is a short list."""
     ids = hits.select(F.col(id).alias(source)).distinct()

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_absolute
-from ..operators.maintain import must_distill, must_embed
+from ..operators.maintain import having_vectors, must_distill, must_embed
 
 
 @dataclass
@@ -32,13 +32,13 @@ def planned(found: DataFrame, stored: DataFrame, embedded: DataFrame, scanned: D
     rejects = found.where("error IS NOT NULL").select("path", "error")
     new = found.where("error IS NULL").drop("error")
     old = stored.select("id", F.col("code_hash").alias("old_hash"), F.col("summary").alias("old_summary"))
-    both = new.join(old, "id", "left").join(embedded.select("id", F.lit(True).alias("has")), "id", "left")
+    both = having_vectors(new.join(old, "id", "left"), embedded)
     distill = must_distill(F.col("code_hash"), F.col("old_hash"), F.col("old_summary"), force)
     both = both.withColumn("distill", distill).withColumn("summary", F.when(F.col("code_hash").eqNullSafe(F.col("old_hash")) & ~F.lit(force), F.col("old_summary")))
     if summaries is not None:
         fresh = summaries(both.where("distill").select("id", "name", "code")).select("id", F.col("summary").alias("fresh"))
         both = both.join(fresh, "id", "left").withColumn("summary", F.coalesce("fresh", "summary")).drop("fresh")
-    embed = must_embed(F.col("code_hash"), F.col("summary"), F.col("old_hash"), F.col("old_summary"), F.coalesce("has", F.lit(False)))
+    embed = must_embed(F.col("code_hash"), F.col("summary"), F.col("old_hash"), F.col("old_summary"), F.col("has"))
     both = both.withColumn("embed", embed).drop("old_hash", "old_summary", "has")
     good = scanned.select("path").join(rejects, "path", "left_anti")
     stale = stored.join(good, "path", "left_semi").join(new, "id", "left_anti").select("id")

@@ -16,8 +16,8 @@ from .functions.vectors import l2_normalised
 from .operators import libraries as L
 from .operators import maintain as M
 from .operators import report as R
-from .operators.search import nearest, nearest_each, with_relations
-from .plans.moves import moved, moves
+from .operators.search import nearest, nearest_each, relations_of, with_relations
+from .plans.moves import clashing, moved, moves
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -109,30 +109,31 @@ def each_with_relations(spark, sf_dir):
 @query(f"""SELECT u.id, path, lang, code_hash, coalesce((SELECT string_agg(DISTINCT to_id || ':' || type, ',' ORDER BY to_id || ':' || type) FROM ({_EDGES}) WHERE from_id = u.id), '') AS relations
 FROM ({_UNITS}) u WHERE u.id = 7""")
 def get_unit(spark, sf_dir):
-    unit = with_relations(_units(spark, sf_dir).where("id = 7").drop("text"), _edges(spark, sf_dir).where("from_id = 7"))
+    unit = with_relations(_units(spark, sf_dir).where("id = 7").drop("text"), relations_of(_edges(spark, sf_dir), 7))
     line = F.array_sort(F.transform("relations", lambda e: F.concat(e["to_id"].cast("string"), F.lit(":"), e["type"])))
     return unit.withColumn("relations", F.array_join(line, ","))
 
 
 @query("SELECT p_name AS name, p_brand || '/' || p_partkey AS path FROM part WHERE p_name = 'red widget'")
 def dependency_lookup(spark, sf_dir):
-    return _t(spark, sf_dir, "part").where("p_name = 'red widget'").select(F.col("p_name").alias("name"), F.concat("p_brand", F.lit("/"), F.col("p_partkey").cast("string")).alias("path"))
+    known = _t(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.concat("p_brand", F.lit("/"), F.col("p_partkey").cast("string")).alias("path"))
+    return L.dependency_of(known, "red widget")
 
 
 @query("SELECT doc_id AS id, EXISTS (SELECT 1 FROM embeddings WHERE vec_id = doc_id) AS has_embedding FROM documents")
 def has_embedding(spark, sf_dir):
-    v = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.lit(True).alias("has"))
-    return _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")).join(v, "id", "left").select("id", F.coalesce("has", F.lit(False)).alias("has_embedding"))
+    v = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"))
+    return M.having_vectors(_t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), v).withColumnRenamed("has", "has_embedding")
 
 
 @query(f"SELECT * FROM ({_EDGES}) WHERE from_id = 7")
 def edges_out(spark, sf_dir):
-    return _edges(spark, sf_dir).where("from_id = 7")
+    return relations_of(_edges(spark, sf_dir), 7)
 
 
 @query(f"SELECT * FROM ({_EDGES}) WHERE to_id = 155")
 def edges_in(spark, sf_dir):
-    return _edges(spark, sf_dir).where("to_id = 155")
+    return relations_of(_edges(spark, sf_dir), 155, outbound=False)
 
 
 @query(f"SELECT DISTINCT * FROM ({_EDGES})")
@@ -166,6 +167,19 @@ def upsert_last_wins(spark, sf_dir):
     return M.upserted(stored, new, ["id"], "event_id")
 
 
+_PLACED = "CASE WHEN c_custkey % 10 = 0 THEN '' ELSE '/x' || (c_custkey % 10) || '/' END || 'f' || (c_custkey % 7) || '.py'"
+
+
+@query(f"""WITH u AS (SELECT DISTINCT {_PLACED} AS old, 'f' || (c_custkey % 7) || '.py' AS new, c_mktsegment AS name FROM customer)
+SELECT DISTINCT old, new FROM (SELECT *, row_number() OVER (PARTITION BY new, name ORDER BY old <> new, old) AS nth FROM u) WHERE nth > 1""")
+def move_clashes(spark, sf_dir):
+    """Customers are units of nine absolute folders and of the top folder, to which all files of the nine would move."""
+    units = _t(spark, sf_dir, "customer").select(F.expr(_PLACED).alias("path"), "c_mktsegment").distinct()
+    units = units.select(F.concat("path", F.lit(":"), "c_mktsegment").alias("id"), "path")
+    absolute = units.where("startswith(path, '/')").select(F.col("path").alias("old"), F.substring_index("path", "/", -1).alias("new")).distinct()
+    return clashing(units, absolute)
+
+
 @query("SELECT page_id, CASE WHEN starts_with(url, 'http://') THEN 'src:/' || substr(url, 8) ELSE url END AS path FROM pages")
 def path_rewrite(spark, sf_dir):
     return _t(spark, sf_dir, "pages").select("page_id", T.prefix_rewritten(F.col("url"), "http://", "src:/").alias("path"))
