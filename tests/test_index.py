@@ -257,6 +257,7 @@ def test_command_line(spark, tree, tmp_path, capsys):
         return done, capsys.readouterr().out
 
     assert run("config", "--embedding-url", "http://x")[0] == 1
+    assert run("config", "--max-concurrency", "0")[0] == 1 and json.loads(run("config", "--max-concurrency", "2")[1]) == {"max_concurrency": 2}
     assert run("config", "--embedding-url", f"http://127.0.0.1:{server.server_port}", "--embedding-model", "m", "--key", "k")[1].count("***") == 1
     assert json.loads(run("search", "q")[1])["code"] == "EMBEDDINGS_MISSING"
     assert run("sync")[0] == 0 and run("sync", "--all") == (0, '{"status": "success", "indexed_files": "auto"}\n')
@@ -265,6 +266,10 @@ def test_command_line(spark, tree, tmp_path, capsys):
     (tree / "c.go").write_text("package c")
     done, said = run("sync", str(tree / "c.go"))
     assert done == 1 and json.loads(said)["errors"][0]["file"] == "c.go"
+    (tree / "c.go").unlink()
+    (tree / "sub/b.py").unlink()
+    assert run("sync", "--all", "--prune-missing")[0] == 0 and {h["name"] for h in json.loads(run("search", "q")[1])} == {"alpha", "zulu"}
+    assert run("sync", str(tree / "a.py"), "--prune-missing")[0] == 1
     server.shutdown()
 
 
