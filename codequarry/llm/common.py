@@ -85,6 +85,23 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return docs.join(gone, same, "left_anti")
 
 
+def looked_up(rows: DataFrame, totals: DataFrame, key: str, weight: str, spread: str) -> DataFrame:
+    """rows with the columns of totals, which has one row for each key; null is a key like others, and a row without a total gets nulls.
+
+    Keys with more than a thousandth of all `weight`, fewer than 1,000, are broadcast; all others meet their rows in a shuffle, which
+    deals the rows of broadcast keys by the column `spread`, so that no key gathers in one task.
+    """
+    most = totals.agg(F.sum(weight)).first()[0] or 0
+    others = [c for c in totals.columns if c != key]
+    hot = F.col(weight) * 1000 > most
+    known = totals.where(hot).select(F.col(key).alias("_hot"), F.struct(*others).alias("_at_once"))
+    rest = totals.where(~hot).select(F.col(key).alias("_key"), F.struct(*others).alias("_met"), F.lit(0).cast("long").alias("_rest"))
+    near = rows.join(F.broadcast(known), rows[key].eqNullSafe(known["_hot"]), "left")
+    near = near.withColumn("_dealt", F.when(F.col("_at_once").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(1 << 20))).cast("long"))
+    far = near.join(rest, near[key].eqNullSafe(rest["_key"]) & (near["_dealt"] == rest["_rest"]), "left")
+    return far.withColumn("_total", F.coalesce("_at_once", "_met")).select(*rows.columns, *[F.col(f"_total.{c}").alias(c) for c in others])
+
+
 def text_bytes(batch: pa.RecordBatch, column: str = "text") -> list[bytes | None]:
     """The UTF-8 bytes of a text column."""
     return batch.column(column).cast(pa.binary()).to_pylist()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import ORACLE_OP10, op10_chat
+from .collocations import ORACLE_OP11, op11_collocations
 from .decontaminate import op1_decontaminate
 from .language_id import op6_language_id
 from .lm_score import op5_lm_score
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_mpeg_audio": op9_mpeg_audio,
     "op10_chat": op10_chat,
+    "op11_collocations": op11_collocations,
 }
-ORACLE: dict[str, str] = {"op10_chat": ORACLE_OP10}
+ORACLE: dict[str, str] = {"op10_chat": ORACLE_OP10, "op11_collocations": ORACLE_OP11}
