@@ -27,6 +27,7 @@ from .plans.moves import moved, moves
 from .plans.sync import planned
 from .schema import DEPENDENCIES, KEYS, RELATIONS, UNIT_EMBEDDINGS, UNITS, ErrorCode, QuarryError
 from .sources.files import Parser, listed, root_rules, scan, units
+from .sources.tree import source_tree
 
 TABLES = {"units": UNITS, "unit_embeddings": UNIT_EMBEDDINGS, "relations": RELATIONS, "dependencies": DEPENDENCIES}
 _MANIFEST = "version long, folders map<string, string>, width int, model string"
@@ -147,6 +148,8 @@ class Index:
         return SyncResult(scanned.count(), errors.count(), errors)
 
     def _files(self, source: str, rules: Iterable[str] | None, paths: list[str] | None = None) -> DataFrame:
+        if paths is None:
+            return source_tree(self.spark, source, rules)
         return scan(self.spark, source, root_rules(source) if rules is None else rules, paths=paths)
 
     def sync(self, source: str, rules: Iterable[str] | None = None, paths: list[str] | None = None, force: bool = False, prune: bool = False) -> SyncResult:
