@@ -1,36 +1,34 @@
-"""An index of a source tree: Parquet tables below one folder, synchronised and searched by Spark jobs.
+"""An index of a source tree: the tables of a store, synchronised and searched by Spark jobs.
 
-Every change writes new tables and then one file to the manifest, which names the folder of each table; a reader uses the last file, so it
-sees all of a change or nothing. A manifest file is named by its version and never written over: of two writers at once, the later one
-fails with STORAGE_BUSY. Old folders stay until they are removed by hand.
+A change writes the buckets that it touches and then names them in the store's manifest, so a reader sees all of it or nothing. Answers of
+services are kept beside the tables: what a failed synchronisation was told isn't asked again.
 """
 
 from __future__ import annotations
 
-import json
-import uuid
 import warnings
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.models import Embedder, Summariser, embedded, summarised
+from .functions.calls import embedded_once, summarised_once
+from .functions.models import Embedder, Summariser
 from .functions.text import embedding_text
 from .operators.libraries import dependency_of, interface_report, traversed
-from .operators.maintain import deduplicated, stale, upserted, without_ends
+from .operators.maintain import deduplicated, last_wins
 from .operators.search import nearest, relations_of, with_relations
 from .plans.moves import moved, moves
 from .plans.sync import planned
 from .schema import DEPENDENCIES, KEYS, RELATIONS, UNIT_EMBEDDINGS, UNITS, ErrorCode, QuarryError
 from .sources.files import Parser, listed, root_rules, scan, units
 from .sources.tree import source_tree
+from .store import BUCKETS, Store
 
 TABLES = {"units": UNITS, "unit_embeddings": UNIT_EMBEDDINGS, "relations": RELATIONS, "dependencies": DEPENDENCIES}
-_MANIFEST = "version long, folders map<string, string>, width int, model string"
+#: Keys of the store's meta values.
+_WIDTH, _MODEL = "embedding_dim", "embedding_model"
 
 
 @dataclass
@@ -46,104 +44,85 @@ class SyncResult:
         return "error" if self.failed else "success"
 
 
+def positive(text: str) -> int:
+    """A stored width: decimal digits and at least 1, else STORAGE_CORRUPT."""
+    if not (text.isascii() and text.isdigit() and int(text) >= 1):
+        raise QuarryError(f"{text!r} isn't a width", ErrorCode.STORAGE_CORRUPT)
+    return int(text)
+
+
 class Index:
     """embed and model are needed to write and to search, summarise only for summaries; parsers are those of further languages. At most
-    `callers` calls of a model are made at once; None leaves it to the number of tasks."""
+    `callers` calls of a model are made at once; None leaves it to the number of tasks. buckets is for tables that aren't there yet."""
 
-    def __init__(self, spark: SparkSession, root: str, embed: Embedder | None = None, model: str = "", summarise: Summariser | None = None, parsers: Mapping[str, Parser] | None = None, callers: int | None = 4):
+    def __init__(self, spark: SparkSession, root: str, embed: Embedder | None = None, model: str = "", summarise: Summariser | None = None, parsers: Mapping[str, Parser] | None = None, callers: int | None = 4, buckets: int = BUCKETS):
         self.spark, self.root, self.embed, self.model, self.summarise, self.parsers = spark, root.rstrip("/"), embed, model, summarise, parsers
         self.callers = callers
-
-    def _manifest(self):
-        try:
-            return self.spark.read.schema(_MANIFEST).json(f"{self.root}/manifest").where("version IS NOT NULL").orderBy(F.desc("version")).first()
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return None
+        self.store = Store(spark, self.root, {n: (t, KEYS[n]) for n, t in TABLES.items()}, buckets)
 
     def table(self, name: str) -> DataFrame:
         """One of TABLES as it is now; empty if it was never written."""
-        m = self._manifest()
-        if m is None or name not in m.folders:
-            return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(m.folders[name])
-
-    def _write(self, rows: DataFrame, name: str) -> str:
-        folder = f"{self.root}/{name}/{uuid.uuid4().hex}"
-        rows.write.parquet(folder)
-        return folder
-
-    def _publish(self, before, tables: Mapping[str, DataFrame], width: int | None = None) -> None:
-        """Write tables and name them in the manifest; all others stay as in `before`. width is given with embeddings of self.model."""
-        folders = dict(before.folders) if before else {}
-        for name, rows in tables.items():
-            folders[name] = self._write(rows.select(TABLES[name].fieldNames()), name)
-        now = self._manifest()
-        if (now and now.version) != (before and before.version):
-            raise QuarryError("another writer changed the index", ErrorCode.STORAGE_BUSY)
-        known = (width, self.model) if width else (before.width, before.model) if before else (None, None)
-        row = dict(zip(("version", "folders", "width", "model"), (now.version + 1 if now else 1, folders, *known), strict=True))
-        self._create(f"{self.root}/manifest/{row['version']:020d}.json", json.dumps(row) + "\n")
-
-    def _create(self, path: str, text: str) -> None:
-        """A new file; if there is one, another writer was first."""
-        sc = self.spark.sparkContext
-        at = sc._jvm.org.apache.hadoop.fs.Path(path)
-        try:
-            out = at.getFileSystem(sc._jsc.hadoopConfiguration()).create(at, False)
-        except Py4JJavaError as e:
-            if "FileAlreadyExists" not in e.java_exception.getClass().getName():
-                raise
-            raise QuarryError("another writer changed the index", ErrorCode.STORAGE_BUSY) from None
-        out.write(bytearray(text.encode()))
-        out.close()
+        return self.store.table(name)
 
     def _bind(self, writing: bool, wipe: bool = False) -> tuple[int, bool]:
         """Width of the vectors, and whether those stored are of another model. Without a known width and model, as in an older index, the
         stored vectors give the width and count as another model's."""
-        m = self._manifest()
-        stored = m is not None and "unit_embeddings" in m.folders and not wipe
+        now = self.store.version()
+        stored = "unit_embeddings" in now.tables and not wipe
         if not stored and not writing:
             raise QuarryError("the index has no embeddings", ErrorCode.EMBEDDINGS_MISSING)
         if self.embed is None:
             raise QuarryError("an embedder is needed")
+        known = _WIDTH in now.meta and _MODEL in now.meta
         if stored:
-            row = self.table("unit_embeddings").select(F.size("vec").alias("n")).first()
-            kept = m.width if m.width is not None and m.model is not None else row.n if row else None
-            if kept is not None and (kept < 1 or (row and row.n != kept)):
+            row = self.store.table("unit_embeddings", now).select(F.size("vec").alias("n")).first()
+            kept = positive(now.meta[_WIDTH]) if known else row.n if row else None
+            if row and row.n != kept:
                 raise QuarryError("the stored width isn't that of the vectors", ErrorCode.STORAGE_CORRUPT)
         width = len(self.embed([""])[0])
         if stored and kept is not None and width != kept:
             raise QuarryError(f"the index has vectors {kept} wide, the embedder makes {width}", ErrorCode.EMBEDDING_MISMATCH)
-        return width, stored and m.model != self.model
+        return width, stored and now.meta.get(_MODEL) != self.model
 
-    def apply(self, files: DataFrame, force: bool = False, wipe: bool = False, whole: bool = True, prune: bool = False) -> SyncResult:
+    def apply(self, files: DataFrame, force: bool = False, wipe: bool = False, whole: bool = True, prune: bool = False, gone: DataFrame | None = None) -> SyncResult:
         """Bring the index up to date with files (path, language, content). wipe makes all vectors of these files' units anew and drops
-        all others; vectors of another model are all made anew, which needs whole. prune drops the units of relative paths that aren't among files."""
-        before = self._manifest()
+        all others; vectors of another model are all made anew, which needs whole. prune drops the units of relative paths that aren't
+        among files, gone (path) those of its paths. What is forced or wiped is asked of the services anew, but for what a failed run of
+        the same version was told."""
+        before = self.store.version()
         width, dirty = self._bind(True, wipe)
         if dirty and not whole:
             raise QuarryError("the vectors are of another model: synchronise the whole tree", ErrorCode.EMBEDDING_MISMATCH)
         # Written once: what follows reads it several times, and model calls must not run again.
-        found = self.spark.read.parquet(self._write(units(files, self.parsers), "work"))
-        scanned = self.spark.read.parquet(self._write(files.select("path"), "work"))
-        vectors = self.table("unit_embeddings").where(F.lit(not wipe))
+        keep = self.store.scratch
+        found, scanned = keep(units(files, self.parsers)), keep(files.select("path"))
+        vectors = self.store.table("unit_embeddings", before).where(F.lit(not wipe))
+        anew = f"#{before.version}" if force or wipe else ""
 
         def summaries(rows: DataFrame) -> DataFrame:
-            return self.spark.read.parquet(self._write(summarised(rows, self.summarise, text="code", callers=self.callers), "work"))
+            name = f"{getattr(self.summarise, 'model', '')}{anew}"
+            return keep(summarised_once(rows, self.summarise, f"{self.root}/answers/summaries", name, text="code", callers=self.callers))
 
-        stored = self.table("units")
-        plan = planned(found, stored, vectors.select("id"), scanned, force, summaries if self.summarise else None, prune)
-        after = self.spark.read.parquet(self._write(plan.units.withColumn("tags", F.coalesce("tags", F.array().cast("array<string>"))), "work"))
+        stored = self.store.table("units", before)
+        plan = planned(found, stored, vectors.select("id"), scanned, force, summaries if self.summarise else None, prune, gone)
+        fresh = keep(plan.fresh.withColumn("tags", F.array().cast("array<string>")))
+        dropped = keep(plan.stale)
         text = embedding_text(F.col("summary"), *map(F.col, ("kind", "name", "signature", "docstring")))
-        pending = after.where(F.lit(dirty) | F.col("embed")).select("id", text.alias("text"))
-        fresh = self.spark.read.parquet(self._write(embedded(pending, self.embed, width=width, callers=self.callers), "work"))
-        gone = stored.select("id").join(after, "id", "left_anti")
-        self._publish(before, {
-            "units": after, "unit_embeddings": vectors.join(gone, "id", "left_anti").join(fresh, "id", "left_anti").unionByName(fresh),
-            "relations": self.table("relations").join(gone.select(F.col("id").alias("from_id")), "from_id", "left_anti"),
-        }, width)
+        pending = fresh.where(F.lit(dirty) | F.col("embed")).select("id", text.alias("text"))
+        if dirty:
+            others = stored.join(fresh, "id", "left_anti").join(dropped, "id", "left_anti")
+            pending = pending.unionByName(others.select("id", text.alias("text")))
+        made = keep(embedded_once(pending, self.embed, f"{self.root}/answers/vectors", self.model + anew, width, callers=self.callers))
+        names = UNITS.fieldNames()
+        old = stored.select("id", F.struct(*names).alias("_old"))
+        changed = fresh.join(old, "id", "left").where(~F.struct(*names).eqNullSafe(F.col("_old"))).select(names)
+        edges = self.store.table("relations", before)
+        tables = {
+            "units": self.store.changed("units", before, keep(changed), dropped),
+            "unit_embeddings": self.store.replaced("unit_embeddings", made) if wipe else self.store.changed("unit_embeddings", before, made, dropped),
+            "relations": self.store.changed("relations", before, drop=keep(edges.join(dropped.select(F.col("id").alias("from_id")), "from_id", "left_semi").select(edges.columns))),
+        }
+        self.store.publish(before, tables, {_WIDTH: str(width), _MODEL: self.model})
         errors = found.where("error IS NOT NULL").select("path", "error")
         return SyncResult(scanned.count(), errors.count(), errors)
 
@@ -180,12 +159,14 @@ class Index:
 
     def relate(self, rows: DataFrame) -> None:
         """Add relations; those that are there stay."""
-        self._publish(self._manifest(), {"relations": deduplicated(self.table("relations").unionByName(rows.select("from_id", "to_id", "type")))})
+        before = self.store.version()
+        stored = self.store.table("relations", before)
+        new = self.store.scratch(deduplicated(rows).join(stored, stored.columns, "left_anti"))
+        self.store.publish(before, {"relations": self.store.changed("relations", before, new)})
 
     def depend(self, rows: DataFrame) -> None:
         """Add or replace dependencies (name, path); of equal names the largest path stays."""
-        new = rows.select("name", "path", F.col("path").alias("seq"))
-        self._publish(self._manifest(), {"dependencies": upserted(self.table("dependencies"), new, KEYS["dependencies"], "seq")})
+        self.store.upsert("dependencies", last_wins(rows.select("name", "path", F.col("path").alias("seq")), KEYS["dependencies"], "seq").drop("seq"))
 
     def dependency(self, name: str) -> DataFrame:
         return dependency_of(self.table("dependencies"), name)
@@ -195,7 +176,7 @@ class Index:
         (relative paths), only the files that these lead to are shown."""
         wanted = ("javascript", "typescript") if language == "javascript" else (language,)
         files = scan(self.spark, source).where(F.col("language").isin(*wanted))
-        found = self.spark.read.parquet(self._write(units(files, self.parsers), "work")).where("error IS NULL")
+        found = self.store.scratch(units(files, self.parsers)).where("error IS NULL")
         order = None
         if entries is not None:
             start = self.spark.createDataFrame([(p,) for p in entries], "path string")
@@ -204,23 +185,24 @@ class Index:
 
     def delete(self, path: str) -> None:
         """Units of a path go, with their vectors and with relations at either end."""
-        rows = self.table("units")
-        gone = rows.where(F.col("path") == path).select("id")
-        self._publish(self._manifest(), {
-            "units": stale(rows, gone), "unit_embeddings": stale(self.table("unit_embeddings"), gone), "relations": without_ends(self.table("relations"), gone),
-        })
+        before = self.store.version()
+        gone = self.store.scratch(self.store.table("units", before).where(F.col("path") == path).select("id"))
+        edges = self.store.table("relations", before)
+        ends = [edges.join(gone.select(F.col("id").alias(c)), c, "left_semi").select(edges.columns) for c in ("from_id", "to_id")]
+        drop = {"units": gone, "unit_embeddings": gone, "relations": self.store.scratch(ends[0].union(ends[1]).distinct())}
+        self.store.publish(before, {n: self.store.changed(n, before, drop=d) for n, d in drop.items() if n in before.tables})
 
     def move(self, source: str, rules: Iterable[str] | None = None, spared: tuple[str, ...] = ()) -> DataFrame:
         """Give units with absolute paths the relative paths of their files below source; returns the moves (old, new) made. A path whose
-        new ids are taken stays as it is."""
-        before = self._manifest()
-        stored = self.table("units")
-        found = self.spark.read.parquet(self._write(units(self._files(source, rules), self.parsers), "work")).where("error IS NULL")
-        pairs = self.spark.read.parquet(self._write(moves(stored, found, source), "work"))
-        new = moved(stored, self.table("unit_embeddings"), self.table("relations"), pairs, spared)
+        new ids are taken stays as it is. All three tables are written anew."""
+        before = self.store.version()
+        stored = self.store.table("units", before)
+        found = self.store.scratch(units(self._files(source, rules), self.parsers)).where("error IS NULL")
+        pairs = self.store.scratch(moves(stored, found, source))
+        new = moved(stored, self.store.table("unit_embeddings", before), self.store.table("relations", before), pairs, spared)
         tables = {"units": new.units, "relations": new.relations}
-        if before is not None and "unit_embeddings" in before.folders:
+        if "unit_embeddings" in before.tables:
             tables["unit_embeddings"] = new.embeddings
-        made = self.spark.read.parquet(self._write(new.moves, "work"))
-        self._publish(before, tables)
+        made = self.store.scratch(new.moves)
+        self.store.publish(before, {n: self.store.replaced(n, rows, before.tables[n][0] if n in before.tables else None) for n, rows in tables.items()})
         return made

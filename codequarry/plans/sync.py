@@ -14,19 +14,21 @@ from ..operators.maintain import having_vectors, must_distill, must_embed
 
 @dataclass
 class Plan:
-    """units: the table after the synchronisation; pending: units to embed; stale: ids to delete; rejects: files with an error."""
+    """units: the table after the synchronisation; fresh: those of its rows that were found; pending: units to embed; stale: ids to delete;
+    rejects: files with an error."""
 
     units: DataFrame
+    fresh: DataFrame
     pending: DataFrame
     stale: DataFrame
     rejects: DataFrame
 
 
-def planned(found: DataFrame, stored: DataFrame, embedded: DataFrame, scanned: DataFrame, force: bool = False, summaries: Callable[[DataFrame], DataFrame] | None = None, prune: bool = False) -> Plan:
+def planned(found: DataFrame, stored: DataFrame, embedded: DataFrame, scanned: DataFrame, force: bool = False, summaries: Callable[[DataFrame], DataFrame] | None = None, prune: bool = False, gone: DataFrame | None = None) -> Plan:
     """Compare units found in files (with `error`) with stored units and the ids that have a vector (id).
 
     Stored units of the scanned files (path) that weren't found are stale, but for files with an error, which stay as they are; files
-    that weren't scanned stay too, unless prune is set and their paths are relative. A found unit keeps its stored summary unless it changed or force is set; those to distil have
+    that weren't scanned stay too, unless prune is set and their paths are relative, or `gone` (path) has them. A found unit keeps its stored summary unless it changed or force is set; those to distil have
     `distill` set in pending and units. summaries makes (id, summary) of those (id, name, code); where it gives null, what was kept stays.
     """
     rejects = found.where("error IS NOT NULL").select("path", "error")
@@ -44,6 +46,8 @@ def planned(found: DataFrame, stored: DataFrame, embedded: DataFrame, scanned: D
     stale = stored.join(good, "path", "left_semi").join(new, "id", "left_anti").select("id")
     if prune:
         stale = stale.unionByName(stored.where(~is_absolute(F.col("path"))).join(scanned.select("path"), "path", "left_anti").select("id"))
+    if gone is not None:
+        stale = stale.unionByName(stored.join(gone.select("path").distinct(), "path", "left_semi").select("id")).distinct()
     kept = stored.join(stale, "id", "left_anti").join(new, "id", "left_anti")
     units = kept.withColumns({"distill": F.lit(False), "embed": F.lit(False)}).unionByName(both, allowMissingColumns=True)
-    return Plan(units, both.where("embed"), stale, rejects)
+    return Plan(units, both, both.where("embed"), stale, rejects)

@@ -6,18 +6,22 @@ stored, lineitem for relations, pages for files, conversations for members of a
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
+from .functions.calls import embedded_once
 from .functions.vectors import l2_normalised
 from .operators import libraries as L
 from .operators import maintain as M
 from .operators import report as R
 from .operators.search import nearest, nearest_each, relations_of, with_relations
 from .plans.moves import clashing, moved, moves
+from .session import shared_dir
+from .store import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -167,6 +171,32 @@ def upsert_last_wins(spark, sf_dir):
     return M.upserted(stored, new, ["id"], "event_id")
 
 
+@query("""SELECT c_custkey AS id, c_name AS summary FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)
+UNION ALL SELECT user_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1""")
+def bucket_upsert(spark, sf_dir):
+    """As upsert_last_wins, into a stored table of which the buckets of the new keys alone are written."""
+    stored = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("summary"))
+    new = _t(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("event_type").alias("summary"), "event_id")
+    store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", {"unit": (stored.schema, ["id"])})
+    store.publish(store.version(), {"unit": store.replaced("unit", stored)})
+    store.upsert("unit", M.last_wins(new, ["id"], "event_id").drop("event_id"))
+    return store.table("unit")
+
+
+def _vowels(texts):
+    """A vector for each text without a model: how often it has the letters a, e and i."""
+    return [[float(t.count(c)) for c in "aei"] for t in texts]
+
+
+@query("""SELECT id, round((a / greatest(sqrt(a * a + e * e + i * i), 1e-12))::FLOAT::DOUBLE, 4) AS x, round((e / greatest(sqrt(a * a + e * e + i * i), 1e-12))::FLOAT::DOUBLE, 4) AS y
+FROM (SELECT doc_id AS id, (length(text) - length(replace(text, 'a', '')))::DOUBLE AS a, (length(text) - length(replace(text, 'e', '')))::DOUBLE AS e, (length(text) - length(replace(text, 'i', '')))::DOUBLE AS i FROM documents)""")
+def embed_once(spark, sf_dir):
+    units = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    got = embedded_once(units, _vowels, f"{shared_dir(spark)}/answers-{uuid.uuid4().hex}", "vowels", 3, batch=256)
+    at = lambda k: F.round(F.get("vec", F.lit(k)).cast("double"), 4)
+    return got.select("id", at(0).alias("x"), at(1).alias("y"))
+
+
 _PLACED = "CASE WHEN c_custkey % 10 = 0 THEN '' ELSE '/x' || (c_custkey % 10) || '/' END || 'f' || (c_custkey % 7) || '.py'"
 
 

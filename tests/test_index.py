@@ -92,14 +92,18 @@ def test_widths_models_and_writers(spark, tree, tmp_path):
     with pytest.warns(UserWarning, match="another model"):
         other.search("a")
     other.sync(str(tree))
-    assert other._manifest().model == "m2"
+    assert other.store.version().meta["embedding_model"] == "m2"
     (tree / "sub/b.py").unlink()
     rebuilt = Index(spark, at, wide, "m3")
     rebuilt.rebuild(str(tree))
     assert len(ids(rebuilt.table("units"))) == 4 and ids(rebuilt.table("unit_embeddings")) == ["a.py:alpha", "a.py:zulu"]
-    before = rebuilt._manifest()
+    before = rebuilt.store.version()
     rebuilt.depend(spark.createDataFrame([("l", "p")], "name string, path string"))
-    assert code(lambda: rebuilt._publish(before, {})) == ErrorCode.STORAGE_BUSY
+    assert code(lambda: rebuilt.store.publish(before, {})) == ErrorCode.STORAGE_BUSY
+    now = rebuilt.store.version()
+    for text in ("0", "x", "-3"):
+        now = rebuilt.store.publish(now, {}, {"embedding_dim": text})
+        assert code(lambda: rebuilt.search("a")) == ErrorCode.STORAGE_CORRUPT
 
 
 def test_summaries(spark, tree, tmp_path):
@@ -142,7 +146,8 @@ def test_index_moves_to_relative_paths(spark, tree, tmp_path):
     index.sync(str(tree))
     units_, vectors = index.table("units"), index.table("unit_embeddings")
     far = lambda c: F.concat(F.lit(f"{tree}/"), F.col(c))
-    index._publish(index._manifest(), {"units": units_.withColumns({"id": far("id"), "path": far("path")}), "unit_embeddings": vectors.withColumn("id", far("id"))}, 5)
+    new = {"units": units_.withColumns({"id": far("id"), "path": far("path")}), "unit_embeddings": vectors.withColumn("id", far("id"))}
+    index.store.publish(index.store.version(), {n: index.store.replaced(n, rows) for n, rows in new.items()})
     assert {r.new for r in index.move(str(tree)).collect()} == {"a.py", "sub/b.py"}
     assert ids(index.table("units")) == ids(index.table("unit_embeddings")) == ["a.py:alpha", "a.py:zulu", "sub/b.py:Box", "sub/b.py:Box.fox"]
 
@@ -164,13 +169,14 @@ def test_an_index_without_width_and_model(spark, tree, tmp_path):
     at = str(tmp_path / "index")
     index = Index(spark, at, letters, "m")
     index.sync(str(tree))
-    m = index._manifest()
-    index._create(f"{at}/manifest/{m.version + 1:020d}.json", json.dumps({"version": m.version + 1, "folders": m.folders}))
+    m = index.store.version()
+    tables = {n: {"buckets": c, "folders": f} for n, (c, f) in m.tables.items()}
+    index.store.create(f"{at}/manifest/{m.version + 1:020d}.json", json.dumps({"version": m.version + 1, "tables": tables}))
     with pytest.warns(UserWarning, match="another model"):
         assert index.search("z", 1).first().id == "a.py:zulu"
     assert code(lambda: Index(spark, at, wide, "m").sync(str(tree))) == ErrorCode.EMBEDDING_MISMATCH
     index.sync(str(tree))
-    assert (index._manifest().width, index._manifest().model) == (5, "m")
+    assert index.store.version().meta == {"embedding_dim": "5", "embedding_model": "m"}
 
 
 def test_calls_at_once_are_bounded(spark):
@@ -277,5 +283,5 @@ def test_a_manifest_file_is_never_written_over(spark, tmp_path):
     index = Index(spark, str(tmp_path))
     index.relate(spark.createDataFrame([("a", "b", "calls")], "from_id string, to_id string, type string"))
     with pytest.raises(QuarryError) as e:
-        index._create(f"{tmp_path}/manifest/{1:020d}.json", "{}")
+        index.store.create(f"{tmp_path}/manifest/{1:020d}.json", "{}")
     assert e.value.code == ErrorCode.STORAGE_BUSY and index.table("relations").count() == 1
