@@ -15,7 +15,6 @@ pass counts what the hashes found frequent by its words, which makes all counts
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,7 +29,7 @@ from .words import Words, mixed, windows
 LEAST, LONGEST, TOP, SHARE = 100, 5, 2_000, 16
 #: Copies of the count of a single word, for a common one is a part of very many candidates.
 SALTS = 32
-#: Bytes of text that are hashed at once, hashes that are added up at once, phrases that a task spells at once, bits of a bitmap at least and at most.
+#: Bytes of text that are hashed at once, hashes that are added up at once, phrases that a task keeps the words of, bits of a bitmap at least and at most.
 _TEXT, _HASHES, _SPELLED, _BITS = 1 << 20, 3 << 20, 200_000, (1 << 20, 1 << 28)
 
 _BREAKS = re.compile(rb"[.,;:!?\x0A-\x0D]")
@@ -172,34 +171,31 @@ def _spelled(docs: DataFrame, frequent: Bitmap, longest: int) -> DataFrame:
     """lang, k, phrase, n: how often each phrase of k words occurs that is in `frequent`; with k = 0 and an empty phrase, all words of a language."""
     made = frequent.filter()
 
-    def added(held: dict[int, list]) -> Iterator[pa.RecordBatch]:
-        rows = list(held.values())
-        for i in range(0, len(rows), 1 << 16):
-            lang, k, phrase, n = zip(*rows[i : i + (1 << 16)], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(k, pa.int32()), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], names=["lang", "k", "phrase", "n"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        has, held, words = made(), {}, Counter()
+        has, spelled = made(), {}
         for phrases, langs in _slices(batches, longest):
             w = phrases.words
             data, doc = w.data.lower(), w.doc()
             names, of = np.unique(langs, return_inverse=True)
-            for lang, n in zip(names, np.bincount(of[doc], minlength=len(names)).tolist(), strict=True):
-                words[str(lang)] += n
+            rows = [(str(lang), 0, b"") for lang in names]
+            counts = [np.bincount(of[doc], minlength=len(names))]
             for k, (h, at) in enumerate(zip(phrases.hash, phrases.place, strict=True), 1):
                 here = has(h)
                 u, first, n = np.unique(h[here], return_index=True, return_counts=True)
                 at = at[here][first]
                 starts, ends = (x[at[:, None] + np.arange(k)].tolist() for x in (w.start, w.end))
-                for i, (x, c) in enumerate(zip(u.tolist(), n.tolist(), strict=True)):
-                    if x in held:
-                        held[x][3] += c
-                    else:
-                        held[x] = [langs[doc[at[i]]], k, b" ".join([data[y:z] for y, z in zip(starts[i], ends[i], strict=True)]), c]
-            if len(held) >= _SPELLED:
-                yield from added(held)
-                held = {}
-        yield from added(held | {lang: [lang, 0, b"", n] for lang, n in words.items()})
+                if len(spelled) >= _SPELLED:
+                    spelled.clear()
+                for i, x in enumerate(u.tolist()):
+                    row = spelled.get(x)
+                    if row is None:
+                        row = spelled[x] = (langs[doc[at[i]]], k, b" ".join([data[y:z] for y, z in zip(starts[i], ends[i], strict=True)]))
+                    rows.append(row)
+                counts.append(n)
+            lang, size, phrase = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(lang), pa.array(size, pa.int32()), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(np.concatenate(counts), pa.int64())], names=["lang", "k", "phrase", "n"]
+            )
 
     return docs.mapInArrow(run, "lang string, k int, phrase string, n long").groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
 
