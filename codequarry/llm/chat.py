@@ -16,6 +16,8 @@ from .common import table
 #: Bytes of turns after which a dialogue goes on in a next part, bytes that a turn counts besides its role and text, turns of a cell.
 PART_BYTES, TURN, CELL = 16 << 20, 64, 4_096
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
+#: What an own turn begins with.
+OWN = f"{OPEN}assistant\n"
 
 
 def _escaped(c):
@@ -46,32 +48,27 @@ def rotated(turns: DataFrame, window: int | None = None, part_bytes: int = PART_
     rows = rows.withColumns({"at": F.row_number().over(inside) - 1, "to": F.sum("bytes").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("bytes")})
     rows = rows.join(cells, ["key", "cell"]).withColumn("rank", F.col("n_before") + F.col("at"))
     rows = rows.withColumn("part", F.floor(F.col("rank") / window) if window else F.floor((F.col("b_before") + F.col("to")) / part_bytes))
-    rows = rows.select("key", "conv_id", "part", "rank", "role", "text")
+    named = lambda role: F.concat(F.lit(f"{OPEN}user name="), _escaped(role), F.lit("\n"))
+    tail = lambda text: F.concat(_escaped(text), F.lit(CLOSE))
+    # Where a turn would begin in its part if all turns were those of others.
+    before = Window.partitionBy("key", "part").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.coalesce(F.sum(F.length(named(F.col("role"))) + F.length(tail(F.col("text"))) + 1).over(before), F.lit(0))
+    rows = rows.select("key", "conv_id", "part", "rank", "role", "text").withColumn("at", at)
     sample = rows.groupBy("key", "part").agg(
-        F.first("conv_id").alias("conv_id"), F.sort_array(F.collect_list(F.struct("rank", "role", "text"))).alias("turns")
+        F.first("conv_id").alias("conv_id"), F.sort_array(F.collect_list(F.struct("rank", "role", "text", "at"))).alias("turns")
     )
     speakers = rows.select("key", F.col("role").alias("speaker")).distinct()
     views = sample.join(speakers, "key")
     own = lambda t: t["role"] == F.col("speaker")
-    head = lambda t: F.concat(F.lit(OPEN), F.when(own(t), F.lit("assistant")).otherwise(F.concat(F.lit("user name="), _escaped(t["role"]))), F.lit("\n"))
-    tail = lambda t: F.concat(_escaped(t["text"]), F.lit(CLOSE))
-    pieces = F.transform("turns", lambda t: F.struct(head(t).alias("head"), tail(t).alias("tail"), own(t).alias("own")))
-    views = views.withColumn("pieces", pieces)
-    size = lambda p: F.length(p["head"]) + F.length(p["tail"]) + 1
-    start = lambda acc, p: acc["at"] + F.length(p["head"])
-    spans = F.aggregate(
-        "pieces",
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("spans")),
-        lambda acc, p: F.struct(
-            (acc["at"] + size(p)).alias("at"),
-            F.when(p["own"], F.concat(acc["spans"], F.array(F.struct(start(acc, p).alias("start"), (start(acc, p) + F.length(p["tail"])).alias("end"))))).otherwise(acc["spans"]).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
+    head = lambda t: F.when(own(t), OWN).otherwise(named(t["role"]))
+    # Own turns have all one name, so the k-th of them begins k times the same difference further on than in `at`.
+    less = F.lit(len(OWN)) - F.length(named(F.col("speaker")))
+    start = lambda t, k: t["at"] + k * less + len(OWN)
+    spans = F.transform(F.filter("turns", own), lambda t, k: F.struct(start(t, k).cast("int").alias("start"), (start(t, k) + F.length(tail(t["text"]))).cast("int").alias("end")))
     return views.select(
         "conv_id", F.col("part").cast("long").alias("part"), "speaker", F.size("turns").cast("long").alias("n_turns"),
-        F.size(F.filter("pieces", lambda p: p["own"])).cast("long").alias("n_own"),
-        F.concat_ws("", F.transform("pieces", lambda p: F.concat(p["head"], p["tail"], F.lit("\n")))).alias("text"),
+        F.size(F.filter("turns", own)).cast("long").alias("n_own"),
+        F.concat_ws("", F.transform("turns", lambda t: F.concat(head(t), tail(t["text"]), F.lit("\n")))).alias("text"),
         spans.alias("mask"),
     )
 

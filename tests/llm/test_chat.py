@@ -1,4 +1,5 @@
 import random
+import time
 
 from codequarry.llm.chat import rotated
 
@@ -43,3 +44,18 @@ def test_whole_dialogues(spark):
     parts = rotated(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), part_bytes=2_000, cell=16).collect()
     assert sum(r.n_turns for r in parts if r.speaker == "ann") == 300 and max(len(r.text) for r in parts if "é" not in r.text) < 5_000
     assert {r.part for r in parts if r.speaker == "bob"} == {r.part for r in parts if r.speaker == "ann"} and len({r.part for r in parts}) > 5
+
+
+def test_many_turns_take_linear_time(spark):
+    def took(n):
+        turns = spark.range(n).selectExpr("1L AS conv_id", "id AS turn", "if(id % 2 = 0, 'ann', 'bob') AS role", "concat('t', id) AS text")
+        began = time.time()
+        rows = rotated(turns).collect()
+        return time.time() - began, rows
+
+    took(1_000)
+    short, _ = took(20_000)
+    long, rows = took(200_000)
+    assert long < 20 * short and [r.n_own for r in rows] == [100_000, 100_000]
+    for r in rows:
+        assert all(r.text[a:b] == f"t{2 * k + (r.speaker == 'bob')}<|im_end|>" for k, (a, b) in enumerate(r.mask))
