@@ -28,7 +28,7 @@ BUCKETS, SMOOTH, TEMPER, STRENGTH = 1 << 14, 0.5, 0.1, 8.0
 SALTS = 16
 
 _TAG = re.compile(rb"</?([a-z][a-z0-9]*)")
-_LANG, _CONTENT = re.compile(rb"\blang\s*=\s*[\"']?\s*([a-z]{2,8})\b"), re.compile(rb"\bcontent\s*=\s*[\"']?\s*([a-z]{2,8})\b")
+_LANG, _CONTENT = re.compile(rb"\blang\s*=\s*(?:[\"']\s*)?([a-z]{2,8})\b"), re.compile(rb"\bcontent\s*=\s*(?:[\"']\s*)?([a-z]{2,8})\b")
 _UNSEEN = (b"script", b"style", b"noscript", b"template")
 # Second-level labels that make a suffix of two labels together with a country's.
 _SECOND = ("ac", "co", "com", "edu", "gob", "gov", "gouv", "go", "ne", "net", "or", "org")

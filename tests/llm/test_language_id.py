@@ -101,3 +101,10 @@ def test_fusion_beats_wrong_declarations(spark):
     assert by[901].lang == "de" and by[901].text_lang is None and 0 < by[900].confidence <= 1
     assert page_languages(frame.limit(0), labelled).count() == 0
     assert {r.lang for r in page_languages(frame, labelled.limit(0)).collect()} == {None}
+
+
+def test_white_space_in_a_declaration_takes_linear_time():
+    page = '<html lang=' + " " * 1_000_000 + "x><meta content='" + " " * 1_000_000 + '><p lang = "  de-AT">text'
+    began = time.time()
+    assert read(page)[0].strip().startswith("text") and time.time() - began < 2
+    assert read('<html lang=  "  fr">a')[1] == "fr" and read("<html lang=   es>a")[1] == "es"
