@@ -145,10 +145,12 @@ def similar_texts(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTA
     SimHash links may differ; it decides on the cost alone.
     """
     rows = written(_keyed(docs, shingle, *_frequent(docs, shingle, sample, frequent)), "shingled")
-    nodes = written(rows.where("doc_id IS NOT NULL").groupBy("key").agg(F.min(F.struct("doc_id", "text_hash")).alias("lead")), "nodes")
-    leads = nodes.select("key", "lead.*")
-    # One row for each key, but where a row occurs twice.
-    mine = written(rows.join(leads, ["doc_id", "key", "text_hash"], "left_semi").select("key", "fp", "size", "prefix", "text"), "texts")
+    counts = rows.where("doc_id IS NOT NULL").groupBy("key", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    nodes = counts.groupBy("key").agg(F.min(F.struct("doc_id", "text_hash", "n")).alias("first"))
+    nodes = written(nodes.select("key", F.struct("first.doc_id", "first.text_hash").alias("lead"), "first.n"), "nodes")
+    # One row for each key; the texts of the few keys whose leading row occurs several times are all that is shuffled for that.
+    leads = rows.join(nodes.select("key", "lead.*", "n"), ["doc_id", "key", "text_hash"]).select("key", "fp", "size", "prefix", "text", "n")
+    mine = written(leads.where("n = 1").unionByName(leads.where("n > 1").dropDuplicates(["key"])).drop("n"), "texts")
     ids = written(rows.select("doc_id", "text_hash", "key"), "keys")
     dropped(rows)
     texts = mine.select("key", "text")
@@ -182,7 +184,7 @@ def similar_texts(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTA
     more = written(_similar(pairs, texts, shingle), "similar")
     dropped(mine)
 
-    named = _components(nodes, near.unionByName(more))
+    named = _components(nodes.drop("n"), near.unionByName(more))
     lowest = named.groupBy("of").agg(F.min("lead").alias("lowest"))
     ids = ids.join(named.join(lowest, "of").select("key", "lowest"), "key", "left")
     known = F.col("doc_id").isNotNull()

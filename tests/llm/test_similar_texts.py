@@ -64,3 +64,15 @@ def test_one_id_with_several_texts(spark):
     got = similar_texts(spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, of int")).collect()
     assert len(got) == len(rows)
     assert sorted((str(r.doc_id), str(r.component_id)) for r in got if not r.first) == [("2", "1"), ("3", "1")]
+
+
+def test_rows_that_occur_often_are_compared_once(spark, monkeypatch):
+    """300 copies of each of two near copies make one pair of texts, not 90,000."""
+    from codequarry.llm import similar_texts as module
+
+    made, similar = [], module._similar
+    monkeypatch.setattr(module, "_similar", lambda pairs, texts, shingle: made.append((pairs.count(), texts.count())) or similar(pairs, texts, shingle))
+    a = " ".join(f"a{i}" for i in range(60))
+    rows = [(1, a)] * 300 + [(2, a + " end")] * 300 + [(3, "alone")]
+    got = module.similar_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(got) == 601 and {r.component_id for r in got if r.doc_id == 2} == {1} and sum(n for n, _ in made) == 1 and {n for _, n in made} == {3}
