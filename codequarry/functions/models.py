@@ -9,6 +9,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,6 +68,44 @@ def mean_pooled(hidden: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return (hidden * mask[:, :, None]).sum(1) / np.maximum(mask.sum(1, keepdims=True), 1e-9)
 
 
+def pooled(rows: DataFrame, group: str, vec: str = "vec", mask: str | None = None) -> DataFrame:
+    """group, vec, n: for each group (null is one like others) the mean of its vectors that mask keeps, as mean_pooled() has it, and how many
+    rows it has. mask is a number or a truth value, null as none; without it all count. Null vectors, and those with a null component, don't.
+
+    Sums are made within each task, a row for each group, and added up from there: a group of most rows is summed in all tasks. Vectors of
+    a group have one width.
+    """
+    kind = rows.schema[group].dataType.simpleString()
+    weight = F.coalesce(F.col(mask).cast("double"), F.lit(0.0)) if mask else F.lit(1.0)
+    whole = F.col(vec).isNotNull() & ~F.exists(F.col(vec), lambda x: x.isNull())
+    good = rows.where(whole).select(F.col(group).alias("group"), F.col(vec).cast("array<double>").alias("vec"), weight.alias("weight"))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            codes = b.column("group").dictionary_encode(null_encoding="encode")
+            code = codes.indices.to_numpy()
+            width = pc.list_value_length(b.column("vec")).to_numpy()
+            w, start = b.column("weight").to_numpy(), np.concatenate([[0], np.cumsum(width)])
+            flat = b.column("vec").flatten().to_numpy()
+            order = np.argsort(code, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(code[order])) + 1):
+                if len(set(width[part].tolist())) > 1:
+                    raise QuarryError("vectors of a group differ in width", ErrorCode.EMBEDDING_MISMATCH)
+                x = flat[start[part][:, None] + np.arange(width[part[0]])]
+                total = pa.array([(x * w[part][:, None]).sum(0)], pa.list_(pa.float64()))
+                key = codes.dictionary.take(pa.array(code[part[:1]]))
+                yield pa.RecordBatch.from_arrays([key, total, pa.array([w[part].sum()]), pa.array([len(part)], pa.int64())], names=["group", "total", "weight", "n"])
+
+    partial = good.mapInArrow(sums, f"group {kind}, total array<double>, weight double, n long")
+    cells = partial.select("group", "weight", "n", F.posexplode("total").alias("dim", "x"))
+    each = cells.groupBy("group", "dim").agg(F.sum("x").alias("x"), F.sum("weight").alias("weight"), F.sum("n").alias("n"))
+    mean = F.col("x") / F.greatest("weight", F.lit(1e-9))
+    out = each.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("dim", mean.alias("mean")))).alias("cells"), F.max("n").alias("n"))
+    return out.select(F.col("group").alias(group), F.transform("cells", lambda c: c["mean"]).alias("vec"), "n")
+
+
 def _dealt(rows: DataFrame, callers: int | None) -> DataFrame:
     """rows in `callers` tasks, one caller in each; as they are without that number. Speculative tasks call besides these."""
     return rows if callers is None else rows.repartition(callers)

@@ -12,13 +12,13 @@ def content_hash(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-#: White space and line ends, as Unicode has them.
-_SPACE, _LINE = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]", r"\r\n|[\n\x0B\f\r\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+#: All white space of Unicode, and line ends.
+_SPACE, _LINE = "".join(c for c in map(chr, range(0x3001)) if c.isspace()), r"\r\n|[\n\x0B\f\r\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 
 
 def stripped(text: Column) -> Column:
     """text without white space of any kind at its ends."""
-    return F.regexp_replace(text, rf"\A{_SPACE}+|{_SPACE}+\z", "")
+    return F.btrim(text, F.lit(_SPACE))
 
 
 def blank_to_null(text: Column) -> Column:

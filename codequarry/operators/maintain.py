@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import prefix_rewritten
+from ..session import written
 
 
 def last_wins(rows: DataFrame, keys: list[str], seq: str) -> DataFrame:
@@ -65,7 +68,7 @@ def matched_groups(old: DataFrame, new: DataFrame, group: str = "path", hash: st
     """old_group, new_group: groups with equal multisets of hashes, paired in order, each used once.
 
     A multiset is compared by its size and four sums over the digests of its members, so that no group is collected. What is ordered
-    for the pairing is a name and these sums, once for each group.
+    for the pairing is a name and these sums, once for each group, in ranges: however many groups have one multiset, they are numbered in many tasks.
     """
     digest = F.sha2(F.to_json(F.struct(hash, "n")), 256)
     sums = [F.sum(F.conv(F.substring(digest, 16 * k + 1, 16), 16, 10).cast("decimal(20,0)")).alias(f"_s{k}") for k in range(4)]
@@ -73,17 +76,49 @@ def matched_groups(old: DataFrame, new: DataFrame, group: str = "path", hash: st
 
     def ranked(units: DataFrame, name: str) -> DataFrame:
         sets = hash_multisets(units, group, hash).groupBy(group).agg(F.sum("n").alias("_n"), *sums)
-        return sets.select(*same, F.row_number().over(Window.partitionBy(*same).orderBy(group)).alias("nth"), F.col(group).alias(name))
+        return numbered(sets, same, group).select(*same, "nth", F.col(group).alias(name))
 
     return ranked(old, "old_group").join(ranked(new, "new_group"), [*same, "nth"]).select("old_group", "new_group")
 
 
+def numbered(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """rows with nth, their number from 1 among those of equal keys by the column order, which tells them apart.
+
+    Rows are dealt to tasks by ranges of keys and order, numbered within each range, and the numbers of earlier ranges added. So a key that
+    all rows share is numbered in as many tasks as others; what meets in one window is one row for each range.
+    """
+    spark = rows.sparkSession
+    dealt = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys, order)
+    # Written, for a range is what a task had: it mustn't be drawn anew.
+    dealt = written(dealt.withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_size"))
+    sizes = sizes.select(*keys, "_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(order))
+    return dealt.withColumn("_inside", inside).join(sizes, [*keys, "_range"]).select(*rows.columns, (F.col("_before") + F.col("_inside")).alias("nth"))
+
+
 def reachable(edges: DataFrame, start: DataFrame, depth: int = 3) -> DataFrame:
     """node, depth: nodes within `depth` steps of start (node) over edges (from_id, to_id), with the fewest steps."""
-    seen = start.select("node", F.lit(0).alias("depth")).distinct()
+    return reachable_each(edges, start.select(F.lit(0).alias("start"), "node"), depth).drop("start")
+
+
+def reachable_each(edges: DataFrame, starts: DataFrame, depth: int = 3) -> DataFrame:
+    """start, node, depth: the nodes within `depth` steps of each start over edges (from_id, to_id), with the fewest steps. starts (start, node)
+    may give a start several nodes.
+
+    A level is the nodes that the last one leads to and no level before had, written before the next; an empty one ends it. Several edges
+    between two nodes count as one, and null ends lead nowhere. A node with very many edges is split by Spark's skew join.
+    """
+    steps = edges.select("from_id", "to_id").where("from_id IS NOT NULL AND to_id IS NOT NULL").distinct()
+    front = written(starts.select("start", "node").distinct(), "level")
+    levels = [front.withColumn("depth", F.lit(0))]
+    seen = front
     for d in range(1, depth + 1):
-        # One table is carried, which ends in an aggregate, so that both uses of a level share its shuffle.
-        front = seen.where(F.col("depth") == d - 1)
-        step = front.join(edges, front["node"] == edges["from_id"]).select(F.col("to_id").alias("node"), F.lit(d).alias("depth"))
-        seen = seen.unionByName(step).groupBy("node").agg(F.min("depth").alias("depth"))
-    return seen
+        step = front.join(steps, front["node"] == steps["from_id"]).select("start", F.col("to_id").alias("node")).distinct()
+        front = written(step.join(seen, ["start", "node"], "left_anti"), "level")
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+        levels.append(front.withColumn("depth", F.lit(d)))
+    return reduce(DataFrame.unionByName, levels)

@@ -6,10 +6,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import l2_distance, literal
+from ..session import written
 
 #: Vectors of a block, and queries of a partition.
 BLOCK, QUERIES = 1024, 8192
@@ -35,7 +37,7 @@ def _blocks(rows: DataFrame, name: str, block: int) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, block):
                 b = whole.slice(at, block).sort_by("id")
-                widths = np.array([len(v) for v in b.column("vec").to_pylist()])
+                widths = pc.list_value_length(b.column("vec")).to_numpy()
                 for w in np.unique(widths):
                     part = b.filter(pa.array(widths == w))
                     vecs = part.column("vec").flatten().to_numpy(zero_copy_only=False).tobytes()
@@ -46,10 +48,31 @@ def _blocks(rows: DataFrame, name: str, block: int) -> DataFrame:
     return rows.mapInArrow(run, f"{names[0]} array<{kind}>, {names[1]} binary, {names[2]} int")
 
 
+def _closest(q: np.ndarray, v: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of q and of v, with their distances, among which are the n closest to every row of q, ties included.
+
+    One matrix product gives all squared distances up to rounding. Only those within the n-th of them and twice the most that rounding can
+    do are computed in the order of the dimensions, as in l2_distance.
+    """
+    with np.errstate(over="ignore", invalid="ignore"):
+        a, b = (q * q).sum(1), (v * v).sum(1)
+        rough = a[:, None] + b[None, :] - 2 * (q @ v.T)
+        slack = 8 * np.finfo(float).eps * (q.shape[1] + 4) * (a[:, None] + b.max(initial=0))
+        near = rough <= np.partition(rough, n - 1, axis=1)[:, n - 1 : n] + 2 * slack
+    if not (np.isfinite(a).all() and np.isfinite(b).all()):
+        near[:] = True  # squares beyond the range of doubles say nothing
+    row, col = np.nonzero(near)
+    far = np.zeros(len(row))
+    for x, y in zip(q.T, v.T, strict=True):
+        step = x[row] - y[col]
+        far += step * step
+    return row, col, np.sqrt(far)
+
+
 def nearest_each(units: DataFrame, embeddings: DataFrame, queries: DataFrame, k: int = 5, id: str = "id", vec: str = "vec", block: int = BLOCK) -> DataFrame:
     """For every row of queries (query_id, vec), what nearest() finds for its vector: query_id, the unit's columns and `distance`.
 
-    Every block of queries meets every block of vectors, whose distances add up in the order of the dimensions, as in l2_distance. Only
+    Every block of queries meets every block of vectors. Only
     the k best of a query in a block are shuffled. A vector of another width, or with a null, has no distance and isn't found.
     """
     whole = lambda c: F.col(c).isNotNull() & ~F.exists(c, lambda x: x.isNull())
@@ -65,22 +88,16 @@ def nearest_each(units: DataFrame, embeddings: DataFrame, queries: DataFrame, k:
                 width = b.column("q_width")[i].as_py()
                 if width != b.column("v_width")[i].as_py():
                     continue
-                q, v = (np.frombuffer(b.column(c)[i].as_py()).reshape(len(x), width).T.copy() for c, x in (("q_vecs", asks), ("v_vecs", ids)))
-                far = np.zeros((len(asks), len(ids)))
-                for x, y in zip(q, v, strict=True):
-                    step = x[:, None] - y[None, :]
-                    far += step * step
-                far = np.sqrt(far)
+                q, v = (np.frombuffer(b.column(c)[i].as_py()).reshape(len(x), width) for c, x in (("q_vecs", asks), ("v_vecs", ids)))
                 n = min(k, len(ids))
-                row, col = np.nonzero(far <= np.partition(far, n - 1, axis=1)[:, n - 1 : n])
-                order = np.lexsort((col, far[row, col], row))  # places in a block follow the ids
-                row, col = row[order], col[order]
+                row, col, far = _closest(q, v, n)
+                order = np.lexsort((col, far, row))  # places in a block follow the ids
+                row, col, far = row[order], col[order], far[order]
                 first = np.arange(len(row)) - np.searchsorted(row, row) < n
-                row, col = row[first], col[first]
-                yield pa.RecordBatch.from_arrays([asks.take(pa.array(row)), ids.take(pa.array(col)), pa.array(far[row, col])], names=["query_id", "id", "distance"])
+                yield pa.RecordBatch.from_arrays([asks.take(pa.array(row[first])), ids.take(pa.array(col[first])), pa.array(far[first])], names=["query_id", "id", "distance"])
 
-    # Not joined by width, a single key that would gather all blocks in one task.
-    best = _blocks(asked, "q", block).crossJoin(_blocks(found, "v", block)).mapInArrow(run, kinds)
+    # Not joined by width, a single key that would gather all blocks in one task. Written, for every partition of queries reads them again.
+    best = _blocks(asked, "q", block).crossJoin(written(_blocks(found, "v", block), "vectors")).mapInArrow(run, kinds)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
     best = best.withColumn("_place", place).where(F.col("_place") <= k).select("query_id", F.col("id").alias(id), "distance")
     return best.join(units, id).select("query_id", *units.columns, "distance")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions.calls import embedded_once
+from .functions.models import pooled
 from .functions.vectors import l2_normalised
 from .operators import libraries as L
 from .operators import maintain as M
@@ -387,6 +388,14 @@ def reach_depth3(spark, sf_dir):
     return M.reachable(_edges(spark, sf_dir).select("from_id", "to_id"), spark.range(7, 8).select(F.col("id").alias("node")))
 
 
+@query(f"""WITH RECURSIVE e AS (SELECT DISTINCT from_id, to_id FROM ({_EDGES})),
+r(start, node, depth) AS (SELECT DISTINCT from_id, from_id, 0 FROM e WHERE from_id % 20 = 0 UNION SELECT r.start, e.to_id, r.depth + 1 FROM r JOIN e ON e.from_id = r.node WHERE r.depth < 3)
+SELECT start, node, min(depth)::INTEGER AS depth FROM r GROUP BY start, node""")
+def reach_each(spark, sf_dir):
+    edges = _edges(spark, sf_dir).select("from_id", "to_id")
+    return M.reachable_each(edges, edges.where("from_id % 20 = 0").select(F.col("from_id").alias("start"), F.col("from_id").alias("node")))
+
+
 _FILE = "'m' || ({0} % 7) || '/c' || ({0}) || CASE ({0}) % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '.js' ELSE '/index.ts' END"
 
 
@@ -420,8 +429,15 @@ def l2_normalize(spark, sf_dir):
 
 @query("SELECT label, k::INTEGER AS dim, round(avg(x::DOUBLE), 6) AS mean FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings) GROUP BY ALL")
 def mean_pool(spark, sf_dir):
-    cells = _t(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("dim", "x"))
-    return cells.groupBy("label", "dim").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
+    rows = pooled(_t(spark, sf_dir, "embeddings"), "label", "embedding")
+    return rows.select("label", F.posexplode("vec").alias("dim", "mean")).withColumn("mean", F.round("mean", 6))
+
+
+@query("""SELECT label, k::INTEGER AS dim, round(sum(x * m) / greatest(sum(m), 1e-9), 6) AS mean
+FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS k, (vec_id % 3 > 0)::INT::DOUBLE AS m FROM embeddings) GROUP BY label, k""")
+def masked_mean_pool(spark, sf_dir):
+    rows = pooled(_t(spark, sf_dir, "embeddings").withColumn("kept", F.col("vec_id") % 3 > 0), "label", "embedding", "kept")
+    return rows.select("label", F.posexplode("vec").alias("dim", "mean")).withColumn("mean", F.round("mean", 6))
 
 
 @query("SELECT source, count(*) AS indexed_files, count(*) FILTER (toxic = 1) AS failed FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source")
