@@ -101,36 +101,49 @@ def entry_points(package: dict, paths: set[str]) -> list[str]:
     return (clean(typed) or clean([package.get("module"), package.get("main")]))[:3]
 
 
-def interface_report(units: DataFrame, library: str, language: str, order: DataFrame | None = None, most: int = 150) -> DataFrame:
-    """report: one row, the public units of a library's files in at most `most` entries, a file's units in source order.
+def interface_reports(units: DataFrame, language: str, order: DataFrame | None = None, most: int = 150) -> DataFrame:
+    """library, report: for each library, in one job, its public units in at most `most` entries, a file's units in source order.
 
-    order (path, depth) names the files to show, nearest first, as traversed() gives them; without it all files are shown by path, with
-    main.go first. A file's entries beyond its language's limit are left out, as are those beyond `most`: both are features of the
-    report, and they bound what is brought together. Files with equal names share a heading only if they are neighbours.
+    units have the column `library` besides those of the module's head. order (library, path, depth) names the files to show, nearest first;
+    without it all files are shown by path, with main.go first. A file's entries beyond its language's limit are left out, as are files and
+    entries beyond theirs: features of the report, by which every task drops rows before a library's are brought together. Files with equal
+    names share a heading only if they are neighbours. A library without anything to show has its heading alone.
     """
     title, per_file, n_files = STYLES[language]
     name = F.substring_index("path", "/", -1)
     if order is None:
-        order = units.select("path", (name != "main.go").cast("int").alias("depth")).distinct()
+        order = units.select("library", "path", (name != "main.go").cast("int").alias("depth")).distinct()
     if n_files is not None:
-        order = order.orderBy("depth", "path").limit(n_files)
+        nth = F.row_number().over(Window.partitionBy("library").orderBy("depth", "path"))
+        order = order.withColumn("_file", nth).where(F.col("_file") <= n_files).drop("_file")
     if language == "c_sharp":
         order = order.where(~F.col("path").rlike("(obj|bin)/"))
     line = F.coalesce(F.get_json_object("metadata", "$.start_line").cast("int"), F.lit(0))
-    shown = units.where(F.coalesce(is_public(language), F.lit(False))).join(order, "path")
-    shown = shown.withColumn("_line", line).withColumn("_nth", F.row_number().over(Window.partitionBy("path").orderBy("_line", "id")))
+    public = units.where(F.coalesce(is_public(language), F.lit(False))).withColumn("_line", line)
+    public = public.withColumn("_nth", F.row_number().over(Window.partitionBy("library", "path").orderBy("_line", "id"))).where(F.col("_nth") <= per_file)
+    shown = public.join(order, ["library", "path"])
+    shown = shown.withColumn("_entry", F.row_number().over(Window.partitionBy("library").orderBy("depth", "path", "_nth"))).where(F.col("_entry") <= most)
     doc = first_line(F.col("docstring"))
     block = F.concat(
         F.array(F.concat(F.lit("- **"), F.initcap("kind"), F.lit(": "), "name", F.lit("**"))),
         F.when(F.coalesce(F.col("docstring"), F.lit("")) != "", F.array(F.concat(F.lit("  *("), doc, F.lit(")*")))).otherwise(F.array().cast("array<string>")),
         F.array(F.concat(F.lit("  `"), F.coalesce("signature", F.lit("")), F.lit("`"))),
     )
-    rows = shown.where(F.col("_nth") <= per_file).select(F.struct("depth", "path", "_nth").alias("at"), name.alias("file"), block.alias("lines"))
-    top = rows.orderBy("at").limit(most).agg(F.sort_array(F.collect_list(F.struct("at", "file", "lines"))).alias("rows"))
+    rows = shown.select("library", F.struct(F.col("_entry").alias("at"), name.alias("file"), block.alias("lines")).alias("row"))
+    top = rows.groupBy("library").agg(F.sort_array(F.collect_list("row")).alias("rows"))
+    top = units.select("library").distinct().join(top, "library", "left").withColumn("rows", F.coalesce("rows", F.array().cast(top.schema["rows"].dataType)))
     before = lambda k: F.col("rows")[F.greatest(k - 1, F.lit(0))]["file"]
     lines = F.flatten(F.transform("rows", lambda x, k: F.concat(
         F.when((k > 0) & (before(k) == x["file"]), F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("\n## From "), x["file"], F.lit(":")))),
         x["lines"],
     )))
-    head = F.lit(f"# Public API for {title} '{library}':")
-    return top.select(F.array_join(F.slice(F.concat(F.array(head), lines), 1, most), "\n").alias("report"))
+    head = F.concat(F.lit(f"# Public API for {title} '"), "library", F.lit("':"))
+    return top.select("library", F.array_join(F.slice(F.concat(F.array(head), lines), 1, most), "\n").alias("report"))
+
+
+def interface_report(units: DataFrame, library: str, language: str, order: DataFrame | None = None, most: int = 150) -> DataFrame:
+    """report: one row, what interface_reports() has for one library; order (path, depth)."""
+    one = lambda df: df.withColumn("library", F.lit(library))
+    out = interface_reports(one(units), language, None if order is None else one(order), most).select("report")
+    none = units.sparkSession.createDataFrame([(f"# Public API for {STYLES[language][0]} '{library}':",)], "report string")
+    return out.unionByName(none).limit(1)  # without units there is the heading alone

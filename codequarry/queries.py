@@ -22,6 +22,7 @@ from .operators import report as R
 from .operators.search import nearest, nearest_each, relations_of, with_relations
 from .plans.moves import clashing, moved, moves
 from .session import shared_dir
+from .sources.files import ignored_by
 from .store import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -388,6 +389,32 @@ def reach_depth3(spark, sf_dir):
     return M.reachable(_edges(spark, sf_dir).select("from_id", "to_id"), spark.range(7, 8).select(F.col("id").alias("node")))
 
 
+@query("""WITH u AS (SELECT lang AS library, source AS path, doc_id, CASE WHEN doc_id % 3 = 0 THEN 'f' ELSE 'F' END || doc_id AS name, n_chars FROM documents),
+s AS (SELECT *, row_number() OVER (PARTITION BY library, path ORDER BY doc_id) AS nth FROM u WHERE doc_id % 3 <> 0 QUALIFY nth <= 20),
+t AS (SELECT *, row_number() OVER (PARTITION BY library ORDER BY path, nth) AS k FROM s QUALIFY k <= 150),
+l AS (SELECT library, k, CASE WHEN lag(path) OVER (PARTITION BY library ORDER BY k) IS DISTINCT FROM path THEN [chr(10) || '## From ' || path || ':'] ELSE []::VARCHAR[] END || ['- **Function: ' || name || '**', '  `' || n_chars || ' characters`'] AS lines FROM t)
+SELECT library, array_to_string(list_slice(['# Public API for Go Module ' || chr(39) || library || chr(39) || ':'] || flatten(list(lines ORDER BY k)), 1, 150), chr(10)) AS report FROM l GROUP BY library""")
+def library_reports(spark, sf_dir):
+    """Every language is a library and every source one of its files."""
+    id_ = F.col("doc_id").cast("string")
+    units = _t(spark, sf_dir, "documents").select(
+        F.col("lang").alias("library"), F.col("source").alias("path"), id_.alias("id"), F.lit("function").alias("kind"), F.lit(None).cast("string").alias("docstring"),
+        F.concat(F.when(F.col("doc_id") % 3 == 0, "f").otherwise("F"), id_).alias("name"), F.concat(F.col("n_chars").cast("string"), F.lit(" characters")).alias("signature"),
+        F.to_json(F.struct(F.col("doc_id").alias("start_line"))).alias("metadata"),
+    )
+    return L.interface_reports(units, "go")
+
+
+#: Rules of an ignore file about web addresses, and the pattern of each; a rule that takes back begins with `!`.
+_RULES = (("*.html", r"\.html(/.*)?$"), ("/*/de/", r"^[^/]*/de/.*$"), ("!p1*", r"^(.*/)?p1[^/]*(/.*)?$"), ("en/", r"^(.*/)?en/.*$"), ("!index.html", r"^(.*/)?index\.html(/.*)?$"))
+
+
+@query("SELECT page_id, CASE " + " ".join(f"WHEN regexp_matches(path, '{p}') THEN {str(not r.startswith('!')).lower()}" for r, p in reversed(_RULES)) + " ELSE false END AS ignored FROM (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS path FROM pages)")
+def ignore_table(spark, sf_dir):
+    files = _t(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+://", "").alias("path"))
+    return ignored_by(files, [r for r, _ in _RULES]).select("page_id", "ignored")
+
+
 @query(f"""WITH RECURSIVE e AS (SELECT DISTINCT from_id, to_id FROM ({_EDGES})),
 r(start, node, depth) AS (SELECT DISTINCT from_id, from_id, 0 FROM e WHERE from_id % 20 = 0 UNION SELECT r.start, e.to_id, r.depth + 1 FROM r JOIN e ON e.from_id = r.node WHERE r.depth < 3)
 SELECT start, node, min(depth)::INTEGER AS depth FROM r GROUP BY start, node""")

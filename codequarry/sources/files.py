@@ -29,6 +29,8 @@ LANGUAGES = {
 IGNORED = ("node_modules/", "venv/", ".venv/", "__pycache__/", ".git/", ".idea/", ".vscode/", ".onnx", ".db", ".ai/")
 #: Folders that a listing leaves open before it deals them to tasks, at first and then in each task.
 OPEN = (256, 64)
+#: Rules that are one expression; more are a table.
+CHAIN = 100
 
 
 def ignore_rule(line: str) -> tuple[str, bool] | None:
@@ -68,11 +70,48 @@ def ignored(path: Column, lines: Iterable[str]) -> Column:
     return out
 
 
+def _literal(line: str) -> tuple[str, bool, bool] | None:
+    """A rule without wildcards as (its words, whether they are a whole path and not one name, whether they name a folder), else None."""
+    body = line.removeprefix("!") if line.startswith("!") else line.removeprefix("\\")
+    bare = body.rstrip("/")
+    if not bare.strip("/") or any(c in bare for c in "*?["):
+        return None
+    return bare.lstrip("/"), "/" in bare, body.endswith("/")
+
+
+def ignored_by(files: DataFrame, lines: Iterable[str]) -> DataFrame:
+    """files (path and other columns) with `ignored`, as ignored() has it, for very many rules.
+
+    Rules without wildcards are rows that meet the folders of a path, and the path itself, by equal words: a rule of one name their last
+    step, others all steps. The few with wildcards are tried one by one, where one expression of all of them matches. The last rule decides.
+    """
+    spark = files.sparkSession
+    rules = [(i, line) for i, line in enumerate(x.rstrip("\n").rstrip() for x in lines) if ignore_rule(line)]
+    plain = [(i, *found, line.startswith("!")) for i, line in rules if (found := _literal(line))]
+    wild = [(i, *ignore_rule(line)) for i, line in rules if not _literal(line)]
+    path = F.col("path")
+    known = spark.createDataFrame(plain, "rule int, words string, whole boolean, folder boolean, back boolean")
+    at = files.select("path").distinct().select("path", F.posexplode(F.split(path, "/")).alias("k", "step"), F.size(F.split(path, "/")).alias("n"))
+    at = at.select("path", "step", F.array_join(F.slice(F.split(path, "/"), F.lit(1), F.col("k") + 1), "/").alias("upto"), (F.col("k") + 1 < F.col("n")).alias("inside"))
+    keys = F.array(F.struct(F.lit(False).alias("whole"), F.col("step").alias("words")), F.struct(F.lit(True).alias("whole"), F.col("upto").alias("words")))
+    both = at.select("path", "inside", F.explode(keys).alias("key"))
+    hits = both.select("path", "inside", "key.*").join(known, ["whole", "words"]).where("inside OR NOT folder").select("path", "rule", "back")
+    if wild:
+        tried = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(p).alias("pattern"), F.lit(back).alias("back")) for i, p, back in wild])
+        some = files.select("path").where(path.rlike("|".join(f"(?:{p})" for _, p, _ in wild))).distinct()
+        one = some.select("path", F.array_max(F.filter(tried, lambda r: F.regexp_like(path, r["pattern"]))).alias("r"))
+        hits = hits.unionByName(one.where("r IS NOT NULL").select("path", "r.rule", "r.back"))
+    last = hits.groupBy("path").agg(F.max_by("back", "rule").alias("_back"))
+    return files.join(last, "path", "left").withColumn("ignored", F.coalesce(~F.col("_back"), F.lit(False))).select(*files.columns, "ignored")
+
+
 def _known(files: DataFrame, rules: Iterable[str], languages: Mapping[str, str] = LANGUAGES) -> DataFrame:
     """files with a known extension that no rule ignores, with their language."""
     known = F.create_map(*[F.lit(x) for name, all in languages.items() for e in all.split() for x in (e, name)])
-    files = files.withColumn("language", F.try_element_at(known, extension(F.col("path"))))
-    return files.where(F.col("language").isNotNull() & ~ignored(F.col("path"), [*rules, *IGNORED]))
+    files = files.withColumn("language", F.try_element_at(known, extension(F.col("path")))).where("language IS NOT NULL")
+    lines = [*rules, *IGNORED]
+    # A long chain of rules in one expression is slow to plan; both forms decide alike.
+    return ignored_by(files, lines).where("NOT ignored").drop("ignored") if len(lines) > CHAIN else files.where(~ignored(F.col("path"), lines))
 
 
 def named(files: DataFrame, root: str, rules: Iterable[str] = ()) -> DataFrame:

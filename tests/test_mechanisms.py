@@ -107,3 +107,38 @@ def test_ends_without_white_space(spark):
     texts = ["", " \t\n", " x  y　\x1f\x85", long, None, "​z"]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(stripped(F.col("t")).alias("s"), blank_to_null(F.col("t")).alias("b")).collect()
     assert [r.s for r in got] == ["", "", "x  y", long, None, "​z"] and [r.b for r in got] == [None, None, "x  y", long, None, "​z"]
+
+
+def test_five_thousand_ignore_rules(spark, tmp_path):
+    rng = random.Random(8)
+    names = [f"n{k}" for k in range(40)] + ["a.py", "b.py", "x.gen.py"]
+    paths = sorted({"/".join(rng.choice(names) for _ in range(rng.randrange(1, 5))) for _ in range(400)})
+    lines = ["# none", "", "*.gen.py", "!n1", "n2/", "/n3", "n4/n5", "n6/**/a.py", "!n7/", "n[89]", "!n6/n?/a.py", "b.py", "!/n3/b.py", "n0/"]
+    frame = spark.createDataFrame([(p, k) for k, p in enumerate(paths * 2)], "path string, ignored int").withColumnRenamed("ignored", "size")
+    from codequarry.sources.files import ignored, ignored_by, scan
+
+    want = {r.path: r.i for r in frame.select("path", ignored(F.col("path"), lines).alias("i")).collect()}
+    got = ignored_by(frame, lines).collect()
+    assert len(got) == len(paths) * 2 and {r.path: r.ignored for r in got} == want and 0 < sum(want.values()) < len(want)
+    many = [f"other{k}" for k in range(5_000)]
+    assert {r.path: r.ignored for r in ignored_by(frame, many + lines + many).collect()} == want
+    for name in ("keep.py", "drop.py"):
+        (tmp_path / name).write_text("")
+    assert {r.path for r in scan(spark, str(tmp_path), [*many, "drop.py"]).collect()} == {"keep.py"}
+
+
+def test_reports_of_all_libraries_in_one_job(spark):
+    from codequarry.operators.libraries import interface_report, interface_reports
+
+    rng, rows = random.Random(9), []
+    for lib in ("one", "two", "three"):
+        for f in range(15):
+            for k in range(rng.randrange(0, 30)):
+                rows.append((lib, f"d{f % 4}/f{f}.x", f"{f}:{k}", rng.choice(["class", "function", "module"]), rng.choice(["Up", "low"]) + str(k), rng.choice(["pub fn", "public x", "y", None]), rng.choice([None, "", "doc\nmore"]), f'{{"start_line": {rng.randrange(50)}}}'))
+    rows.append(("none", "z.x", "z:1", "module", "low", "y", None, "{}"))
+    units = spark.createDataFrame(rows, "library string, path string, id string, kind string, name string, signature string, docstring string, metadata string").repartition(4)
+    for language in ("javascript", "rust", "go", "c_sharp"):
+        got = {r.library: r.report for r in interface_reports(units, language, most=60).collect()}
+        assert set(got) == {"one", "two", "three", "none"} and all(len(x.replace("\n\n", "\n").split("\n")) <= 60 for x in got.values())
+        for lib, report in got.items():
+            assert interface_report(units.where(F.col("library") == lib).drop("library"), lib, language, most=60).first().report == report
