@@ -1,18 +1,24 @@
-"""Command line of an index: sync, rebuild, search, api, config."""
+"""Command line of an index: sync, rebuild, search, api, config.
+
+--parsers names an importable module whose PARSERS maps further languages to their parsers (sources.files.Parser); Python has its own.
+"""
 
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
 import os
 import sys
 
+from pyarrow.fs import FileSystem, FileType
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .functions.models import HttpEmbedder, HttpSummariser
 from .functions.text import output_path
 from .index import Index, SyncResult
+from .operators.libraries import STYLES, entry_points
 from .operators.report import library_api
 from .schema import QuarryError
 from .sources.archives import classes
@@ -20,8 +26,9 @@ from .sources.files import scan, units
 
 #: Options of `config`, and the setting that each writes.
 SETTINGS = {
-    "url": "api_base", "key": "api_key", "model": "model", "timeout": "timeout", "max-concurrency": "max_concurrency",
-    "embedding-url": "embedding_base", "embedding-key": "embedding_key", "embedding-model": "embedding_model",
+    "url": "api_base", "key": "api_key", "model": "model", "provider": "provider", "timeout": "timeout", "max-concurrency": "max_concurrency",
+    "embedding-url": "embedding_base", "embedding-key": "embedding_key", "embedding-model": "embedding_model", "embedding-provider": "embedding_provider",
+    "relative-paths": "relative_paths",
 }
 
 
@@ -44,6 +51,7 @@ def _options(argv: list[str] | None) -> argparse.Namespace:
     p.add_argument("--index", help="folder of the index; .quarry below root if not given")
     p.add_argument("--config", default=os.path.expanduser("~/.codequarry.json"))
     p.add_argument("--json", action="store_true")
+    p.add_argument("--parsers", help="a module with parsers of further languages")
     sub = p.add_subparsers(dest="command", required=True)
     sync = sub.add_parser("sync")
     sync.add_argument("path", nargs="?")
@@ -57,10 +65,11 @@ def _options(argv: list[str] | None) -> argparse.Namespace:
     search.add_argument("--relative-paths", action="store_true", help="paths as the index has them")
     api = sub.add_parser("api")
     api.add_argument("library", help="a folder of sources, or with --lang java the name of a dependency")
-    api.add_argument("--lang", choices=["python", "java"], default="python")
+    api.add_argument("--lang", choices=["python", "java", *STYLES], default="python")
     config = sub.add_parser("config")
     for option in SETTINGS:
-        config.add_argument(f"--{option}", type=int if option in ("timeout", "max-concurrency") else str)
+        kind = int if option in ("timeout", "max-concurrency") else (lambda x: x == "true") if option == "relative-paths" else str
+        config.add_argument(f"--{option}", type=kind, choices=[True, False] if option == "relative-paths" else None)
     config.add_argument("--clear-embedding", action="store_true")
     return p.parse_args(argv)
 
@@ -70,15 +79,39 @@ def _told(result: SyncResult, as_json: bool) -> int:
     if not result.failed:
         print(json.dumps({"status": "success", "indexed_files": "auto"}) if as_json else f"{result.indexed_files} files")
     elif as_json:
-        print(json.dumps({"status": "error", "message": f"{result.failed} file(s) failed", "errors": errors}))
+        print(json.dumps({"status": "error", "message": f"{result.failed} of {result.indexed_files} files could not be read", "errors": errors}))
     else:
         print(*[f"{e['file']}: {e['message']}" for e in errors], sep="\n", file=sys.stderr)
     return int(result.failed > 0)
 
 
+def first_files(source: str, language: str) -> list[str] | None:
+    """Where reading of a library starts: a script package's entry points, a crate's root; None where all files are shown."""
+    fs, base = FileSystem.from_uri(source)
+    there = lambda path: fs.get_file_info(f"{base.rstrip('/')}/{path}").type == FileType.File
+    if language == "rust":
+        return [p for p in ("src/lib.rs", "lib.rs", "src/main.rs") if there(p)][:1] or None
+    if language != "javascript":
+        return None
+    package = {}
+    if there("package.json"):
+        with fs.open_input_stream(f"{base.rstrip('/')}/package.json") as f:
+            package = json.loads(f.read())
+    named = [*package.values(), *[v for v in package.values() if isinstance(v, dict)], "index.d.ts", "index.js"]
+    nested = [x for v in named if isinstance(v, dict) for y in v.values() for x in (y.values() if isinstance(y, dict) else [y])]
+    wanted = {x.removeprefix("./") for x in [*named, *nested] if isinstance(x, str)}
+    return entry_points(package, {p for p in wanted if p and not p.startswith("/") and ".." not in p.split("/") and there(p)}) or None
+
+
 def _api(spark: SparkSession, index: Index, library: str, lang: str) -> str:
+    name = os.path.basename(library.rstrip("/"))
     if lang == "python":
-        return library_api(units(scan(spark, os.path.abspath(library), languages={"python": "py pyi"})), os.path.basename(library.rstrip("/"))).first().report
+        return library_api(units(scan(spark, os.path.abspath(library), languages={"python": "py pyi"})), name).first().report
+    if lang != "java":
+        if lang not in (index.parsers or {}):
+            raise QuarryError(f"no parser for {lang}: name a module with --parsers")
+        source = os.path.abspath(library)
+        return index.api(source, name, lang, first_files(source, lang))
     found = index.dependency(library).first()
     if found is None:
         return f"No archive of '{library}' is known"
@@ -102,8 +135,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             return 0
         spark = spark or SparkSession.builder.appName("codequarry").getOrCreate()
         embed = HttpEmbedder(config["embedding_base"], config["embedding_model"], config.get("embedding_key")) if "embedding_base" in config else None
-        summarise = HttpSummariser(config["api_base"], config["model"], config.get("api_key"), timeout=config.get("timeout", 300)) if {"api_base", "model"} <= set(config) else None
-        index = Index(spark, o.index or f"{o.root}/.quarry", embed, config.get("embedding_model", ""), summarise, callers=config.get("max_concurrency", 4))
+        asked = {"api_base", "model", "provider"} <= set(config)
+        summarise = HttpSummariser(config["api_base"], config["model"], config.get("api_key"), timeout=config.get("timeout", 300)) if asked else None
+        parsers = importlib.import_module(o.parsers).PARSERS if o.parsers else None
+        index = Index(spark, o.index or f"{o.root}/.quarry", embed, config.get("embedding_model", ""), summarise, parsers, callers=config.get("max_concurrency", 4))
         if o.command == "sync":
             return _told(index.sync(o.root, paths=None if o.all else [os.path.relpath(os.path.abspath(o.path), o.root)], force=o.force, prune=o.prune_missing), o.json)
         if o.command == "rebuild":
@@ -112,10 +147,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             print(_api(spark, index, o.library, o.lang))
             return 0
         found = index.search(o.query, o.limit)
-        if not o.relative_paths:
+        if not (o.relative_paths or config.get("relative_paths")):
             found = found.withColumn("path", output_path(F.col("path"), os.path.abspath(o.root)))
         hits = [r.asDict() for r in found.select("id", "name", "kind", "path", "signature", "summary").collect()]
-        print(json.dumps(hits, indent=2) if o.json else "\n".join(f"[{h['kind']}] {h['name']} ({h['path']})\n  {h['summary'] or ''}" for h in hits) or "No results.")
+        print(json.dumps(hits, indent=2) if o.json else "\n".join(f"[{h['kind']}] {h['name']} ({h['path']})\n  {h['summary'] or ''}" for h in hits) or "nothing found")
         return 0
     except QuarryError as e:
         print(json.dumps({"status": "error", "message": str(e)} | ({"code": e.code} if e.code else {})) if o.json else f"Error: {e}", file=sys.stdout if o.json else sys.stderr)
