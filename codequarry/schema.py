@@ -45,7 +45,6 @@ UNITS = T.StructType([*_strings("id", "kind", "name", "path", "signature", "docs
 UNIT_EMBEDDINGS = T.StructType([*_strings("id"), T.StructField("vec", T.ArrayType(T.FloatType(), False))])
 RELATIONS = T.StructType(_strings("from_id", "to_id", "type"))
 DEPENDENCIES = T.StructType(_strings("name", "path"))
-INDEX_META = T.StructType(_strings("key", "value"))
 
 #: Columns that identify a row of each table; the last row written for a key stays.
-KEYS = {"units": ["id"], "unit_embeddings": ["id"], "relations": ["from_id", "to_id", "type"], "dependencies": ["name"], "index_meta": ["key"]}
+KEYS = {"units": ["id"], "unit_embeddings": ["id"], "relations": ["from_id", "to_id", "type"], "dependencies": ["name"]}
