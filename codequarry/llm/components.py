@@ -16,7 +16,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """Edges (a long, b long) to rows (node, component): every node of an edge with the smallest node it can reach.
 
     Self-loops and repeated edges are allowed; nulls are dropped. Each step keeps at most one edge for each edge it reads. A node's
-    minimum comes from a partial aggregate and a join, so a hub isn't gathered in one task. The driver sees two numbers a round.
+    minimum comes from a partial aggregate; the join that brings it back has a hub's edges under one key, which Spark's skew join splits where
+    adaptive execution is on. The driver sees two numbers a round.
     """
     edges = written(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components"

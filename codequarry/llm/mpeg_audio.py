@@ -1,7 +1,7 @@
 """MPEG audio as a media column: write byte payloads as a variable-bitrate stream, and read streams back frame by frame.
 
-Reading resynchronises on frame headers, parses ID3v2 and ID3v1 tags and the Xing table of a variable bitrate, verifies the CRC-16 of
-protected frames, and gives exact durations (samples over rate) and the byte offset of every frame.
+Reading resynchronises on frame headers, parses ID3v2 and ID3v1 tags and the Xing or VBRI table of a variable bitrate, verifies the CRC-16 of
+protected layer III frames (those of layers I and II are passed over), and gives exact durations (samples over rate) and the byte offset of every frame.
 
 A stored payload is the main data of MPEG-1 layer III frames, one byte for each 8 bits, at 48 kHz mono, where a frame has exactly three
 bytes for each kbit/s of bitrate: frames of the largest bitrate, then smaller ones for the rest. What a frame has beyond the payload is
@@ -139,6 +139,9 @@ def parse(data: bytes | None) -> Stream:
         mark = data[body + side : body + side + 4]
         if first and f.layer == 3 and mark in (b"Xing", b"Info"):
             out.table = _table(data[body + side : at + f.size])
+        elif first and f.layer == 3 and data[at + 36 : at + 40] == b"VBRI":
+            # After the mark: version, delay and quality in two bytes each, then bytes and frames in four each.
+            out.table = {"bytes": int.from_bytes(data[at + 46 : at + 50], "big"), "frames": int.from_bytes(data[at + 50 : at + 54], "big")}
         else:
             out.frames.append(f)
         first = False
@@ -252,5 +255,6 @@ def read_media(media: DataFrame, keep_seek: bool = True) -> DataFrame:
 
 
 def op9_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = read_media(written_media(table(spark, sf_dir, "documents")), keep_seek=False)
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "samples", "rate", "n_frames", "bad_checksums")
+    out = read_media(written_media(table(spark, sf_dir, "documents")))
+    out = out.withColumn("seek", F.array_join("seek", ","))
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "samples", "rate", "n_frames", "bad_checksums", "seek")

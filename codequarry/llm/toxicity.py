@@ -162,7 +162,7 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Le
     stat = clean.where("n >= 20").select((lam * F.coalesce(F.get("found", F.lit(0)), F.lit(0.0)) - F.log("n")).alias("x")).agg(F.percentile_approx("x", 0.5, 1000)).first()[0]
     k = float(np.exp(np.log(np.log(2)) + stat)) if stat is not None else 1.0  # the median is (log(K n) - log log 2) / lambda
     first = Calibration(lam, max(k, 1e-6), np.zeros(5))
-    sample_rows = seen.select("toxic", "n", "found").collect()  # at most `sample` rows, a number for each segment
+    sample_rows = seen.select("toxic", "n", "found").collect()  # the rows of at most `sample` ids, a number for each segment
     if not sample_rows:
         return lexicon, Calibration(lam, first.k, np.array([-3.0, 1.0, 0.0, 0.0, 0.0]))
     x = np.array([first.evidence([(0, 0, s) for s in r.found], r.n) for r in sample_rows])

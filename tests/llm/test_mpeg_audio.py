@@ -5,7 +5,7 @@ import zlib
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from codequarry.llm.mpeg_audio import crc16, header, parse, payload, read_media, stored, written_media
+from codequarry.llm.mpeg_audio import crc16, header, op9_mpeg_audio, parse, payload, read_media, stored, written_media
 
 
 def test_known_headers_and_checksum():
@@ -57,3 +57,17 @@ def test_rows(spark):
     odd = spark.createDataFrame([(1, 0, None), (2, 0, b"not audio \xff\xfb")], "doc_id long, n_bytes long, media binary")
     assert [r.n_frames for r in read_media(odd).collect()] == [0, 0]
     assert read_media(written_media(frame.limit(0))).count() == 0
+
+
+def test_offsets_in_the_query_and_other_tables(spark, tmp_path):
+    spark.createDataFrame([(1, "a" * 5_000), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for r in op9_mpeg_audio(spark, str(tmp_path)).collect():
+        media = stored(("a" * 5_000 if r.doc_id == 1 else "").encode().ljust(5_184 if r.doc_id == 1 else 192))
+        assert [int(x) for x in r.seek.split(",")] == [f.offset for f in parse(media).frames] and len(r.seek.split(",")) == r.n_frames
+    media = bytearray(stored(b"x" * 2_000))
+    good = parse(bytes(media))
+    at = media.index(b"Xing") - 23
+    media[at + 23 : at + 27] = b"none"
+    media[at + 36 : at + 54] = b"VBRI" + bytes(6) + (777).to_bytes(4, "big") + (3).to_bytes(4, "big")
+    s = parse(bytes(media))
+    assert s.table == {"bytes": 777, "frames": 3} and [f.offset for f in s.frames] == [f.offset for f in good.frames]
