@@ -3,8 +3,9 @@
 The sample (every document whose hash is divisible by SHARE, so it grows with the corpus) gives the phrases that are frequent there at a
 lowered limit. The full pass counts every word and every phrase whose two longest parts, without its last and without its first word, are
 both proposed: these are the proposed phrases and their negative border. A border phrase that turns out frequent is a failure of the
-sample: it is added to the proposals, and a further pass counts the phrases that thereby come into the border. When no failure is left,
-every frequent phrase has been counted, for all its parts are at least as frequent.
+sample: it is added to the proposals, and a further pass counts the phrases that thereby come into the border, in which it takes each of them for a failure
+as well. So one expansion closes what passes by length would close one after the other: every frequent phrase has been counted, for all its
+parts are at least as frequent.
 
 Phrases are counted as 63-bit hashes, which can only add counts of different phrases and so never hide a frequent one. Proposals travel as a
 bitmap of at most 2**28 bits; a bit set by chance makes a phrase be counted in vain, so a full bitmap costs time and changes nothing. The last
@@ -68,17 +69,23 @@ class Phrases:
             self.hash.append(h[at] & ~np.uint64(1) | np.uint64(k == longest))
             self.place.append(at)
 
-    def bordered(self, proposed: Filter | None) -> list[np.ndarray]:
+    def bordered(self, proposed: Filter | None, before: Filter | None = None) -> list[np.ndarray]:
         """For each length, whether the phrase at a place is proposed or in the border: without its last and without its first word it is
-        proposed. Every word is, and all phrases are where nothing was proposed."""
-        out = [np.ones(len(self.hash[0]), bool)]
-        for shorter, places, at in zip(self.hash, self.place, self.place[1:], strict=False):
+        proposed. Every word is, and all phrases are where nothing was proposed.
+
+        With `before`, what an earlier pass had proposed: only phrases that it didn't count, and one that is counted now stands for a proposed one in
+        those that are longer, so that no frequent phrase is left for another pass.
+        """
+        out = [np.full(len(self.hash[0]), before is None)]
+        old = self.bordered(before) if before else None
+        for k, (shorter, places, at) in enumerate(zip(self.hash, self.place, self.place[1:], strict=False), 1):
             if proposed is None:
                 out.append(np.ones(len(at), bool))
                 continue
             known = np.zeros(len(self.hash[0]) + 1, bool)
-            known[places] = proposed(shorter)
-            out.append(known[at] & known[at + 1])
+            known[places] = proposed(shorter) if old is None else proposed(shorter) | out[-1]
+            here = known[at] & known[at + 1]
+            out.append(here if old is None else here & ~old[k])
         return out
 
 
@@ -135,15 +142,13 @@ class Bitmap:
 
 
 def _counted(docs: DataFrame, longest: int, new: Bitmap | None = None, old: Bitmap | None = None) -> DataFrame:
-    """h, n: how often the phrases occur that are proposed in `new` or in its border, but for those of which that held in `old`."""
+    """h, n: how often the phrases occur that are proposed in `new` or in its border; with `old`, those that Phrases.bordered() adds to it."""
     filters = [b.filter() for b in (new, old) if b]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, held, size = [f() for f in filters], [], 0
         for phrases, _ in _slices(batches, longest):
-            wanted = phrases.bordered(made[0] if made else None)
-            if len(made) > 1:
-                wanted = [now & ~before for now, before in zip(wanted, phrases.bordered(made[1]), strict=True)]
+            wanted = phrases.bordered(*(made or [None]))
             for h, w in zip(phrases.hash, wanted, strict=True):
                 held.append(h[w])
                 size += len(held[-1])
@@ -210,16 +215,13 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     whole, sample = rows.drop("dealt"), rows.where("dealt = 0").drop("dealt")
     lowered = max(1, least // (2 * share))
     proposed = written(_counted(sample, longest).where(F.col("n") >= lowered).select("h"), "proposed")
-    known, before = Bitmap(proposed), None
+    known = Bitmap(proposed)
     dropped(proposed)
-    found: DataFrame | None = None
-    while True:
-        counts = written(_counted(whole, longest, known, before).where(F.col("n") >= least).select("h"), "counted")
-        found = counts if found is None else found.unionByName(counts)
-        failed = _without(counts.where("h & 1 = 0"), known)
-        if failed.isEmpty():
-            break
-        known, before = Bitmap(failed, known), known
+    count = lambda *bitmaps: written(_counted(whole, longest, *bitmaps).where(F.col("n") >= least).select("h"), "counted")
+    found = count(known)
+    failed = _without(found.where("h & 1 = 0"), known)
+    if not failed.isEmpty():
+        found = found.unionByName(count(Bitmap(failed, known), known))
     out = written(_spelled(whole, Bitmap(found.distinct()), longest).where((F.col("k") == 0) | (F.col("n") >= least)), "phrases")
     dropped(found)
     return out
