@@ -71,6 +71,11 @@ def version_key(name: Column) -> Column:
     return F.transform(F.regexp_extract_all(name, F.lit("([0-9]+)"), F.lit(1)), lambda x: F.struct(F.length(plain(x)).alias("length"), plain(x).alias("digits")))
 
 
+def metadata_field(metadata: Column | str, name: str) -> Column:
+    """One field of a unit's metadata, which is a JSON object; null where there is none, or no such object."""
+    return F.get_json_object(metadata, f"$.{name}")
+
+
 def class_name(entry: Column) -> Column:
     return F.regexp_replace(F.replace(entry, F.lit("/"), F.lit(".")), r"\.class$", "")
 

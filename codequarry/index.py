@@ -20,7 +20,7 @@ from .operators.libraries import dependency_of, interface_report, traversed
 from .operators.maintain import deduplicated, last_wins
 from .operators.search import nearest, relations_of, with_relations
 from .plans.moves import moved, moves
-from .plans.sync import planned
+from .plans.sync import outcome, planned
 from .schema import DEPENDENCIES, KEYS, RELATIONS, UNIT_EMBEDDINGS, UNITS, ErrorCode, QuarryError
 from .sources.files import Parser, listed, root_rules, scan, units
 from .sources.tree import source_tree
@@ -124,7 +124,8 @@ class Index:
         }
         self.store.publish(before, tables, {_WIDTH: str(width), _MODEL: self.model})
         errors = found.where("error IS NOT NULL").select("path", "error")
-        return SyncResult(scanned.count(), errors.count(), errors)
+        counts = outcome(scanned, errors).first()
+        return SyncResult(counts.indexed_files, counts.failed, errors)
 
     def _files(self, source: str, rules: Iterable[str] | None, paths: list[str] | None = None) -> DataFrame:
         if paths is None:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import first_line
+from ..functions.text import first_line, metadata_field
 from .maintain import reachable
 
 # Where a relative import of JavaScript or TypeScript may lead, best first. The first three replace a suffix.
@@ -50,7 +50,7 @@ def is_public(language: str) -> Column:
 
 def _wanted(units: DataFrame, language: str) -> DataFrame:
     """from_id (a path) and the array of paths that an import in it may mean, best first."""
-    kind = F.get_json_object("metadata", "$.node_type")
+    kind = metadata_field("metadata", "node_type")
     here, code = folder(F.col("path")), F.coalesce("code", F.lit(""))
     modules = units.where(F.col("kind") == "module")
     if language == "rust":
@@ -118,7 +118,7 @@ def interface_reports(units: DataFrame, language: str, order: DataFrame | None =
         order = order.withColumn("_file", nth).where(F.col("_file") <= n_files).drop("_file")
     if language == "c_sharp":
         order = order.where(~F.col("path").rlike("(obj|bin)/"))
-    line = F.coalesce(F.get_json_object("metadata", "$.start_line").cast("int"), F.lit(0))
+    line = F.coalesce(metadata_field("metadata", "start_line").cast("int"), F.lit(0))
     public = units.where(F.coalesce(is_public(language), F.lit(False))).withColumn("_line", line)
     public = public.withColumn("_nth", F.row_number().over(Window.partitionBy("library", "path").orderBy("_line", "id"))).where(F.col("_nth") <= per_file)
     shown = public.join(order, ["library", "path"])

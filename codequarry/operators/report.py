@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import metadata_field
+
 
 def qualified_names(rows: DataFrame, scope: str, name: str, order: list[str], out: str = "qualified_name") -> DataFrame:
     """scope.name, or scope.name#k for the k-th of a name in its scope."""
@@ -39,7 +41,7 @@ def library_api(units: DataFrame, library: str, files: int = 5, most: int = 100)
     places = shown.where(stub | ~F.col("path").contains("/"))
     first = places.select("path", F.struct((~stub).alias("module"), name != "__init__.py", name, F.col("path")).alias("place")).distinct().orderBy("place").limit(files)
     first = first.withColumn("_module", F.min("place.module").over(Window.partitionBy(F.lit(1)))).where("place.module = _module").drop("_module")
-    at = F.struct("place", F.get_json_object("metadata", "$.start_line").cast("int"), F.col("id")).alias("at")
+    at = F.struct("place", metadata_field("metadata", "start_line").cast("int"), F.col("id")).alias("at")
     top = shown.join(F.broadcast(first), "path").select(at, name.alias("file"), "kind", "name", "signature").orderBy("at").limit(most)
     rows = F.sort_array(F.collect_list(F.struct("at", "file", "kind", "name", "signature")))
     lines = F.flatten(F.transform("rows", lambda x, k: F.concat(

@@ -51,3 +51,9 @@ def planned(found: DataFrame, stored: DataFrame, embedded: DataFrame, scanned: D
     kept = stored.join(stale, "id", "left_anti").join(new, "id", "left_anti")
     units = kept.withColumns({"distill": F.lit(False), "embed": F.lit(False)}).unionByName(both, allowMissingColumns=True)
     return Plan(units, both, both.where("embed"), stale, rejects)
+
+
+def outcome(files: DataFrame, failed: DataFrame, *by: str) -> DataFrame:
+    """indexed_files, failed: how many files (path) were looked at and how many of them are in failed (path), in all or for each value of `by`."""
+    both = files.join(failed.select("path", F.lit(1).alias("_bad")).distinct(), "path", "left")
+    return both.groupBy(*by).agg(F.count(F.lit(1)).alias("indexed_files"), F.count("_bad").alias("failed"))

@@ -21,6 +21,7 @@ from .operators import maintain as M
 from .operators import report as R
 from .operators.search import nearest, nearest_each, relations_of, with_relations
 from .plans.moves import clashing, moved, moves
+from .plans.sync import outcome
 from .session import shared_dir
 from .sources.files import ignored_by
 from .store import Store
@@ -438,7 +439,7 @@ def import_resolution(spark, sf_dir):
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
 def json_meta(spark, sf_dir):
-    return _t(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+    return _t(spark, sf_dir, "events").select("event_id", T.metadata_field("props", "k").alias("k"))
 
 
 @query("SELECT to_json({'id': doc_id, 'path': source, 'kind': lang, 'n': n_chars}) AS hit FROM documents")
@@ -469,5 +470,6 @@ def masked_mean_pool(spark, sf_dir):
 
 @query("SELECT source, count(*) AS indexed_files, count(*) FILTER (toxic = 1) AS failed FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source")
 def sync_summary(spark, sf_dir):
-    rows = _t(spark, sf_dir, "documents").select("doc_id", "source").join(_t(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id", "left")
-    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("indexed_files"), F.count_if(F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("failed"))
+    """Documents are files that fail where they are toxic."""
+    files = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "source")
+    return outcome(files, _t(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("path")), "source")
