@@ -31,7 +31,7 @@ LEAST, LONGEST, TOP, SHARE = 100, 5, 2_000, 16
 #: Copies of the count of a single word, for a common one is a part of very many candidates.
 SALTS = 32
 #: Bytes of text that are hashed at once, hashes that are added up at once, phrases that a task keeps the words of, bits of a bitmap at least and at most.
-_TEXT, _HASHES, _SPELLED, _BITS = 1 << 20, 3 << 20, 200_000, (1 << 20, 1 << 28)
+_TEXT, _HASHES, _SPELLED, _BITS = 1 << 20, 2 << 20, 100_000, (1 << 20, 1 << 28)
 
 _BREAKS = re.compile(rb"[.,;:!?\x0A-\x0D]")
 _BREAK = np.array([bool(_BREAKS.match(bytes([b]))) for b in range(256)])
