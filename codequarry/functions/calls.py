@@ -78,8 +78,9 @@ def asked_once(
     asked.join(_answers(spark, folder, kind, model), "_hash", "left_anti").write.parquet(todo)
     left = spark.read.schema(asked.schema).parquet(todo)
     waves = -(-left.count() // (tasks * wave * batch))
-    if waves > 1:
-        left.withColumn("wave", F.pmod(F.xxhash64("_hash"), F.lit(waves)).cast("int")).repartition("wave").write.partitionBy("wave").parquet(f"{todo}-waves")
+    if waves > 1:  # a wave is `tasks` files, each written by a task of its own
+        file = F.pmod(F.xxhash64("_hash"), F.lit(waves * tasks)).cast("int")
+        left.repartitionById(waves * tasks, file).withColumn("wave", F.floor(file / tasks).cast("int")).write.partitionBy("wave").parquet(f"{todo}-waves")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         error = None

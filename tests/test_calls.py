@@ -64,6 +64,15 @@ def test_equal_texts_are_sent_once(spark, service, tmp_path):
     assert len(service.texts) == 51
 
 
+def test_no_task_gathers_a_wave(spark, service, tmp_path):
+    """Each wave of requests was written by one task, so as one file, before."""
+    rows = frame(spark, 400)
+    got = embedded_once(rows, HttpEmbedder(service.base, "m"), f"{tmp_path}/a", "m", 2, batch=10, callers=4, wave=2)
+    assert got.where("vec IS NOT NULL").count() == 400 and sorted(service.texts) == sorted("x" * k for k in range(400))
+    files = [len(list(w.glob("*.parquet"))) for w in tmp_path.glob("a-todo/*-waves/wave=*")]
+    assert files == [4] * 5
+
+
 def test_what_a_dying_service_answered_is_kept(spark, service, tmp_path):
     embed, rows = HttpEmbedder(service.base, "m"), frame(spark, 160)
     service.left = 10
