@@ -44,18 +44,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Spark's setting to delete an execution's shuffle files when it ends.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's setting for the rows that a Python worker gets at once.
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df to a new table in the shared folder and read it back. The shuffle files of the write go at its end."""
+def written(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
+    """Cut the lineage: write df to a new table in the shared folder and read it back. The shuffle files of the write go at its end.
+
+    batch: the rows that Python workers get at once meanwhile, for rows with long texts.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    wanted = {_CLEANUP: "true"} | ({_BATCH: str(batch)} if batch else {})
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

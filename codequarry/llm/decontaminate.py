@@ -21,10 +21,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, text_bytes, text_hash
+from .common import slices, table, text_bytes, text_hash, written
 from .words import ALNUM, Words
 
 #: Words of a chunk; chunks of a window; words of a benchmark segment; most items and most text bytes of a search block; most dimensions.
@@ -98,9 +98,29 @@ def _answer(text: bytes, given: bytes | None) -> bytes:
     return b" ".join(words[-max(1, len(words) // 4) :])
 
 
-def blocks(items: DataFrame, answer: str | None = None, size: int = BLOCK, most_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
-    """Read items (item_id, text) block by block; items without words are passed over."""
+def ordered(items: DataFrame, answer: str | None = None) -> DataFrame:
+    """item_id, text, answer of items (item_id, text), sorted and written once; `at` ascends in that order, and its upper bits are the part of the sort."""
     rows = items.select(F.col("item_id").cast("long"), F.col("text").cast("string"), (F.col(answer) if answer else F.lit(None)).cast("string").alias("answer"))
+    return written(rows.where("text IS NOT NULL").orderBy("item_id", "text").withColumn("at", F.monotonically_increasing_id()), "items")
+
+
+def _in_order(rows: DataFrame, size: int, most_bytes: int) -> Iterator[Row]:
+    """The rows of ordered(): a job for as many parts as fit into a block, and not for each part."""
+    part = F.shiftright("at", 33)
+    parts = rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).orderBy("part").collect()  # a row for each part of the sort
+    groups: list[list] = []
+    for p in parts:
+        if groups and groups[-1][2] + p.n <= size and groups[-1][3] + p.bytes <= most_bytes:
+            groups[-1][1:] = [p.part, groups[-1][2] + p.n, groups[-1][3] + p.bytes]
+        else:
+            groups.append([p.part, p.part, p.n, p.bytes])
+    for first, last, n, total in groups:
+        some = rows.where((F.col("at") >= first << 33) & (F.col("at") < (last + 1) << 33))
+        yield from sorted(some.collect(), key=lambda r: r.at) if n <= size and total <= most_bytes else some.orderBy("at").toLocalIterator()
+
+
+def blocks(items: DataFrame, size: int = BLOCK, most_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
+    """Read items of ordered() block by block; items without words are passed over."""
     held: list = []
     total = 0
 
@@ -111,7 +131,7 @@ def blocks(items: DataFrame, answer: str | None = None, size: int = BLOCK, most_
         keep = [k for k in range(len(held)) if len(cut(w, k))]
         return Block([held[k][0] for k in keep], [cut(w, k) for k in keep], [cut(a, k) for k in keep])
 
-    for r in rows.where("text IS NOT NULL").orderBy("item_id", "text").toLocalIterator():
+    for r in _in_order(items, size, most_bytes):
         text = r.text.encode()
         held.append((r.item_id, text, _answer(text, r.answer and r.answer.encode())))
         total += len(text)
@@ -260,21 +280,21 @@ def contaminated(docs: DataFrame, items: DataFrame, answer: str | None = None, r
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_hash().alias("text_hash"))
-    vocab = np.zeros(0, np.uint64)
-    for b in blocks(items, answer, block):
+    items, vocab = ordered(items, answer), np.zeros(0, np.uint64)
+    for b in blocks(items, block):
         vocab = np.unique(np.concatenate([vocab, *b.words]))
     if not len(vocab):
         return spark.createDataFrame([], _FOUND)
     dimensions = Dimensions(vocab)
 
     def segments() -> Iterator[np.ndarray]:
-        for b in blocks(items, answer, block):
+        for b in blocks(items, block):
             yield from (words for _, words in b.segments(dimensions))
 
     weight = inverse_frequencies(docs, dimensions, segments)
     vectors = (latent_space(docs, dimensions, weight, segments, rank) * weight[:, None]).astype(np.float32)
     space, out = spark.sparkContext.broadcast((dimensions, vectors)), None
-    for b in blocks(items, answer, block):
+    for b in blocks(items, block):
         if b.ids:
             found = _search(docs, space, spark.sparkContext.broadcast(b), cosine)
             out = found if out is None else out.unionByName(found)

@@ -30,6 +30,8 @@ SEED, SHINGLE = 42, 5
 NUM, DEN = 4, 5
 #: Documents that the frequency of shingles is estimated from, and the most shingles whose frequency is kept.
 SAMPLE, FREQUENT = 20_000, 50_000
+#: Rows with texts that a Python worker gets at once.
+BATCH = 1000
 
 
 def _hashes(text: bytes | None, shingle: int) -> np.ndarray:
@@ -144,7 +146,7 @@ def similar_texts(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTA
     without doc_id links nothing, has no component and is first. An empty table gives an empty result. distance: the bits by which
     SimHash links may differ; it decides on the cost alone.
     """
-    rows = written(_keyed(docs, shingle, *_frequent(docs, shingle, sample, frequent)), "shingled")
+    rows = written(_keyed(docs, shingle, *_frequent(docs, shingle, sample, frequent)), "shingled", BATCH)
     counts = rows.where("doc_id IS NOT NULL").groupBy("key", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
     nodes = counts.groupBy("key").agg(F.min(F.struct("doc_id", "text_hash", "n")).alias("first"))
     nodes = written(nodes.select("key", F.struct("first.doc_id", "first.text_hash").alias("lead"), "first.n"), "nodes")
@@ -158,7 +160,7 @@ def similar_texts(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTA
     codes = written(mine.groupBy("fp").agg(F.min("key").alias("node")), "codes")
     equal = mine.select("key", "fp").join(codes, "fp").where("key <> node").select(F.col("key").alias("a"), F.col("node").alias("b"))
     close = equal.unionByName(links(codes, distance)).distinct()
-    near = written(_similar(close, texts, shingle), "similar")
+    near = written(_similar(close, texts, shingle), "similar", BATCH)
 
     # Size and place in one number, which is all that the only large shuffle carries besides token, key and component.
     spread = _components(mine.select("key", "size", "prefix"), near).select("key", "of", "size", F.posexplode("prefix").alias("pos", "token"))
@@ -173,7 +175,7 @@ def similar_texts(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTA
     enough = f"{NUM + DEN} * least(size - pos, size_b - pos_b) >= {NUM} * (size + size_b)"
 
     star = index.where(f"of <> low_of AND {enough}").select(F.greatest("key", "low").alias("a"), F.least("key", "low").alias("b")).distinct()
-    near = near.unionByName(written(_similar(star, texts, shingle), "similar"))
+    near = near.unionByName(written(_similar(star, texts, shingle), "similar", BATCH))
     part = written(_components(index.select("token", "key", "size", "pos"), near), "prefixes")
     dropped(index)
     open_ = part.groupBy("token").agg(F.min("of").alias("m"), F.max("of").alias("n")).where("m < n").select("token")
@@ -181,7 +183,7 @@ def similar_texts(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTA
     right = left.select("token", F.col("key").alias("b"), F.col("size").alias("size_b"), F.col("pos").alias("pos_b"), F.col("of").alias("of_b"))
     pairs = written(left.join(right, "token").where(f"key < b AND of <> of_b AND {enough}").select(F.col("key").alias("a"), "b").distinct(), "pairs")
     dropped(part)
-    more = written(_similar(pairs, texts, shingle), "similar")
+    more = written(_similar(pairs, texts, shingle), "similar", BATCH)
     dropped(mine)
 
     named = _components(nodes.drop("n"), near.unionByName(more))

@@ -101,3 +101,26 @@ def test_dimensions():
     exact, hashed = Dimensions(vocab), Dimensions(vocab, most=512)
     assert (exact.of(vocab) == np.arange(len(vocab))).all() and (exact.of(vocab + np.uint64(1)) < 0).all()
     assert hashed.size == 512 and hashed.of(vocab).min() >= 0 and hashed.of(vocab).max() < 512
+
+
+def test_items_are_read_by_few_jobs(spark):
+    """A job for each of 40 parts of the sort was run before, four times over; order and blocks are as sorted."""
+    from codequarry.llm.decontaminate import blocks, ordered
+
+    items = spark.createDataFrame([(k % 97, f"item {k} has words") for k in range(200)] + [(5, None)], "item_id long, text string")
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        rows = ordered(items)
+        spark.sparkContext.setJobGroup("items", "items")
+        got = [b.ids for b in blocks(rows)], [b.ids for b in blocks(rows, 30)]
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("items"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = sorted(k % 97 for k in range(200))
+    assert [len(b) for b in got[1]] == [30] * 6 + [20] and len(got[0]) == 1
+    assert got[0][0] == want and sum(got[1], []) == want and jobs < 40
