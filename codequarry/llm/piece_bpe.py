@@ -1,19 +1,20 @@
 """SentencePiece BPE by backtracking: exact merge-type encoding without a merge queue over the text, and decoding.
 
 A sequence of pieces is the model's encoding exactly if each piece encodes to itself and each adjacent pair re-merges to itself. So an
-encoder can take the longest piece at each position (Aho-Corasick finds them in one scan), keep it if it is compatible with the piece
-before it, else try the next shorter prefix, and step back where none is left; a bitfield marks positions from which nothing works, so
-that each is given up once. Compatibility of two pieces comes from merging their joined text again, and is remembered.
+encoder can take the longest piece at each position (a trie of the pieces gives it), keep it if it is compatible with the piece before
+it, else try the next shorter prefix, and step back where none is left; positions from which nothing works are marked, so that each is
+given up once. Compatibility of two pieces comes from merging their joined text again, and is remembered.
 
-Texts are cut where no piece of the vocabulary reaches across: before a word mark that follows another character, and around
-characters that are in no piece. Encodings of such units are remembered, up to a bound.
+Texts are cut where no piece of the vocabulary reaches across: before a word mark that follows another character, and between two
+characters of which no chain of neighbours in pieces leads from one to the other, such as a letter and a comma. Encodings of such units
+are remembered, up to a bound. Spaces stand for word marks, so that texts of Latin letters keep one byte for each character.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -25,8 +26,43 @@ from pyspark.sql import functions as F
 from .common import slices, table, text_bytes
 
 MARK = "▁"
-#: Remembered units and pairs of one worker.
+#: Remembered units and pairs of one worker, twice: those used since the last clearing, and those from before.
 REMEMBERED = 300_000
+#: Longer units are not remembered.
+SHORT = 64
+
+
+class Remembered(dict):
+    """Values by key, worked out when first asked for. When full, all become the older half, which goes when the next one is full."""
+
+    def __init__(self, work_out: Callable):
+        self.work_out, self.older = work_out, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.work_out(key)
+            if len(key) >= SHORT:
+                return value
+        if len(self) >= REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+def unit_pattern(pieces: Iterable[str]) -> re.Pattern:
+    """Matches the units of a text one after the other: word marks and the characters after them that pieces can join."""
+    if any(" " in p.lstrip(" ") for p in pieces):
+        return re.compile("(?s).+")
+    joined: dict[str, set[str]] = {}
+    for a, b in {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}:
+        if a != " ":
+            both = joined.get(a, {a}) | joined.get(b, {b})
+            joined |= dict.fromkeys(both, both)
+    kinds = sorted({min(s): s for s in joined.values()}.values(), key=lambda s: (-len(s), min(s)))
+    runs = [f"[{''.join(map(re.escape, sorted(s)))}]+" for s in kinds]
+    return re.compile(f" *(?:{'|'.join([*runs, '[^ ]'])})| +")
 
 
 class PieceModel:
@@ -44,25 +80,22 @@ class PieceModel:
         kinds = proto.ModelProto.SentencePiece
         if any(p.type in (kinds.USER_DEFINED, kinds.UNUSED) for p in model.pieces):
             raise ValueError("models with user-defined or unused pieces are not supported")
-        self.id = {p.piece: i for i, p in enumerate(model.pieces) if p.type == kinds.NORMAL}
-        self.score = {p.piece: p.score for p in model.pieces if p.type == kinds.NORMAL}
-        self.byte_id = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == kinds.BYTE}
-        self.bytes_of = {str(i): p.piece.replace(MARK, " ").encode() if p.type == kinds.NORMAL else b"" for i, p in enumerate(model.pieces)}
-        self.bytes_of |= {str(i): bytes([b]) for b, i in self.byte_id.items()}
-        inner = any(MARK in p.lstrip(MARK) for p in self.id)
-        chars = set("".join(self.id))
-        lone = [c for c in "\n\t" if c not in chars]
-        self.units = re.compile("(?s).+" if inner else "[{0}]|{1}*[^{1}{0}]+|{1}+".format("".join(map(re.escape, lone)) or "\n", MARK))
-        if not inner and not lone:
-            self.units = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.shorter: dict[str, str] = {}
-        self.known: dict[str, str] = {}
+        normal = {p.piece.replace(MARK, " "): (i, p.score) for i, p in enumerate(model.pieces) if p.type == kinds.NORMAL}
+        self.score = {p: score for p, (_, score) in normal.items()}
+        byte_id = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == kinds.BYTE}
+        self.bytes_of = {str(i): b"" for i in range(len(model.pieces))} | {str(i): p.encode() for p, (i, _) in normal.items()} | {str(i): bytes([b]) for b, i in byte_id.items()}
+        self.id = {p: str(i) for p, (i, _) in normal.items()}
+        self.byte_id = {b: str(i) for b, i in byte_id.items()}
+        self.units = unit_pattern(normal)
+        self.known = Remembered(self.unit_ids)
+        self.pairs = Remembered(lambda pair: self.merged(pair[0] + pair[1]) == list(pair))
+        self.shorter = Remembered(self.prefix)
         self.trie = ahocorasick.Automaton()
-        for p in self.id:
+        self.most = 1
+        for p in normal:
             if len(p) == 1 or self.merged(p) == [p]:  # a piece that merging can't make is never used
-                self.trie.add_word(p, len(p))
-        self.trie.make_automaton()
+                self.trie.add_word(p, p)
+                self.most = max(self.most, len(p))
 
     def merged(self, text: str) -> list[str]:
         """Merge adjacent parts of a short text, the best-scored first and the leftmost of equals."""
@@ -78,75 +111,50 @@ class PieceModel:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def compatible(self, a: str, b: str) -> bool:
-        """Whether a and b stay as they are when their joined text is merged again."""
-        found = self.pairs.get((a, b))
-        if found is None:
-            if len(self.pairs) >= REMEMBERED:
-                self.pairs.clear()
-            found = self.pairs[a, b] = self.merged(a + b) == [a, b]
-        return found
-
     def prefix(self, piece: str) -> str:
         """The longest shorter piece that `piece` starts with, or nothing."""
-        found = self.shorter.get(piece)
-        if found is None:
-            n = len(piece) - 1
-            while n and piece[:n] not in self.trie:
-                n -= 1
-            found = self.shorter[piece] = piece[:n]
-        return found
+        return next((piece[:n] for n in range(len(piece) - 1, 0, -1) if piece[:n] in self.trie), "")
+
+    def longest(self, text: str) -> str:
+        """The longest piece that a text starts with, or its first character."""
+        found = text[: self.trie.longest_prefix(text)]
+        return found if found in self.trie else self.shorter[found] or text[0]
 
     def unit(self, text: str) -> list[str]:
         """The pieces of one unit; a character outside the vocabulary is a part of its own."""
         if text in self.trie:
             return [text]
-        longest = [1] * len(text)
-        for end, n in self.trie.iter(text):
-            at = end - n + 1
-            if n > longest[at]:
-                longest[at] = n
+        pairs, shorter, longest, most = self.pairs, self.shorter, self.longest, self.most
         out: list[str] = []
-        pos, failed, size = 0, 0, len(text)
-        part = text[: longest[0]]
+        failed: set[int] = set()
+        pos, size, last = 0, len(text), ""
+        part = longest(text[:most])
         while True:
             end = pos + len(part)
-            if not failed >> end & 1 and (not out or self.compatible(out[-1], part)):
+            if end not in failed and (not last or pairs[last, part]):
                 out.append(part)
-                pos = end
-                if pos == size:
+                if end == size:
                     return out
-                part = text[pos : pos + longest[pos]]
+                pos, last = end, part
+                part = longest(text[pos : pos + most])
                 continue
-            part = self.prefix(part)
+            part = shorter[part]
             if not part:
-                failed |= 1 << pos
+                failed.add(pos)
                 part = out.pop()
                 pos -= len(part)
+                last = out[-1] if out else ""
 
     def unit_ids(self, text: str) -> str:
-        """Ids of one unit as decimal text joined by commas."""
-        ids = []
-        for p in self.unit(text):
-            i = self.id.get(p)
-            ids += [i] if i is not None else [self.byte_id[b] for b in p.encode()]
-        return ",".join(map(str, ids))
+        """Ids of one unit as decimal text joined by commas; a character outside the vocabulary has those of its bytes."""
+        known = self.id
+        return ",".join([known[p] if p in known else ",".join([self.byte_id[b] for b in p.replace(" ", MARK).encode()]) for p in self.unit(text)])
 
     def encode(self, text: str) -> str:
         """Ids of a text as decimal text joined by commas."""
         if not text:
             return ""
-        known, out = self.known, []
-        for u in self.units.findall(MARK + text.replace(" ", MARK)):
-            ids = known.get(u)
-            if ids is None:
-                ids = self.unit_ids(u)
-                if len(u) < 64:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[u] = ids
-            out.append(ids)
-        return ",".join(out)
+        return ",".join(map(self.known.__getitem__, self.units.findall(" " + text.replace(MARK, " "))))
 
     def decode(self, ids: str) -> str:
         """Text of ids joined by commas: marks become spaces, the leading one goes, bytes that aren't UTF-8 become U+FFFD."""
