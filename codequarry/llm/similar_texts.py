@@ -9,6 +9,10 @@ from a sample, which decides on the cost alone and never on the result. Every li
 Texts with the same set are one node. After the SimHash links, a round checks each node against the centre of each of its shingles: of the
 nodes that have the shingle, the one with the fewest rarer shingles, which in a group of near copies is the likest to all others. A last
 round checks the pairs that are still in different components. So a large group of near copies isn't compared pair by pair.
+
+Before texts meet, a pair's sketches must allow the similarity: bits of the sets' parities, of which two sets differ in no more than in
+elements. They leave a small part of the pairs of a family of less similar texts. Texts are read from the documents again, only those
+of the pairs that are left, so that the tables of this stage hold none.
 """
 
 from __future__ import annotations
@@ -32,6 +36,8 @@ NUM, DEN = 4, 5
 SAMPLE, FREQUENT = 20_000, 50_000
 #: Rows with texts that a Python worker gets at once.
 BATCH = 1000
+#: The most bits of a sketch; below that it has two to four for each shingle.
+WIDEST = 1 << 15
 
 
 def _hashes(text: bytes | None, shingle: int) -> np.ndarray:
@@ -59,8 +65,25 @@ def _fingerprint(found: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(found), bitorder="little").view("<i8")[0])
 
 
+def _sketch(found: np.ndarray) -> bytes:
+    """A power of two of bits, each the parity of the number of shingles that fall on it."""
+    bits = min(WIDEST, max(64, 1 << (2 * len(found)).bit_length()))
+    return np.packbits((np.bincount(found & (bits - 1), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _apart(one: bytes, other: bytes) -> int:
+    """Bits in which two sketches differ: no more than the shingles that are in one set only. The longer one is folded to the other's length."""
+    short, long = sorted((one, other), key=len)
+    x, bits = int.from_bytes(long, "little"), 8 * len(long)
+    while bits > 8 * len(short):
+        bits //= 2
+        x = (x >> bits) ^ (x & ((1 << bits) - 1))
+    return (x ^ int.from_bytes(short, "little")).bit_count()
+
+
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """doc_id, text, text_hash of every row."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", text_hash())
 
 
 def _frequent(docs: DataFrame, shingle: int, sample: int, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,15 +94,18 @@ def _frequent(docs: DataFrame, shingle: int, sample: int, most: int) -> tuple[np
             found = [shingles(t, shingle) for t in text_bytes(b)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *found]))], names=["token"])
 
-    some = _texts(docs).where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, docs.count() // max(1, sample)))) == 0)
+    some = _texts(docs).select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, docs.count() // max(1, sample)))) == 0)
     counts = some.mapInArrow(run, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    rows = counts.where("n > 2").orderBy(F.desc("n"), "token").limit(most).orderBy("token").toPandas()
+    kept = written(counts.where("n > 2").orderBy(F.desc("n"), "token").limit(most), "frequent")
+    rows = kept.orderBy("token").toPandas()
+    dropped(kept)
     return rows["token"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
 
 
 def _keyed(docs: DataFrame, shingle: int, tokens: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """doc_id, text, text_hash, key (a hash of the set), fp (the SimHash), size and prefix of every row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("text_hash", pa.int64()), ("key", pa.int64()), ("fp", pa.int64()), ("size", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+    """doc_id, text_hash, key (a hash of the set), fp (the SimHash), size, prefix and sketch of every row."""
+    kinds = [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("key", pa.int64()), ("fp", pa.int64()), ("size", pa.int64()), ("prefix", pa.list_(pa.int64())), ("sketch", pa.binary())]
+    schema = pa.schema(kinds)
 
     def prefix(found: np.ndarray) -> np.ndarray:
         n = len(found)
@@ -100,16 +126,30 @@ def _keyed(docs: DataFrame, shingle: int, tokens: np.ndarray, counts: np.ndarray
             ends = np.cumsum([0, *map(len, first)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *first])))
             yield record(
-                schema, doc_id=b.column("doc_id"), text=b.column("text").cast(pa.string()), text_hash=b.column("text_hash"), key=pa.array(key), fp=pa.array(fp, pa.int64()),
-                size=pa.array([len(f) for f in found], pa.int64()), prefix=lists,
+                schema, doc_id=b.column("doc_id"), text_hash=b.column("text_hash"), key=pa.array(key), fp=pa.array(fp, pa.int64()),
+                size=pa.array([len(f) for f in found], pa.int64()), prefix=lists, sketch=pa.array(map(_sketch, found), pa.binary()),
             )
 
-    rows = _texts(docs).withColumn("text_hash", text_hash())
-    return rows.mapInArrow(run, "doc_id long, text string, text_hash long, key long, fp long, size long, prefix array<long>")
+    return _texts(docs).mapInArrow(run, "doc_id long, text_hash long, key long, fp long, size long, prefix array<long>, sketch binary")
+
+
+def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of keys whose sketches (key, size, sketch) don't rule out that their sets are similar enough."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            both = zip(*(b.column(c).to_pylist() for c in ("size", "size_b", "sketch", "sketch_b")), strict=True)
+            keep = [i for i, (m, n, one, other) in enumerate(both) if (NUM + DEN) * _apart(one, other) <= (DEN - NUM) * (m + n)]
+            yield b.select(["a", "b"]).take(pa.array(keep, pa.int64())).cast(schema)
+
+    one = pairs.join(nodes.select(F.col("key").alias("b"), F.col("size").alias("size_b"), F.col("sketch").alias("sketch_b")), "b")
+    two = one.join(nodes.select(F.col("key").alias("a"), "size", "sketch"), "a")
+    return two.select("a", "b", "size", "size_b", "sketch", "sketch_b").mapInArrow(run, "a long, b long")
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """The pairs (a, b) of keys whose texts (key, text) are similar enough."""
+    """The pairs (a, b) of keys whose texts (key, text) are similar enough, as a table. Texts of no pair are filtered out where they are read."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,9 +166,13 @@ def _similar(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
                     keep.append(i)
             yield b.select(["a", "b"]).take(pa.array(keep, pa.int64())).cast(schema)
 
-    one = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("other")), "b")
-    two = one.join(texts.select(F.col("key").alias("a"), "text"), "a")
-    return two.select("a", "b", "text", "other").mapInArrow(run, "a long, b long")
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    asked = written(texts.join(keys, "key", "left_semi"), "asked")
+    one = pairs.join(asked.select(F.col("key").alias("b"), F.col("text").alias("other")), "b")
+    two = one.join(asked.select(F.col("key").alias("a"), "text"), "a")
+    out = written(two.select("a", "b", "text", "other").mapInArrow(run, "a long, b long"), "similar", BATCH)
+    dropped(asked)
+    return out
 
 
 def _components(rows: DataFrame, edges: DataFrame) -> DataFrame:
@@ -150,32 +194,37 @@ def similar_texts(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTA
     counts = rows.where("doc_id IS NOT NULL").groupBy("key", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
     nodes = counts.groupBy("key").agg(F.min(F.struct("doc_id", "text_hash", "n")).alias("first"))
     nodes = written(nodes.select("key", F.struct("first.doc_id", "first.text_hash").alias("lead"), "first.n"), "nodes")
-    # One row for each key; the texts of the few keys whose leading row occurs several times are all that is shuffled for that.
-    leads = rows.join(nodes.select("key", "lead.*", "n"), ["doc_id", "key", "text_hash"]).select("key", "fp", "size", "prefix", "text", "n")
-    mine = written(leads.where("n = 1").unionByName(leads.where("n > 1").dropDuplicates(["key"])).drop("n"), "texts")
+    # One row for each key; what few keys have whose leading row occurs several times is all that is shuffled for that.
+    leads = rows.join(nodes.select("key", "lead.*", "n"), ["doc_id", "key", "text_hash"]).select("key", "fp", "size", "prefix", "sketch", "n")
+    mine = written(leads.where("n = 1").unionByName(leads.where("n > 1").dropDuplicates(["key"])).drop("n"), "sets")
     ids = written(rows.select("doc_id", "text_hash", "key"), "keys")
     dropped(rows)
-    texts = mine.select("key", "text")
+    texts = _texts(docs).join(nodes.select("key", "lead.*"), ["doc_id", "text_hash"]).groupBy("doc_id", "text_hash", "key").agg(F.min("text").alias("text")).select("key", "text")
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        left = written(_likely(pairs, mine), "likely", BATCH)
+        found = _similar(left, texts, shingle)
+        dropped(left)
+        return found
 
     codes = written(mine.groupBy("fp").agg(F.min("key").alias("node")), "codes")
     equal = mine.select("key", "fp").join(codes, "fp").where("key <> node").select(F.col("key").alias("a"), F.col("node").alias("b"))
-    close = equal.unionByName(links(codes, distance)).distinct()
-    near = written(_similar(close, texts, shingle), "similar", BATCH)
+    near = checked(equal.unionByName(links(codes, distance)).distinct())
 
-    # Size and place in one number, which is all that the only large shuffle carries besides token, key and component.
-    spread = _components(mine.select("key", "size", "prefix"), near).select("key", "of", "size", F.posexplode("prefix").alias("pos", "token"))
-    spread = spread.select("token", "key", "of", (F.shiftleft("size", 32) + F.col("pos")).alias("at"))
+    # Size and place in one number, which is all that the only large shuffle carries besides token and key.
+    spread = mine.select("key", "size", F.posexplode("prefix").alias("pos", "token")).select("token", "key", (F.shiftleft("size", 32) + F.col("pos")).alias("at"))
     # A shingle's centre: the node with the fewest rarer shingles, for its size.
     rarer = F.expr("(at & 4294967295) / shiftright(at, 32)")
     group = Window.partitionBy("token")
-    index = spread.withColumns({"low": F.min(F.struct(rarer.alias("rarer"), "key", "of", "at")).over(group), "m": F.min("of").over(group), "n": F.max("of").over(group)}).where("m < n")
+    index = spread.withColumns({"low": F.min(F.struct(rarer.alias("rarer"), "key", "at")).over(group), "m": F.min("key").over(group), "n": F.max("key").over(group)}).where("m < n")
     place = {"size": F.shiftright("at", 32), "pos": F.expr("at & 4294967295"), "size_b": F.shiftright("low.at", 32), "pos_b": F.expr("low.at & 4294967295")}
-    index = written(index.select("token", "key", "of", F.col("low.key").alias("low"), F.col("low.of").alias("low_of"), *[c.alias(n) for n, c in place.items()]), "prefixes")
+    index = written(index.select("token", "key", F.col("low.key").alias("low"), *[c.alias(n) for n, c in place.items()]), "prefixes")
     # No more elements can be shared than are left behind a shared one, and the first shared one must leave enough.
     enough = f"{NUM + DEN} * least(size - pos, size_b - pos_b) >= {NUM} * (size + size_b)"
 
-    star = index.where(f"of <> low_of AND {enough}").select(F.greatest("key", "low").alias("a"), F.least("key", "low").alias("b")).distinct()
-    near = near.unionByName(written(_similar(star, texts, shingle), "similar", BATCH))
+    star = index.where(f"key <> low AND {enough}").select(F.greatest("key", "low").alias("a"), F.least("key", "low").alias("b")).distinct()
+    named = _components(star.select(F.col("a").alias("key"), "b"), near).select(F.col("key").alias("a"), F.col("of").alias("of_a"), F.col("b").alias("key"))
+    near = near.unionByName(checked(_components(named, near).where("of_a <> of").select("a", F.col("key").alias("b"))))
     part = written(_components(index.select("token", "key", "size", "pos"), near), "prefixes")
     dropped(index)
     open_ = part.groupBy("token").agg(F.min("of").alias("m"), F.max("of").alias("n")).where("m < n").select("token")
@@ -183,7 +232,7 @@ def similar_texts(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTA
     right = left.select("token", F.col("key").alias("b"), F.col("size").alias("size_b"), F.col("pos").alias("pos_b"), F.col("of").alias("of_b"))
     pairs = written(left.join(right, "token").where(f"key < b AND of <> of_b AND {enough}").select(F.col("key").alias("a"), "b").distinct(), "pairs")
     dropped(part)
-    more = written(_similar(pairs, texts, shingle), "similar", BATCH)
+    more = checked(pairs)
     dropped(mine)
 
     named = _components(nodes.drop("n"), near.unionByName(more))

@@ -76,3 +76,42 @@ def test_rows_that_occur_often_are_compared_once(spark, monkeypatch):
     rows = [(1, a)] * 300 + [(2, a + " end")] * 300 + [(3, "alone")]
     got = module.similar_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
     assert len(got) == 601 and {r.component_id for r in got if r.doc_id == 2} == {1} and sum(n for n, _ in made) == 1 and {n for _, n in made} == {3}
+
+
+def test_a_family_of_less_similar_texts_brings_few_texts_together(spark, monkeypatch):
+    """Of 40 texts that are half alike, pair by pair, and 30 others, only those of the pairs that sketches allow are written or compared."""
+    from codequarry.llm import similar_texts as module
+
+    rng = random.Random(5)
+    words = lambda n: [rng.choice("bdgklm") + rng.choice("aeiou") + rng.choice("nrst") + rng.choice("aeiou") for _ in range(n)]
+    base, texts = words(120), []
+    for _ in range(40):
+        text = list(base)
+        for i in rng.sample(range(120), 5):
+            text[i] = "".join(words(2))
+        texts.append(" ".join(text))
+    texts += [" ".join(words(100)) for _ in range(30)]
+    texts.append(texts[3] + " end")
+    made, held, similar, written = [], [], module._similar, module.written
+    monkeypatch.setattr(module, "_similar", lambda pairs, texts, shingle: made.append(pairs.count()) or similar(pairs, texts, shingle))
+    monkeypatch.setattr(module, "written", lambda df, *a: held.append(out.count() if "text" in (out := written(df, *a)).columns else 0) or out)
+    got = module.similar_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), frequent=0).collect()
+    sets = {d: _sets(t) for d, t in enumerate(texts)}
+    assert {r.doc_id: r.component_id for r in got} == slow_components(sets, lambda a, b: _near(sets[a], sets[b]))
+    assert 1 <= sum(made) <= 40 and 2 <= max(held) <= 40
+
+
+def test_sketches_differ_in_no_more_than_the_sets():
+    import numpy as np
+
+    from codequarry.llm import similar_texts as module
+
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 30, 31, 33, 500, 4000, 40_000):
+        one = np.unique(rng.integers(-(2**63), 2**63, n))
+        for gone, new in ((0, 0), (1, 0), (n // 9, n // 9), (n // 5, 0), (0, n // 4)):
+            other = np.unique(np.concatenate([one[gone:], rng.integers(-(2**63), 2**63, new)]))
+            assert module._apart(module._sketch(one), module._sketch(other)) <= gone + new
+            assert len(module._sketch(other)) <= module.WIDEST // 8
+    far = module._apart(module._sketch(one[:300]), module._sketch(np.concatenate([one[100:300], one[400:500]])))
+    assert 100 < far <= 200
