@@ -46,7 +46,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     make_importable(spark)
     cut = repeated_passages(docs).where("n_removed > 0").select(F.col("doc_id").alias("_cut_id"), text_hash("text").alias("_cut_hash"), F.col("kept").alias("_cut_text"))
-    cut = cut.dropDuplicates(["_cut_id", "_cut_hash"])
+    cut = written(cut.dropDuplicates(["_cut_id", "_cut_hash"]), "cut")  # what was shuffled for it goes before all texts are
     out = docs.join(cut, (docs["doc_id"] == cut["_cut_id"]) & (text_hash(docs["text"]) == cut["_cut_hash"]), "left")
     now = {"text": F.coalesce(cut["_cut_text"], docs["text"]), "n_chars": F.coalesce(F.length(cut["_cut_text"]).cast("long"), docs["n_chars"]) if "n_chars" in docs.columns else None}
     return out.select(*[now[c].alias(c) if now.get(c) is not None else docs[c] for c in docs.columns])

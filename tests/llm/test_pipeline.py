@@ -126,3 +126,12 @@ def test_empty_tables(spark, odd, tmp_path):
         assert stage(spark, docs.limit(0), folder).count() == 0, name
         if name in ("toxicity", "decontamination"):
             assert _rows(stage(spark, docs, str(tmp_path))) == _rows(docs)
+
+
+def test_passages_are_cut_before_all_texts_are_joined(spark):
+    """The shuffles that find passages are no part of the job that joins the cut texts, so their files don't lie on disk with its own."""
+    words = lambda k, n: " ".join(f"{k}w{i}" for i in range(n))
+    rows = [(1, words("a", 40)), (2, words("b", 20) + " " + words("a", 40)), (3, None)]
+    out = corpus_pipeline.substring_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert "CoGroups" not in out._jdf.queryExecution().toString()
+    assert _rows(out) == _rows(spark.createDataFrame([rows[0], (2, words("b", 20)), rows[2]], "doc_id long, text string"))
